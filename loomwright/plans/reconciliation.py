@@ -1,0 +1,7 @@
+"""Registered queries of the library's own operators."""
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/region.parquet")
