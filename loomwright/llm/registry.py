@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL, where SQL can express them."""
 
-from loomwright.llm import bpe, chat, token_files
+from loomwright.llm import bpe, chat, token_files, topk
 
-_MODULES = (bpe, chat, token_files)
+_MODULES = (bpe, chat, token_files, topk)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
