@@ -36,8 +36,9 @@ class ToxicityParameters:
     bits: int = 18
     width: int = 8
     epochs: int = 12
+    least_steps: int = 800
     batch: int = 48
-    rate: float = 0.5
+    rate: float = 1.0
     least_documents: int = 4
     least_kept: float = 0.2
     seed: int = 7
@@ -122,9 +123,12 @@ def train(texts: list[str], labels: list[int], p: ToxicityParameters) -> Folded:
     b = np.array([0.0, 0.0])
     ge, gu, gb = np.full(len(used), 1e-3), np.full((2, p.width), 1e-3), np.full(2, 1e-3)
     positive = y.mean()
-    for epoch in range(p.epochs):
-        sharp = 0.25 * 2.0**epoch if epoch < 7 else 30.0
-        for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // p.batch)):
+    # few rows: more epochs, so that the steps suffice
+    batches = max(1, len(y) // p.batch)
+    epochs = max(p.epochs, -(-p.least_steps // batches))
+    for epoch in range(epochs):
+        sharp = min(30.0, 0.25 * 2.0 ** (12 * epoch / epochs))
+        for some in np.array_split(rng.permutation(len(y)), batches):
             counts = np.diff(w.first)[some]
             if not counts.sum():
                 continue
