@@ -11,11 +11,11 @@ distance also lies below the symmetric difference, discards most wrong
 candidates, and the shingles of both texts decide the rest.
 
 Groups need not verify all pairs: small buckets give all their pairs, larger
-ones a star around one member. Buckets that still hold several components
-after that are split again by the same rule under another hash (linked
-members agree in a block of that, too), and what three such rounds leave is
-compared in tiles. So no link between different texts is lost and no bucket's
-pairs are all written out.
+ones a star around one member. In buckets that still hold several components
+after that, the sketches of members of different components are compared in
+tiles, inside the tasks: first the nearest pair of any two components is
+verified, then all that are near enough. So no link between components is
+lost and no bucket's pairs are written out.
 """
 
 from __future__ import annotations
@@ -36,9 +36,8 @@ BAND = 1.5
 SMALL = 6
 #: From so many sets of one bucket in a task on, the task sends one of them for all.
 LOCAL = 16
-#: Rounds of splitting before what is left is compared in tiles of TILE members.
-DEPTH = 3
-TILE = 64
+#: Members of one tile of a bucket.
+TILE = 512
 
 
 class Rule:
@@ -77,10 +76,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     start = np.concatenate([[0], np.cumsum(n)])
     out = hashes[np.arange(start[-1]) + np.repeat(first[:-1] - start[:-1], n)]
     for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():  # the whole sequence as one
-        h = np.uint64(counts[i])
-        for w in words[first[i] : first[i + 1]]:
-            h = mix(np.array([h * np.uint64(step)]))[0] ^ w
-        out[start[i]] = mix(np.array([h]))[0]
+        h = int(counts[i])
+        for w in words[first[i] : first[i + 1]].tolist():
+            h = (h * step ^ w) * 0x9FB21C651E98DF25 % (1 << 64)
+        out[start[i]] = mix(np.array([h], np.uint64))[0]
     for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
         if b - a > 1:
             out[a:b].sort()
@@ -115,13 +114,8 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(x != y))
 
 
-def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set number, key) of the blocks that each set of a block of texts sends, over its own band and the lower ones it can reach."""
-    if seed:
-        order_by = mix(hashes + np.uint64(0xA0761D6478BD642F * seed & (1 << 64) - 1))
-        hashes = order_by.copy()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            hashes[a:b].sort()
     n = np.diff(first)
     own = np.searchsorted(rule.high_array, n)
     low = np.searchsorted(rule.high_array, -(-n * rule.p // rule.q))
@@ -156,7 +150,7 @@ def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray, seed: int) ->
             holder = np.concatenate([holder, empty_of[~there]])
             block = np.concatenate([block, empty[~there]])
             value = np.concatenate([value, np.zeros(np.count_nonzero(~there), np.uint64)])
-        tag = mix((band[holder].astype(np.uint64) << np.uint64(40)) + block.astype(np.uint64) + np.uint64(seed << 56))
+        tag = mix((band[holder].astype(np.uint64) << np.uint64(40)) + block.astype(np.uint64))
         numbers.append(sets[holder])
         keys.append(mix(value + tag))
         down += 1
@@ -184,28 +178,17 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
 _KEYS = "kind byte, key long, h long"
 
 
-def _bucket_rows(docs: DataFrame, rule: Rule, seed: int, parents: bool) -> DataFrame:
-    """kind, key, h. kind 0: h sends key. kind 1: one set stands for more than LOCAL in its task. kind 2: a member that was stood for.
-
-    parents: docs has an array of bucket keys that are to be split; else every text sends its keys.
-    """
+def _bucket_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """kind, key, h. kind 0: h sends key. kind 1: one set stands for more than LOCAL in its task. kind 2: a member that was stood for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for a, b, data, offsets in string_blocks(batch.column(0)):
+            for _, _, data, offsets in string_blocks(batch.column(0)):
                 hashes, first = sets_of(data, offsets, rule.k)
-                h = set_hashes(hashes, first)
-                number, key = block_keys(rule, hashes, first, seed)
-                if parents:
-                    above = batch.column(1).slice(a, b - a)
-                    up, counts = above.flatten().to_numpy(), np.diff(above.offsets.to_numpy())
-                    start = np.cumsum(counts) - counts
-                    many = counts[number]
-                    parent = up[np.arange(many.sum()) + np.repeat(start[number] - np.cumsum(many) + many, many)]
-                    number, key = np.repeat(number, many), mix(np.repeat(key, many).view(np.uint64) + mix(parent.view(np.uint64))).view(np.int64)
-                held.append((key, h[number]))
+                number, key = block_keys(rule, hashes, first)
+                held.append((key, set_hashes(hashes, first)[number]))
                 size += len(key)
                 if size > 3_000_000:
                     yield _combine(held)
@@ -213,8 +196,7 @@ def _bucket_rows(docs: DataFrame, rule: Rule, seed: int, parents: bool) -> DataF
         if held:
             yield _combine(held)
 
-    columns = ["text", "parents"] if parents else ["text"]
-    return docs.where("text is not null").select(*columns).mapInArrow(run, _KEYS)
+    return docs.where("text is not null").select("text").mapInArrow(run, _KEYS)
 
 
 def _combine(held) -> pa.RecordBatch:
@@ -350,15 +332,72 @@ def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _tiles(mixed: DataFrame) -> DataFrame:
-    """All pairs of different components in the given buckets, TILE by TILE members."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    rows = mixed.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
+def _tiles(mixed: DataFrame, sets: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in the given buckets whose sizes and sketches allow a link.
+
+    A bucket's members are dealt over tiles of about TILE; each two tiles meet
+    in one group. nearest: only the pair of least distance of each two components.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            tile = now.column(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield _near(now.slice(x, y - x), rule, nearest)
+            rest = now.slice(int(cuts[-1]))
+        if rest is not None and rest.num_rows:
+            yield _near(rest, rule, nearest)
+
+    rows = mixed.join(sets.select("h", "n", "sketch"), "h").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "root")
-    left = rows.where("mine = i").select("key", "i", "j", F.col("h").alias("b"), F.col("root").alias("r_b"))
-    right = rows.where("mine = j").select("key", "i", "j", F.col("h").alias("a"), F.col("root").alias("r_a"))
-    return left.join(right, ["key", "i", "j"]).where("r_a <> r_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), (F.col("mine") >= F.col("other")).alias("up"), (F.col("mine") <= F.col("other")).alias("down"), "h", "root", "n", "sketch")
+    found = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long, r_a long, r_b long, far int")
+    if nearest:
+        return found.groupBy("r_a", "r_b").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    return found.select("a", "b").distinct()
+
+
+def _near(group: pa.Table, rule: Rule, nearest: bool) -> pa.RecordBatch:
+    up, down, h, root, n = (group.column(i).to_numpy() for i in range(1, 6))
+    raw = group.column(6).to_pylist()
+    length = np.array([len(x) for x in raw], np.int64)
+    bits: dict[int, np.ndarray] = {}
+    out = []
+    sizes = np.unique(length).tolist()
+    full = {z: np.unpackbits(np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(length == z)), np.uint8).reshape(-1, z), axis=1) for z in sizes}
+    for z in sizes:
+        # sketches of z bytes or more, folded to z bytes; each pair is met at its shorter one
+        bits = {}
+        for w in sizes[sizes.index(z) :]:
+            m = full[w]
+            while m.shape[1] > 8 * z:
+                m = m[:, 0::2] ^ m[:, 1::2]
+            bits[w] = np.packbits(m, axis=1)
+        left = np.flatnonzero(length == z)
+        for w, packed in bits.items():
+            right = np.flatnonzero(length == w)
+            for at in range(0, len(left), 64):
+                i = left[at : at + 64]
+                far = np.bitwise_count(bits[z][at : at + 64, None, :] ^ packed[None, :, :]).sum(axis=2, dtype=np.int32)
+                a, b = n[i][:, None], n[right][None, :]
+                good = (far <= (a + b) * (rule.q - rule.p) // (rule.q + rule.p)) & (rule.p * np.maximum(a, b) <= rule.q * np.minimum(a, b))
+                good &= root[i][:, None] != root[right][None, :]
+                good &= (up[i][:, None] & down[right][None, :]) | (down[i][:, None] & up[right][None, :])
+                x, y = np.nonzero(good)
+                out.append((i[x], right[y], far[x, y]))
+    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    swap = h[i] < h[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+    order = np.lexsort((far, high, low)) if nearest else np.lexsort((h[j], h[i]))
+    i, j, far, low, high = (x[order] for x in (i, j, far, low, high))
+    one, two = (low, high) if nearest else (h[i], h[j])
+    new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+    return pa.RecordBatch.from_arrays([pa.array(h[i][new]), pa.array(h[j][new]), pa.array(low[new]), pa.array(high[new]), pa.array(far[new], pa.int32())], names=["a", "b", "r_a", "r_b", "far"])
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -368,7 +407,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     A text with fewer than k words is one shingle; null, empty or blank texts
     have none, link with nothing and are their own component. component_id is
     the smallest doc_id reachable by links. Repeated rows come out repeatedly;
-    rows that share a doc_id are one document with both texts. A null doc_id
+    rows that share a doc_id but not a text stand each for itself. A null doc_id
     links with nothing and has a null component. An empty table gives no rows;
     other columns are ignored.
     """
@@ -376,36 +415,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     described = stage(describe(docs, rule), "sets")
     full = described.where("n > 0 and doc_id is not null")
     sets = stage(full.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    rows = _bucket_rows(docs.where("doc_id is not null"), rule, 0, False)
-    edges = None
-    component = None
-    for depth in range(DEPTH + 1):
-        if depth < DEPTH:
-            found = stage(_candidates(rows), "candidates")
-            counted = stage(found.where("kind > 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("kind").alias("kind")), "pairs")
-            # the pair of each set that shares most blocks settles most groups
-            best = counted.where("kind = 3")
-            best = best if component is None else _apart(best, component)
-            best = best.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-            members = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct()
-        else:
-            counted, best = None, _tiles(mixed)  # noqa: F821
-        for some in (best, counted):
-            if some is None:
-                continue
-            some = some if component is None else _apart(some, component)
-            links = stage(_verified(_near_in_sketch(some, sets, rule), sets, docs, rule), "links")
-            edges = links if edges is None else edges.unionByName(links)
-            component = stage(connected(edges), "components")
-            edges = component.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if counted is None:
-            break
+    found = stage(_candidates(_bucket_rows(docs.where("doc_id is not null"), rule)), "candidates")
+    pairs = stage(found.where("kind > 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("kind").alias("kind")), "pairs")
+    members = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct()
+
+    def joined(some: DataFrame, component: DataFrame | None) -> DataFrame:
+        links = stage(_verified(_near_in_sketch(some, sets, rule), sets, docs, rule), "links")
+        known = links if component is None else links.unionByName(component.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return stage(connected(known), "components")
+
+    # the pair of each set that shares most blocks settles most groups
+    component = joined(pairs.where("kind = 3").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", F.col("x.b").alias("b")), None)
+    component = joined(_apart(pairs, component), component)
+    for nearest in (True, False):
         mixed = stage(_mixed(members, component), "mixed")
-        if not mixed.limit(1).count():
-            break
-        parents = mixed.join(sets.select("h", "doc_id"), "h").groupBy("doc_id").agg(F.collect_set("key").alias("parents"))
-        parents = stage(parents, "parents")
-        rows = _bucket_rows(docs.join(checked_broadcast(parents), "doc_id"), rule, depth + 1, True)
+        component = joined(stage(_tiles(mixed, sets, rule, nearest), "near"), component)
     ids = described.select("doc_id", "n", "h").join(component.select(F.col("node").alias("h"), "root"), "h", "left")
     linked = ids.where("root is not null and doc_id is not null and n > 0")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -421,11 +445,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents where doc_id is not null
 ), sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) end as s
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
   from words
 ), grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
 pairs as (
