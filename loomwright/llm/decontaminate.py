@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import letter_words, shingles, string_blocks, table
+from loomwright.llm.common import checked_broadcast, letter_words, shingles, stage, string_blocks, table
 from loomwright.llm.subwords import texts_block
 
 SHINGLE = 5
@@ -219,6 +219,12 @@ def _leaks(x: ItemIndex, words: np.ndarray, first: np.ndarray, k: int, ids: pa.A
     return [(ids[base + doc].as_py(), i, *v) for (doc, i), v in sorted(by_id.items(), key=lambda e: (e[0][0], e[0][1] is None, e[0][1] or 0))]
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that hold no item; rows without a doc_id stay."""
+    leaks = stage(find_leaks(docs, items, least).where("doc_id is not null").select("doc_id").distinct(), "leaks")
+    return docs.join(checked_broadcast(leaks), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -439,6 +439,23 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", F.when(F.col("n") > 0, F.col("first")), "doc_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its group; of rows with one doc_id one stays, that of the least text.
+
+    Rows without a doc_id stay.
+    """
+    groups = stage(jaccard_groups(docs, k, p, q), "groups")
+    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = stage(ids, "kept")
+    named = docs.join(checked_broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    twice = ids.where("n > 1").select("doc_id")
+    if twice.limit(1).count():
+        repeated = named.join(checked_broadcast(twice), "doc_id", "left_semi")
+        one = repeated.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("__first"), *[F.col(c) for c in docs.columns])).alias("x")).select("x.*").select(*docs.columns)
+        named = named.join(checked_broadcast(twice), "doc_id", "left_anti").unionByName(one)
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), 4, 85, 100)
 

@@ -150,6 +150,38 @@ def _pseudo(groups: DataFrame, mean: str) -> Column:
     return F.lit(float(min(1000.0, max(1.0, row.within / row.between - 1))))
 
 
+def _keyed(docs: DataFrame, site_column: str) -> DataFrame:
+    site = F.regexp_replace(F.coalesce(F.col(site_column).cast("string"), F.lit("")), "^[a-zA-Z]+://", "")
+    return docs.withColumn("__host", F.substring_index(site, "/", 1)).withColumn("__path", F.substring_index(site, "/", 2))
+
+
+def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
+    """Sums and pseudo-documents of every path and its host from rows(__host, __path, __p), and the table's mean."""
+    groups = stage(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s")), "paths")
+    total = groups.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    prior = min(max(total.s / total.n, 1e-3), 1 - 1e-3) if total.n else 0.5
+    paths = groups.where("__host <> ''")
+    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(prior))
+    a_host = _pseudo(hosts, "m")
+    hosts = hosts.withColumn("host_mean", (F.col("s") + a_host * F.col("m")) / (F.col("n") + a_host)).select("__host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), "host_mean")
+    paths = paths.join(hosts, "__host")
+    a_path = _pseudo(paths, "host_mean")
+    sites = paths.select("__path", F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("host_n").alias("__host_n"), F.col("host_s").alias("__host_s")).withColumn("__a_host", a_host).withColumn("__a_path", a_path)
+    return stage(sites, "sites"), prior
+
+
+def _scored(rows: DataFrame, sites: DataFrame, prior: float, p: QualityParameters) -> DataFrame:
+    """rows with __host_posterior, __path_posterior and __score; a document's own evidence is taken out of its site's sums."""
+    x = rows.join(checked_broadcast(sites), "__path", "left")
+    inside = lambda q: F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = lambda q: F.log(q / (1 - q))
+    host = (F.col("__host_s") - F.col("__p") + F.col("__a_host") * prior) / (F.col("__host_n") - 1 + F.col("__a_host"))
+    path = (F.col("__s") - F.col("__p") + F.col("__a_path") * F.col("__host_posterior")) / (F.col("__n") - 1 + F.col("__a_path"))
+    x = x.withColumn("__host_posterior", inside(F.coalesce(host, F.lit(prior)))).withColumn("__path_posterior", inside(F.coalesce(path, F.lit(prior))))
+    total = odds(inside(F.col("__p"))) + p.site_weight * (odds(F.col("__path_posterior")) - float(np.log(prior / (1 - prior))))
+    return x.withColumn("__score", 1 / (1 + F.exp(-total)))
+
+
 def score_quality(docs: DataFrame, model: Evidence, p: QualityParameters | None = None, id_column: str = "doc_id", site_column: str = "source") -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, score (0 to 1), keep (0 or 1) of every row.
 
@@ -160,28 +192,19 @@ def score_quality(docs: DataFrame, model: Evidence, p: QualityParameters | None
     columns are ignored.
     """
     p = p or QualityParameters()
-    site = F.regexp_replace(F.coalesce(F.col(site_column).cast("string"), F.lit("")), "^[a-zA-Z]+://", "")
-    keyed = docs.select(F.col(id_column).alias("doc_id"), "text", F.substring_index(site, "/", 1).alias("__host"), F.substring_index(site, "/", 2).alias("__path"))
+    keyed = _keyed(docs.select(F.col(id_column).alias("doc_id"), "text", F.col(site_column).alias("__site")), "__site")
     rows = stage(evidence(keyed, model, ("doc_id", "__host", "__path")), "evidence")
-    prior = rows.agg(F.avg("__p")).first()[0]
-    prior = 0.5 if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
-    paths = rows.where("__host <> ''").groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s"))
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(prior))
-    a_host = _pseudo(hosts, "m")
-    hosts = hosts.withColumn("host_mean", (F.col("s") + a_host * F.col("m")) / (F.col("n") + a_host)).select("__host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), "host_mean")
-    paths = paths.join(hosts, "__host")
-    a_path = _pseudo(paths, "host_mean")
-    sites = stage(paths.select("__path", "n", "s", "host_n", "host_s").withColumn("a_host", a_host).withColumn("a_path", a_path), "sites")
-    x = rows.join(checked_broadcast(sites), "__path", "left")
-    # without the document itself
-    host = F.coalesce((F.col("host_s") - F.col("__p") + F.col("a_host") * prior) / (F.col("host_n") - 1 + F.col("a_host")), F.lit(prior))
-    path = F.coalesce((F.col("s") - F.col("__p") + F.col("a_path") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("a_path")), F.lit(prior))
-    odds = lambda q: F.log(q / (1 - q))
-    inside = lambda q: F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6))
-    x = x.withColumn("host_posterior", inside(host)).withColumn("path_posterior", inside(path))
-    total = odds(inside(F.col("__p"))) + p.site_weight * (odds(F.col("path_posterior")) - float(np.log(prior / (1 - prior))))
-    x = x.withColumn("score", 1 / (1 + F.exp(-total)))
-    return x.select("doc_id", F.col("__p").alias("evidence"), "host_posterior", "path_posterior", "score", (F.col("score") >= p.keep_from).cast("int").alias("keep"))
+    sites, prior = site_posteriors(rows)
+    x = _scored(rows, sites, prior, p)
+    return x.select("doc_id", F.col("__p").alias("evidence"), F.col("__host_posterior").alias("host_posterior"), F.col("__path_posterior").alias("path_posterior"), F.col("__score").alias("score"), (F.col("__score") >= p.keep_from).cast("int").alias("keep"))
+
+
+def keep_good(docs: DataFrame, model: Evidence, p: QualityParameters | None = None, site_column: str = "source") -> DataFrame:
+    """The rows of docs, all columns, that score_quality would keep. Texts are scored twice and never shuffled."""
+    p = p or QualityParameters()
+    keyed = _keyed(docs, site_column)
+    sites, prior = site_posteriors(evidence(keyed, model, ("__host", "__path")))
+    return _scored(evidence(keyed, model, tuple(keyed.columns)), sites, prior, p).where(F.col("__score") >= p.keep_from).select(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

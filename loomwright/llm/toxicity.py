@@ -241,6 +241,12 @@ def predict(docs: DataFrame, labels: DataFrame, p: ToxicityParameters | None = N
     return scored.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_civil(docs: DataFrame, model: Folded, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold. No shuffle."""
+    scored = score_documents(docs.withColumnRenamed("score", "__kept_score"), model, tuple("__kept_score" if c == "score" else c for c in docs.columns))
+    return scored.where(F.col("score") < threshold).drop("score").withColumnRenamed("__kept_score", "score").select(*docs.columns)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
