@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwright.llm.common import crc_mod3, string_blocks, table
-from loomwright.llm.subwords import Words, grams, texts_block, training_part, words_of
+from loomwright.llm.subwords import Words, distinct, grams, texts_block, training_part, words_of
 
 #: First code points of the ranges of a script, in order; -1: no script of its own. Fixed values.
 SCRIPT_STARTS = (
@@ -102,8 +102,9 @@ class LanguageModel:
     def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
         """Words of a block, the language number of each, and its letters."""
         w = words_of(data, offsets)
-        scores, many = self.word_scores(w)
-        return w, viterbi(scores, w.first, self.p.switch), many
+        kinds, which = distinct(w)
+        scores, many = self.word_scores(kinds)
+        return w, viterbi(scores[which], w.first, self.p.switch), many[which]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, cells: int = 1 << 20) -> np.ndarray:

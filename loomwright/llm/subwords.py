@@ -5,10 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwright.llm.common import codepoints, crc_mod3, folded_letters, mix, runs, span_hashes
 
@@ -45,6 +43,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(points, starts, ends, np.searchsorted(starts, at))
 
 
+def distinct(words: Words) -> tuple[Words, np.ndarray]:
+    """The different words of a block, each once, and which of them each word is."""
+    _, one, which = np.unique(span_hashes(words.points, words.starts, words.ends), return_index=True, return_inverse=True)
+    size = words.ends[one] - words.starts[one]
+    starts = np.cumsum(size + 1) - size
+    points = np.full(int((size + 1).sum()) + 1, 32, words.points.dtype)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    points[np.repeat(starts, size) + step] = words.points[np.repeat(words.starts[one], size) + step]
+    return Words(points, starts, starts + size, np.array([0, len(one)])), which
+
+
 def grams(words: Words, sizes: tuple[int, ...], bits: int, whole: bool = True):
     """Yield (word of each n-gram, bucket of it) per size; an n-gram may reach one character over the word's ends."""
     n = len(words.points)
@@ -89,22 +98,5 @@ def texts_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
-def sample_rows(docs: DataFrame, label: str, per_label: int, max_chars: int) -> DataFrame:
-    """At most per_label rows (text, label) of each label value, spread by a hash of doc_id, of texts up to max_chars.
-
-    Ids are chosen first, from id and label alone; texts are read for those.
-    """
-    rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", label).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id", label)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", label)
-
-
 def training_part(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & (crc_mod3(F.col("doc_id")) != 1))
-
-
-def held_out(ids: pa.Array) -> pa.Array:
-    from loomwright.llm.common import crc_of
-
-    return pa.array([i is not None and crc_of(i) % 3 == 1 for i in ids.to_pylist()], pa.bool_())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import string_blocks, table
-from loomwright.llm.subwords import grams, held_out, sample_rows, texts_block, training_part, words_of
+from loomwright.llm.subwords import distinct, grams, texts_block, training_part, words_of
 
 #: A passage is two half passages of so many words, one after the other.
 HALF = 4
@@ -66,11 +66,12 @@ class Folded:
         out = np.zeros(len(offsets) - 1)
         if not w.count:
             return out
-        total, count = np.zeros(w.count), np.zeros(w.count)
-        for word, bucket in grams(w, self.p.sizes, self.p.bits):
-            total += np.bincount(word, self.bucket[bucket], w.count)
-            count += np.bincount(word, minlength=w.count)
-        score = total / np.maximum(count, 1)
+        kinds, which = distinct(w)
+        total, count = np.zeros(kinds.count), np.zeros(kinds.count)
+        for word, bucket in grams(kinds, self.p.sizes, self.p.bits):
+            total += np.bincount(word, self.bucket[bucket], kinds.count)
+            count += np.bincount(word, minlength=kinds.count)
+        score = (total / np.maximum(count, 1))[which]
         half, size, start, halves = _passages(score, w.first)
         sums = np.bincount(half, score, start[-1])
         last = np.zeros(start[-1], bool)
@@ -227,7 +228,7 @@ def score_documents(docs: DataFrame, model: Folded, keep: tuple[str, ...] = ("do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0))]
+            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0), 4 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
 
     out = schema.add("score", "double")
