@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwright.llm.common import crc_mod3, string_blocks, table
-from loomwright.llm.subwords import Words, distinct, grams, texts_block, training_part, words_of
+from loomwright.llm.subwords import Words, bounded_sample, distinct, grams, texts_block, training_part, words_of
 
 #: First code points of the ranges of a script, in order; -1: no script of its own. Fixed values.
 SCRIPT_STARTS = (
@@ -163,12 +162,7 @@ def train(texts: list[str], langs: list[str], p: LanguageParameters) -> Language
 def fit(docs: DataFrame, p: LanguageParameters) -> LanguageModel:
     """Learn from documents with a language whose crc32 of the id modulo 3 isn't 1."""
     rows = training_part(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= p.train_chars)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # salted first, so that a language with most rows is not ranked in one task
-    salted = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("salt")).distinct()
-    ids = ids.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= p.per_language).drop("n", "salt")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.per_language).select("doc_id", F.col("lang").alias("__lang"))
+    ids = bounded_sample(rows.select("doc_id", F.col("lang").alias("__lang")).distinct(), "__lang", p.per_language)
     found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "__lang"]).select("text", "__lang").toPandas()
     return train(found["text"].tolist(), found["__lang"].tolist(), p)
 

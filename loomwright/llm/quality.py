@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwright.llm.common import ascii_words, checked_broadcast, crc_mod3, stage, string_blocks, table
-from loomwright.llm.subwords import texts_block, training_part
+from loomwright.llm.subwords import bounded_sample, texts_block, training_part
 
 
 @dataclass(frozen=True)
@@ -124,8 +123,7 @@ def train(texts: list[str], good: list[int], p: QualityParameters) -> Evidence:
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParameters) -> Evidence:
     """Learn from documents whose crc32 of the id modulo 3 isn't 1; a document with several labels is good only if all say so."""
     marks = training_part(labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.per_label).drop("n")
+    ids = bounded_sample(marks, "quality", p.per_label)
     found = docs.where(F.col("text").isNotNull() & (F.length("text") <= p.train_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "quality").toPandas()
     return train(found["text"].tolist(), found["quality"].astype(int).tolist(), p)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwright.llm.common import codepoints, crc_mod3, folded_letters, mix, runs, span_hashes
 
@@ -100,3 +101,13 @@ def texts_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def training_part(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & (crc_mod3(F.col("doc_id")) != 1))
+
+
+def bounded_sample(marks: DataFrame, label: str, most: int, salts: int = 60) -> DataFrame:
+    """doc_id, label: at most `most` ids of each label, spread by a hash of the id over salts with an equal bound each.
+
+    No label's rows meet in one task.
+    """
+    salted = marks.select("doc_id", label, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts)).alias("__salt"))
+    order = Window.partitionBy(label, "__salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return salted.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= -(-most // salts)).select("doc_id", label)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import string_blocks, table
-from loomwright.llm.subwords import distinct, grams, texts_block, training_part, words_of
+from loomwright.llm.subwords import bounded_sample, distinct, grams, texts_block, training_part, words_of
 
 #: A passage is two half passages of so many words, one after the other.
 HALF = 4
@@ -203,18 +203,11 @@ def _document_counts(kind: np.ndarray, first: np.ndarray, at: np.ndarray, gram_b
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParameters) -> Folded:
     """Learn from documents whose crc32 of the id modulo 3 isn't 1. A document with several labels is toxic if any says so."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = _chosen(training_part(marks), p.per_label)
+    ids = bounded_sample(training_part(marks), "toxic", p.per_label)
     found = docs.where(F.col("text").isNotNull() & (F.length("text") <= p.train_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").toPandas()
     return train(found["text"].tolist(), found["toxic"].astype(int).tolist(), p)
 
 
-def _chosen(marks: DataFrame, per_label: int) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return marks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).drop("n")
-
-
 def score_documents(docs: DataFrame, model: Folded, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs with score (0 to 1): the probability that the strongest passage is toxic.
 
