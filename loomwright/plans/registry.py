@@ -1,7 +1,10 @@
-"""Registered queries of the library's own operators."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Registered queries of the library's own operators, each with its SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from loomwright.plans import calendars, corpora, decisions, texts
+
+_MODULES = (corpora, decisions, calendars, texts)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
+flagship = corpora.range_rule_resolve
