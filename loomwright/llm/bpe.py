@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm.common import table
+from loomwright.llm.common import string_blocks, table
 
 #: Letters for which a boundary before the next character that is no letter is certain.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -67,7 +67,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
@@ -302,7 +302,7 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids: the split pattern, then the transducer for each match."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 200_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 100_000):
         import regex
 
         self.pattern = regex.compile(pattern)
@@ -357,21 +357,22 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            counts, first, second = [], [], []
-            for text in batch.column(1):
-                raw = e.encode(text.as_py() or "")
-                ids = np.frombuffer(raw, "<u4")
-                stream = StreamDecoder(e.vocabulary)
-                step = 1 << 16
-                parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [stream.close()]
-                decoded = "".join(parts)
-                counts.append(len(ids))
-                first.append(hashlib.sha256(raw).hexdigest() if digests else ids.astype(np.int32))
-                second.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())],
-                names=[name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
-            )
+            for a, b, _, _ in string_blocks(batch.column(1)):  # results of a few texts at a time
+                counts, first, second = [], [], []
+                for text in batch.column(1).slice(a, b - a):
+                    raw = e.encode(text.as_py() or "")
+                    ids = np.frombuffer(raw, "<u4")
+                    stream = StreamDecoder(e.vocabulary)
+                    step = 1 << 16
+                    parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [stream.close()]
+                    decoded = "".join(parts)
+                    counts.append(len(ids))
+                    first.append(hashlib.sha256(raw).hexdigest() if digests else ids.astype(np.int32))
+                    second.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())],
+                    names=[name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
+                )
 
     kind = dict(docs.dtypes)[id_column]
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -113,14 +113,14 @@ _SYMBOL = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x2545F4914F6C
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, kept for later calls up to 2 ** 22 entries."""
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, kept for later calls up to 2 ** 20 entries."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 20)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

@@ -34,7 +34,7 @@ RADIUS = BLOCKS * (REACH + 1) - 1
 BLOCK_ITEMS = 5_000
 _SPREAD = np.array([sum(1 << (8 * i) for i in range(8) if b >> i & 1) for b in range(256)], np.uint64)
 _HIGH = np.uint64(0x8080808080808080)
-_GATHER = np.uint64(0x0102040810204081)
+_GATHER = np.uint64(0x0102040810204080)
 
 
 def counters(features: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def _search(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
         for batch in batches:
             rows = []
             ids = batch.column(0).cast(pa.int64())
-            for a, _, data, offsets in string_blocks(batch.column(1), 4 << 20):
+            for a, _, data, offsets in string_blocks(batch.column(1)):
                 words, first = letter_words(data, offsets)
                 for k in sizes:
                     rows += _leaks(x, words, first, k, ids, a, least)

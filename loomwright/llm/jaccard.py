@@ -190,7 +190,7 @@ def _bucket_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 number, key = block_keys(rule, hashes, first)
                 held.append((key, set_hashes(hashes, first)[number]))
                 size += len(key)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield _combine(held)
                     held, size = [], 0
         if held:

@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False, id_colu
         m = shared.value
         names = np.array([*m.names, "und"], object)
         for batch in batches:
-            for a, b, data, offsets in string_blocks(batch.column(1), 4 << 20):
+            for a, b, data, offsets in string_blocks(batch.column(1), 2 << 20):
                 n = b - a
                 if m.names:
                     w, labels, many = m.label(data, offsets)

@@ -44,15 +44,41 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(points, starts, ends, np.searchsorted(starts, at))
 
 
+def _extract(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+    """Some words of a block as a block of their own."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - size
+    out = np.full(int((size + 1).sum()) + 1, 32, points.dtype)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + step] = points[np.repeat(starts, size) + step]
+    return Words(out, to, to + size, np.array([0, len(starts)]))
+
+
 def distinct(words: Words) -> tuple[Words, np.ndarray]:
     """The different words of a block, each once, and which of them each word is."""
     _, one, which = np.unique(span_hashes(words.points, words.starts, words.ends), return_index=True, return_inverse=True)
-    size = words.ends[one] - words.starts[one]
-    starts = np.cumsum(size + 1) - size
-    points = np.full(int((size + 1).sum()) + 1, 32, words.points.dtype)
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    points[np.repeat(starts, size) + step] = words.points[np.repeat(words.starts[one], size) + step]
-    return Words(points, starts, starts + size, np.array([0, len(one)])), which
+    return _extract(words.points, words.starts[one], words.ends[one]), which
+
+
+def vocabulary(texts: list[str], step: int = 100) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The different words of all texts, which of them each word is, and each text's first word; `step` texts are held at a time."""
+    blocks, hashes, words, first = [], [], [], [np.zeros(1, np.int64)]
+    total = 0
+    for a in range(0, len(texts), step):
+        w = words_of(*texts_block(texts[a : a + step]))
+        kinds, which = distinct(w)
+        h = span_hashes(kinds.points, kinds.starts, kinds.ends)
+        blocks.append(kinds)
+        hashes.append(h)
+        words.append(h[which])
+        first.append(w.first[1:] + total)
+        total += w.count
+    shift = np.cumsum([0, *(len(x.points) for x in blocks)])[:-1]
+    kinds_h, one = np.unique(np.concatenate(hashes), return_index=True)
+    points = np.concatenate([x.points for x in blocks])
+    starts = np.concatenate([x.starts + n for x, n in zip(blocks, shift, strict=True)])[one]
+    ends = np.concatenate([x.ends + n for x, n in zip(blocks, shift, strict=True)])[one]
+    return _extract(points, starts, ends), np.searchsorted(kinds_h, np.concatenate(words)), np.concatenate(first)
 
 
 def grams(words: Words, sizes: tuple[int, ...], bits: int, whole: bool = True):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import string_blocks, table
-from loomwright.llm.subwords import bounded_sample, distinct, grams, texts_block, training_part, words_of
+from loomwright.llm.subwords import bounded_sample, distinct, grams, training_part, vocabulary, words_of
 
 #: A passage is two half passages of so many words, one after the other.
 HALF = 4
@@ -96,28 +96,20 @@ def train(texts: list[str], labels: list[int], p: ToxicityParameters) -> Folded:
     rng = np.random.default_rng(p.seed)
     order = sorted(range(len(texts)), key=lambda i: texts[i])
     texts, y = [texts[i] for i in order], y[order]
-    data, offsets = texts_block(texts)
-    w = words_of(data, offsets)
-    # distinct words and their n-grams, once
-    parts = list(grams(w, p.sizes, p.bits))
-    from loomwright.llm.common import span_hashes
-
-    _, one, kind = np.unique(span_hashes(w.points, w.starts, w.ends), return_index=True, return_inverse=True)
-    rank = np.full(w.count, -1, np.int64)
-    rank[one] = np.arange(len(one))
-    gram_word = np.concatenate([rank[a] for a, _ in parts])
-    gram_bucket = np.concatenate([b for _, b in parts])[gram_word >= 0]
-    gram_word = gram_word[gram_word >= 0]
+    kinds, kind, first_word = vocabulary(texts)
+    parts = list(grams(kinds, p.sizes, p.bits))
+    gram_word = np.concatenate([a for a, _ in parts])
+    gram_bucket = np.concatenate([b for _, b in parts])
     by_word = np.argsort(gram_word, kind="stable")
     gram_bucket, gram_word = gram_bucket[by_word], gram_word[by_word]
-    at = np.searchsorted(gram_word, np.arange(len(one) + 1))
+    at = np.searchsorted(gram_word, np.arange(kinds.count + 1))
     del parts
     # what few documents hold can only be learned by heart: it keeps its place in the average, at zero
-    documents = _document_counts(kind, w.first, at, gram_bucket, 1 << p.bits)
+    documents = _document_counts(kind, first_word, at, gram_bucket, 1 << p.bits)
     known = documents[gram_bucket] >= min(p.least_documents, 1 + len(y) // 100)
     total = np.maximum(np.diff(at), 1)
     gram_bucket, gram_word = gram_bucket[known], gram_word[known]
-    at = np.searchsorted(gram_word, np.arange(len(one) + 1))
+    at = np.searchsorted(gram_word, np.arange(kinds.count + 1))
     used, gram_bucket = np.unique(gram_bucket, return_inverse=True)
     e = rng.normal(0, 0.05, (len(used), p.width))
     u = rng.normal(0, 1.0, (2, p.width))
@@ -130,10 +122,10 @@ def train(texts: list[str], labels: list[int], p: ToxicityParameters) -> Folded:
     for epoch in range(epochs):
         sharp = min(30.0, 0.25 * 2.0 ** (12 * epoch / epochs))
         for some in np.array_split(rng.permutation(len(y)), batches):
-            counts = np.diff(w.first)[some]
+            counts = np.diff(first_word)[some]
             if not counts.sum():
                 continue
-            tokens = np.concatenate([np.arange(w.first[d], w.first[d + 1]) for d in some])
+            tokens = np.concatenate([np.arange(first_word[d], first_word[d + 1]) for d in some])
             first = np.concatenate([[0], np.cumsum(counts)])
             words, back = np.unique(kind[tokens], return_inverse=True)
             lengths = at[words + 1] - at[words]
@@ -221,7 +213,7 @@ def score_documents(docs: DataFrame, model: Folded, keep: tuple[str, ...] = ("do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0), 4 << 20)]
+            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
 
     out = schema.add("score", "double")
