@@ -7,10 +7,10 @@ over many documents per numpy call and never over a prefix of any text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Bytes of text that one numpy block holds (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Bytes of one Arrow batch; Spark's default is larger than a worker should hold of long texts.
+ARROW_BYTES = 4 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 # ---------------------------------------------------------------- Spark side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,8 +76,11 @@ def crc_mod3(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- Python side
 
 
-def crc_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+def release() -> None:
+    """Give freed memory back to the system: a worker is used again by later stages, whose needs differ."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def string_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES):
@@ -93,6 +100,7 @@ def string_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES):
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ascii_words, checked_broadcast, mix, stage, string_blocks, table
+from loomwright.llm.common import ascii_words, checked_broadcast, mix, release, stage, string_blocks, table
 from loomwright.llm.components import connected
 
 #: Sizes of one band differ by less than this factor.
@@ -232,6 +232,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
                 yield _bucket_pairs(*(x[:cut] for x in now))
         if rest is not None and len(rest[0]):
             yield _bucket_pairs(*rest)
+        release()
 
     # whole tasks of keys; one task of the step before sends at most LOCAL rows of one key
     dealt = rows.where("kind < 2").repartition(F.col("key")).sortWithinPartitions("key", "h")
