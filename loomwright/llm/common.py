@@ -58,13 +58,9 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows (counted), else as it is."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else df
-
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Like small(), but counts on the executors; df should be a staged table."""
+    """df with a broadcast hint if it has at most limit rows (counted on the executors), else as it is; df should be a staged table."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
