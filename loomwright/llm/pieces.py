@@ -16,8 +16,8 @@ import numpy as np
 from loomwright.llm.common import span_hashes
 
 # Letters: A-Z, a-z and U+00C0-U+023F but the signs U+00D7 and U+00F7; their UTF-8 bytes but ASCII are C3-C8 and continuation bytes.
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _OTHER = np.zeros(256, bool)
 _OTHER[0xC0:0xC3] = _OTHER[0xC9:] = True
 
@@ -61,7 +61,7 @@ class ChunkMemo:
         other = np.flatnonzero(odd[offsets[1:]] > odd[offsets[:-1]])
         if self.used + 2 * len(data) > self.size:
             self._reset()
-        letter = _LETTER[data]
+        letter = LETTER[data]
         first = ~letter
         first[1:] &= letter[:-1]
         first[0] = True

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import shared_dir, string_blocks, table
-from loomwright.llm.pieces import ChunkMemo
+from loomwright.llm.pieces import LETTER, ChunkMemo
 
 
 @dataclass(frozen=True)
@@ -62,28 +62,29 @@ class LibraryEncoder:
         self.memo = ChunkMemo(self._chunks, self._text)
 
     def _text(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        """The ids of encode(), without the character offsets that it works out too."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with no letter and end with one are encoded end to end: the cuts are match boundaries."""
-        counts = np.zeros(len(chunks), np.int64)
-        found: list[np.ndarray | None] = [None] * len(chunks)
-        joined = [k for k, c in enumerate(chunks) if not _letter(c[0]) and _letter(c[-1])]
+        size = np.array([len(c) for c in chunks], np.int64)
+        edges = np.frombuffer(b"".join(c[:1] + c[-1:] for c in chunks), np.uint8).reshape(-1, 2)
+        fit = ~LETTER[edges[:, 0]] & LETTER[edges[:, 1]]
+        joined, alone = np.flatnonzero(fit), np.flatnonzero(~fit)
+        ids, counts = [], []
         for a in range(0, len(joined), 2_000):
             some = joined[a : a + 2_000]
-            ids = self._text(b"".join(chunks[k] for k in some).decode())
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(chunks[k]) for k in some])) + 1
-            for k, part in zip(some, np.split(ids, ends[:-1]), strict=True):
-                found[k] = part
-        for k, c in enumerate(chunks):
-            if found[k] is None:
-                found[k] = self._text(c.decode())
-            counts[k] = len(found[k])
-        return np.concatenate(found) if found else np.zeros(0, np.int32), counts
-
-
-def _letter(byte: int) -> bool:
-    return byte >= 128 or 65 <= byte <= 90 or 97 <= byte <= 122
+            ids.append(self._text(b"".join(chunks[k] for k in some).decode()))
+            ends = np.searchsorted(np.cumsum(self.length[ids[-1]]), np.cumsum(size[some])) + 1
+            counts.append(np.diff(ends, prepend=0))
+        for k in alone:
+            ids.append(self._text(chunks[k].decode()))
+            counts.append(np.array([len(ids[-1])]))
+        count, flat = np.concatenate(counts), np.concatenate(ids)
+        start = np.cumsum(count) - count
+        back = np.argsort(np.concatenate([joined, alone]))
+        count, start = count[back], start[back]
+        return flat[np.arange(len(flat)) + np.repeat(start - np.cumsum(count) + count, count)], count
 
 
 def _byte_alphabet() -> set[str]:
