@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwright.plans import calendars, corpora, decisions, texts
+from loomwright.plans import calendars, corpora, corrections, decisions, texts
 
-_MODULES = (corpora, decisions, calendars, texts)
+_MODULES = (corpora, decisions, calendars, texts, corrections)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
 flagship = corpora.range_rule_resolve
