@@ -7,9 +7,10 @@ half of it (first and last window), so an item edited in one place keeps an
 untouched window. Every window of those sizes in every text has its 64-bit
 SimHash taken, from running sums of packed bit counters. Two fingerprints
 within RADIUS bits agree up to REACH bits in one of BLOCKS blocks, so the
-lookup of all block values within REACH finds all of them. Candidates are
-then compared by the weighted (multiset) Jaccard similarity of the whole item
-with the window of the text that is aligned with it.
+lookup of all block values within REACH finds all of them. Around each
+candidate window the span of the text with the greatest weighted (multiset)
+Jaccard similarity to the whole item is then worked out, of any length, so
+that words put in or left out cost no more than they should.
 """
 
 from __future__ import annotations
@@ -76,6 +77,8 @@ class ItemIndex:
         words, first = letter_words(data, offsets)
         self.k: list[int] = []
         self.features: list[np.ndarray] = []
+        #: Different features of each item in ascending order, and how often it has them.
+        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
         windows: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for j in range(len(items)):
             own = words[first[j] : first[j + 1]]
@@ -83,6 +86,7 @@ class ItemIndex:
             f = shingles(own, k) if k else np.zeros(0, np.uint64)
             self.k.append(k)
             self.features.append(f)
+            self.sets.append(np.unique(f, return_counts=True))
             if not len(f):
                 continue
             sums = counters(f)
@@ -109,8 +113,8 @@ class ItemIndex:
                 tables.append((np.searchsorted(value[order], np.arange((1 << width) + 1)).astype(np.int32), owner[order]))
             self.groups.append((k, w, item, at, print_, tables))
 
-    def candidates(self, features: np.ndarray, sums: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item, position in the features where the item would begin) of windows within RADIUS."""
+    def candidates(self, features: np.ndarray, sums: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, first and last feature) of windows within RADIUS."""
         width = np.uint64(64 // BLOCKS)
         mask = np.uint64((1 << 64 // BLOCKS) - 1)
         for size, w, item, at, print_, tables in self.groups:
@@ -127,7 +131,7 @@ class ItemIndex:
                 window = np.repeat(hit, many)
                 entry = owner[np.arange(many.sum()) + np.repeat(start[value[hit]] - np.cumsum(many) + many, many)]
                 near = np.bitwise_count(found[window] ^ print_[entry]) <= RADIUS
-                yield item[entry[near]], window[near] - at[entry[near]]
+                yield item[entry[near]], window[near], window[near] + w - 1
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -138,6 +142,41 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum()) if len(values) else 0.0
 
 
+def best_span(values: np.ndarray, counts: np.ndarray, text: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """The greatest similarity of an item (different features in ascending order, their counts) to any span text[start:end], with the first such span; None if no span reaches least.
+
+    A span gains by a further feature that the item has and the span has too
+    few of, so the best one begins and ends where a run of them does.
+    """
+    size = int(counts.sum())
+    slot = np.minimum(np.searchsorted(values, text), len(values) - 1)
+    at = np.flatnonzero(values[slot] == text)
+    if len(at) < least * size:
+        return None
+    slot = slot[at]
+    n = len(at)
+    # earlier: the occurrence of the same feature that must lie before the span for this one to count
+    order = np.argsort(slot, kind="stable")
+    back = np.arange(n) - counts[slot[order]]
+    known = (back >= 0) & (slot[order[np.maximum(back, 0)]] == slot[order])
+    earlier = np.full(n, -1)
+    earlier[order[known]] = order[back[known]]
+    many = np.bincount(slot, minlength=len(values))[slot] > counts[slot]
+    apart = np.diff(at) > 1
+    starts = np.flatnonzero(np.concatenate([[True], apart | many[:-1]]))
+    ends = np.flatnonzero(np.concatenate([apart | many[1:], [True]]))
+    best = None
+    for chunk in np.array_split(starts, -(-len(starts) * n // 2_000_000)):
+        counted = (np.arange(n) >= chunk[:, None]) & (earlier < chunk[:, None])
+        shared = np.cumsum(counted, axis=1, dtype=np.int64)[:, ends]
+        length = at[ends] - at[chunk][:, None] + 1
+        s = np.where(length > 0, shared / np.maximum(size + length - shared, 1), 0.0)
+        i, j = divmod(int(s.argmax()), len(ends))
+        if s[i, j] >= least and (best is None or s[i, j] > best[0]):
+            best = (float(s[i, j]), int(at[chunk[i]]), int(at[ends[j]]) + 1)
+    return best
+
+
 _RESULT = "doc_id long, item_id long, similarity double, first_word int, n_words int"
 
 
@@ -194,23 +233,29 @@ def _search(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
 def _leaks(x: ItemIndex, words: np.ndarray, first: np.ndarray, k: int, ids: pa.Array, base: int, least: float) -> list[tuple]:
     features = shingles(words, k)
     sums = counters(features)
-    found = [np.stack([item.astype(np.int64), at]) for item, at in x.candidates(features, sums, k)]
+    found = [np.stack([item.astype(np.int64), p, q]) for item, p, q in x.candidates(features, sums, k)]
     if not found:
         return []
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    hits = np.unique(np.concatenate(found, axis=1), axis=1)
+    # a window over the edge of a text counts for the texts on both sides
+    docs = np.searchsorted(first, hits[1:], "right") - 1
+    for (item, p, q), a, b in zip(hits.T.tolist(), *docs.tolist(), strict=True):
+        for doc in range(a, b + 1):
+            places.setdefault((doc, item), []).append((p, q))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    for item, at in pairs.T.tolist():
-        f = x.features[item]
-        middle = min(max(at + len(f) // 2, 0), len(words) - 1)
-        doc = int(np.searchsorted(first, middle, "right")) - 1
+    for (doc, item), windows in places.items():
         low, high = int(first[doc]), int(first[doc + 1]) - k + 1  # features within the document
-        a, b = max(at, low), min(at + len(f), high)
-        if b <= a:
-            continue
-        s = similarity(f, features[a:b])
-        key = (doc, item)
-        if s >= least and (key not in best or s > best[key][0]):
-            best[key] = (s, a - low, b - a + k - 1)
+        for a, b in _regions(windows, len(x.features[item]), least):
+            a, b = max(a, low), min(b, high)
+            if b <= a:
+                continue
+            span = best_span(*x.sets[item], features[a:b], least)
+            key = (doc, item)
+            if span and (key not in best or span[0] > best[key][0]):
+                best[key] = (span[0], a + span[1] - low, span[2] - span[1] + k - 1)
+                if span[0] == 1:
+                    break
     by_id: dict[tuple[int, int], tuple[float, int, int]] = {}
     for (doc, item), v in best.items():
         key = (doc, x.ids[item])
@@ -219,6 +264,17 @@ def _leaks(x: ItemIndex, words: np.ndarray, first: np.ndarray, k: int, ids: pa.A
     return [(ids[base + doc].as_py(), i, *v) for (doc, i), v in sorted(by_id.items(), key=lambda e: (e[0][0], e[0][1] is None, e[0][1] or 0))]
 
 
+def _regions(windows: list[tuple[int, int]], size: int, least: float) -> Iterator[tuple[int, int]]:
+    """Ranges of features that cover every span of similarity least or more around one of the windows, in ascending order; windows of an item's length share one."""
+    reach = int(size / least)  # a longer span isn't similar enough
+    group: list[tuple[int, int]] = []
+    for window in [*sorted(windows), None]:
+        if group and (window is None or window[0] - group[0][0] > size):
+            yield min(q for _, q in group) + 1 - reach, group[-1][0] + reach
+            group = []
+        group.append(window)
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that hold no item; rows without a doc_id stay."""
     leaks = stage(find_leaks(docs, items, least).where("doc_id is not null").select("doc_id").distinct(), "leaks")
