@@ -2,8 +2,9 @@
 
 Each host has a reference page. Every page's tree is aligned with its host's
 reference by simple tree matching (children in order, equal tags, most matched
-nodes), and grouped counts over all pages tell how often each text node of the
-reference came out the same. Nodes that stay constant are the template; what
+nodes), and grouped counts over the host's different pages tell how often each
+text node of the reference came out the same; near copies of the reference say
+nothing, near copies of another page count once. Nodes that stay constant are the template; what
 is aligned with them goes, and the varying slots stay. Menus, headers,
 footers, adverts and the like can vary as well, so elements that by name or
 class are no part of an article go, too, as does what stands outside the
@@ -14,24 +15,31 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import checked_broadcast, stage, table
+from loomwright.llm.common import checked_broadcast, mix, shingles, stage, table
 
 
 @dataclass(frozen=True)
 class ExtractionParameters:
-    """constant: share of a host's pages (copies of the reference left out) in which a template node has the reference's text; least_pages: pages needed for that."""
+    """constant: share of a host's different pages (near copies of the reference left out) in which a template node has the reference's text; least_pages: pages needed for that.
+
+    A page is a near copy if copy of the reference's text is in equal nodes, or near_copy of what isn't is in equal word pairs of aligned nodes.
+    """
 
     constant: float = 0.8
     least_pages: int = 4
     copy: float = 0.9
+    near_copy: float = 0.5
     #: Matching of two child lists takes the product of their lengths; longer lists are matched in order within this band.
     band: int = 64
     #: Host references held in one broadcast; more are joined by shuffle.
@@ -48,6 +56,9 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[/a-zA-Z][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: Rounds of grouping near copies, by so many sketches each: pages with half of their text in common stay apart, near copies meet in one round or another.
+ROUNDS, KEY = 4, 6
+_SKETCH = mix(np.arange(1, KEY * ROUNDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 @dataclass(slots=True)
@@ -190,15 +201,47 @@ def _texts(root: Node) -> list[Node]:
     return out
 
 
-def outcomes(page: Node, reference: Node, p: ExtractionParameters) -> list[tuple[int, bool]]:
-    """(number of a text node of the reference, whether the page has the same text there); none if the page copies the reference."""
+def _pairs(text: str) -> list[tuple[str, str]]:
+    words = text.split()
+    return list(zip(words, words[1:], strict=False)) if len(words) > 1 else [(text.strip(), "")]
+
+
+@lru_cache(maxsize=20_000)
+def _counted(text: str) -> tuple[Counter, int]:
+    """Word pairs of a reference's text, and their characters."""
+    pairs = _pairs(text)
+    return Counter(pairs), sum(len(a) + len(b) for a, b in pairs)
+
+
+def _shared(known: Counter, text: str) -> int:
+    """Characters of the word pairs that a text shares."""
+    return sum(min(n, known[x]) * (len(x[0]) + len(x[1])) for x, n in Counter(_pairs(text)).items() if x in known)
+
+
+def witness(page: Node, reference: Node, p: ExtractionParameters) -> tuple[list[tuple[int, bool]], list[int]] | None:
+    """(number of a text node of the reference, whether the page has the same text there), and sketches of the rest of the page, which near copies share; None if the page nearly copies the reference."""
     matched: dict[int, Node] = {}
     align(page, reference, p.band, matched)
-    found = [(y.number, matched[y.number].text == y.text, len(y.text)) for y in _texts(reference) if y.number in matched and y.text.strip()]
-    total = sum(len(y.text) for y in _texts(reference))
-    if sum(n for _, same, n in found if same) >= p.copy * total:
-        return []
-    return [(k, same) for k, same, _ in found]
+    own = [y for y in _texts(reference) if y.text.strip()]
+    found = [(y.number, matched[y.number].text == y.text) for y in own if y.number in matched]
+    same = {k for k, equal in found if equal}
+    if sum(len(y.text) for y in own if y.number in same) >= p.copy * sum(len(y.text) for y in own):
+        return None
+    varying = [(matched.get(y.number), *_counted(y.text)) for y in own if y.number not in same]
+    enough = p.near_copy * sum(n for _, _, n in varying)
+    # a text shares at most twice its characters
+    if sum(min(n, 2 * len(x.text)) for x, _, n in varying if x) >= enough and sum(_shared(c, x.text) for x, c, _ in varying if x) >= enough:
+        return None
+    known = {id(matched[k]) for k in same}
+    words = " ".join(x.text for x in _texts(page) if id(x) not in known).split() or [""]
+    sums = shingles(np.array([zlib.crc32(x.encode("utf-8", "replace")) for x in words], np.uint64), min(4, len(words)))
+    return found, ((sums[:, None] * _SKETCH).min(axis=0) >> np.uint64(1)).tolist()
+
+
+def outcomes(page: Node, reference: Node, p: ExtractionParameters) -> list[tuple[int, bool]]:
+    """The outcomes of witness(); none if the page nearly copies the reference."""
+    found = witness(page, reference, p)
+    return found[0] if found else []
 
 
 def _boiler(node: Node) -> bool:
@@ -293,27 +336,33 @@ def extract_pages(pages: DataFrame, p: ExtractionParameters | None = None) -> Da
     references = rows.where("html <> ''").join(checked_broadcast(chosen), ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
     references = stage(references, "references")
     counts = _counts(rows.where("html <> ''").join(checked_broadcast(references, p.broadcast_hosts), "host"), p)
-    constant = counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = constant.where((F.col("pages") >= p.least_pages) & (F.col("same") >= p.constant * F.col("pages")))
+    constant = counts.where((F.col("pages") >= p.least_pages) & (F.col("same") >= p.constant * F.col("pages")))
     wrappers = stage(references.join(constant.groupBy("host").agg(F.collect_list("node").alias("nodes")), "host", "left"), "wrappers")
     return _extracted(rows.join(checked_broadcast(wrappers, p.broadcast_hosts), "host", "left"), p)
 
 
 def _counts(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
-    """host, node, pages, same: summed in the task before they are shuffled."""
+    """host, node, pages, same: different pages of the host, and those with the reference's text in the node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _References()
         for batch in batches:
-            totals: dict[tuple[str, int], list[int]] = {}
+            hosts, nodes, sketches = [], [], []
             for host, source, reference in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for k, same in outcomes(parse(source), known.get(reference), p):
-                    t = totals.setdefault((host, k), [0, 0])
-                    t[0] += 1
-                    t[1] += same
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in totals], pa.string()), pa.array([k for _, k in totals], pa.int32()), pa.array([t[0] for t in totals.values()], pa.int64()), pa.array([t[1] for t in totals.values()], pa.int64())], names=["host", "node", "pages", "same"])
-
-    return rows.select("host", "html", "reference").mapInArrow(run, "host string, node int, pages long, same long")
+                found = witness(parse(source), known.get(reference), p)
+                if found:
+                    hosts.append(host)
+                    nodes.append([k for k, same in found[0] if same])
+                    sketches.append(found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))], names=["host", "nodes", "sketch"])
+
+    pages = rows.select("host", "html", "reference").mapInArrow(run, "host string, nodes array<int>, sketch array<long>")
+    # near copies differ in some sketches; one of each group is left after the rounds
+    for k in range(ROUNDS):
+        pages = pages.groupBy("host", F.slice("sketch", KEY * k + 1, KEY).alias("key")).agg(F.min(F.struct("sketch", "nodes")).alias("x")).select("host", "x.sketch", "x.nodes")
+    pages = stage(pages.select("host", "nodes"), "witnesses")
+    same = pages.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("same"))
+    return same.join(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host")
 
 
 def _extracted(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
