@@ -51,7 +51,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head script style noscript template iframe svg nav header footer aside form button select option textarea input dialog menu title object canvas audio video".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?\w*|consent|notice|newsletter|subscribe|popup|modal|comments?|replies|disqus|share|sharing|social|related|recommended|login|search)(?:$|[\s_-])", re.I)
+# A name counts only if all its parts by hyphens and underscores are of these two kinds, and one is of the first.
+BOILERPLATE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?\w*|consent|notice|newsletter|subscribe|popup|modal|comments?|replies|disqus|share|sharing|social|related|recommended|login|search", re.I)
+FILLER = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|inner|outer|container|wrap|wrapper|box|block|bar|area|list|items?|links?|buttons?|widget|panel|section|content|form|slot|unit|posts?|articles?|stories|\d+", re.I)
+#: Their names decide nothing: a heading's id is made from its words.
+NAMELESS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[/a-zA-Z][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -244,8 +248,17 @@ def outcomes(page: Node, reference: Node, p: ExtractionParameters) -> list[tuple
     return found[0] if found else []
 
 
+def _names_boilerplate(mark: str) -> bool:
+    for name in mark.split():
+        parts = [x for x in re.split("[_-]+", name) if x]
+        kinds = [bool(BOILERPLATE.fullmatch(x)) for x in parts]
+        if any(kinds) and all(k or FILLER.fullmatch(x) for k, x in zip(kinds, parts, strict=True)):
+            return True
+    return False
+
+
 def _boiler(node: Node) -> bool:
-    return node.tag in DROPPED or bool(node.mark) and node.tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(node.mark))
+    return node.tag in DROPPED or bool(node.mark) and node.tag not in NAMELESS and _names_boilerplate(node.mark)
 
 
 def extract(page: Node, template: set[int]) -> str:
