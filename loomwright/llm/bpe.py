@@ -4,11 +4,16 @@ A token sequence is the BPE result of its bytes exactly if every token is its
 own BPE result and so is every adjacent pair. That makes the segmentations a
 regular language: a nondeterministic transducer reads bytes down the token
 trie and may close a token wherever the pair with the token before is stable.
-Its subset construction is made only for the states that texts reach; a
-subset's threads carry the tokens not yet sure, and what all threads agree on
-is emitted, so output lags by a bounded lookahead (no thread is longer than
-the longest token). States and remembered pieces are bounded and dropped when
-full, which costs time only.
+Its subset construction is made only for the states that texts reach. A prefix
+has one BPE result, so where it can be closed its last token is certain; a
+state holds only (token before, trie node) of each open thread, and each step
+gives out the token that ends there, if any. Those tokens are back-pointers:
+what the chains of all open threads agree on is emitted, so output lags by a
+bounded lookahead (no thread is longer than the longest token). States are
+kept in two generations of bounded size; dropping the older costs time only.
+
+Whole blocks of texts are cut into chunks whose ids a memo keeps, so only
+chunks not seen before reach the transducer.
 """
 
 from __future__ import annotations
@@ -17,46 +22,19 @@ import base64
 import gc
 import hashlib
 import re
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm.common import string_blocks, table
+from loomwright.llm.common import release, string_blocks, table, worker_tables
+from loomwright.llm.pieces import ChunkMemo
 
-#: Letters for which a boundary before the next character that is no letter is certain.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[^\x00-\x7f{_LETTER}]")
-_CHUNK = re.compile(f"[^{_LETTER}]*[{_LETTER}]+|[^{_LETTER}]+")
-
-
-def chunks(text: str) -> list[str] | None:
-    """Cut after each run of letters: no match of the split pattern spans such a cut.
-
-    None if the text holds characters beyond ASCII and Latin letters; the
-    caller then uses the whole pattern.
-    """
-    return None if _PLAIN.search(text) else _CHUNK.findall(text)
-
-
-class TwoGenerations(dict):
-    """A memo of at most twice `limit` entries: the older half goes when the newer is full."""
-
-    def __init__(self, limit: int, make):
-        super().__init__()
-        self.limit, self.make, self.old = limit, make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: One match of the split pattern whatever stands around it: a space at most, then letters.
+_ONE = re.compile(rb" ?[A-Za-z]+")
+#: Bytes between two looks at what all threads agree on.
+_LAG = 128
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,30 +45,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, i in ranks.items():
             node = 0
             for b in token:
                 key = node << 8 | b
-                if key not in self.child:
-                    self.child[key] = len(self.token_at)
+                down = self.child.get(key)
+                if down is None:
+                    down = self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
-                node = self.child[key]
+                    self.depth.append(self.depth[node] + 1)
+                node = down
             self.token_at[node] = i
-        self.stable_memo: dict[tuple[int, int], bool] = {}
+        self.inner = bytearray(len(self.token_at))  # nodes with children
+        for key in self.child:
+            self.inner[key >> 8] = 1
+        self.length = [0] * (max(self.bytes_of, default=0) + 1)
+        for i, token in self.bytes_of.items():
+            self.length[i] = len(token)
+        self.stable_memo: dict[int, bool] = {}  # before << 32 | token
         self.reach_memo: dict[int, bool | None] = {}  # None: reached, but not through parts of lower rank
-        self.spines: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
-        self._reset()
+        self.spines: dict[int, list[tuple[bytes, int, int]]] = {}
+        self.step: dict[int, int] = {}
+        self.threads: list[tuple[int, ...]] = []  # of (token before + 1) << 32 | trie node
+        self._generation()
 
-    def _reset(self) -> None:
-        start = (((), -1, 0),)
-        self.ids, self.threads = {start: 0}, [start]
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.final: list[tuple[int, ...] | None] = [()]
+    def _generation(self) -> None:
+        """The states so far become the older generation; a new one begins with the start state."""
+        self.older = (self.ids, self.step, self.threads) if self.threads else ({}, {}, [])
+        start = (0,)
+        self.ids, self.threads, self.step = {start: 0}, [start], {}
 
     def merged(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """The merges applied one by one, lowest rank and leftmost first (the definition), until `stop` parts are left."""
@@ -108,7 +97,7 @@ class Transducer:
 
     def _spine(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
         """The parts that stand at one end of a token while it is merged: (bytes, own rank, rank that consumes it), last first."""
-        key = (token, side)
+        key = token << 1 | side
         known = self.spines.get(key)
         if known is None:
             known, whole, until = [], self.bytes_of[token], 1 << 60
@@ -118,6 +107,8 @@ class Transducer:
                 if len(whole) == 1:
                     break
                 until, whole = own, self.halves(whole)[side]
+            if len(self.spines) > 100_000:
+                self.spines.clear()
             self.spines[key] = known
         return known
 
@@ -145,7 +136,7 @@ class Transducer:
         before either is consumed (at equal rank the merge more to the left
         goes first).
         """
-        key = (before, token)
+        key = before << 32 | token
         known = self.stable_memo.get(key)
         if known is None:
             if self.reach_memo.get(before) is None or self.reach_memo.get(token) is None:  # ranks out of order: by definition
@@ -175,54 +166,94 @@ class Transducer:
             else:
                 j += 1
 
-    def _expand(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        found = []
-        child, token_at, reach, known = self.child.get, self.token_at, self.reach_memo.get, self.stable_memo.get
-        for sure, before, node in self.threads[state]:
-            down = child(node << 8 | byte)
+    def _expand(self, state: int, byte: int) -> int:
+        """One step of the subset construction: next state << 32 | token that ends here + 1."""
+        threads = self.threads[state]
+        ids, step, held = self.older
+        known = step.get(ids[threads] << 8 | byte) if threads in ids else None
+        if known is not None:
+            key, closed = held[known >> 32], (known & 0xFFFFFFFF) - 1
+        else:
+            key, closed = self._advance(threads, byte)
+        to = self.ids.get(key)
+        if to is None:
+            to = self.ids[key] = len(self.threads)
+            self.threads.append(key)
+        out = self.step[state << 8 | byte] = to << 32 | closed + 1
+        return out
+
+    def _advance(self, threads: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        found, closed = [], -1
+        child, token_at, inner, reach, known = self.child.get, self.token_at, self.inner, self.reach_memo.get, self.stable_memo.get
+        for thread in threads:
+            down = child((thread & 0xFFFFFFFF) << 8 | byte)
             if down is None:
                 continue
-            found.append((sure, before, down))
+            before = (thread >> 32) - 1
+            if inner[down]:
+                found.append(before + 1 << 32 | down)
             token = token_at[down]
-            if token >= 0 and (reach(token) or self.reached(token)):
-                fits = before < 0 or known((before, token))
+            if token >= 0 and closed < 0 and (reach(token) or self.reached(token)):
+                fits = before < 0 or known(before << 32 | token)
                 if fits is None:
                     fits = self.stable(before, token)
                 if fits:
-                    found.append(((*sure, token), token, 0))
-        # what all threads agree on goes out
-        agreed, first = 0, found[0][0]
-        if first:
-            shortest = min(len(t[0]) for t in found)
-            while agreed < shortest and all(t[0][agreed] == first[agreed] for t in found):
-                agreed += 1
-        key = tuple((sure[agreed:], before, node) for sure, before, node in found) if agreed else tuple(found)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.threads)
-            self.threads.append(key)
-            self.final.append(next((sure for sure, _, node in key if node == 0), None))
-        out = self.step[state << 8 | byte] = (to, first[:agreed])
-        return out
+                    closed = token
+        if closed >= 0:
+            found.append(closed + 1 << 32)
+        return tuple(found), closed
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.threads) > self.max_states:
-            self._reset()
+            self._generation()
         whole = self.ranks.get(piece)
         if whole is not None and not self.reached(whole):
             return [whole]  # a token that merges don't reach stands only for a whole piece
-        state, out, step = 0, [], self.step
+        if len(piece) <= _LAG:
+            return self._chain(self._run(0, piece)[1], len(piece))
+        state, ends, out = 0, [], []
+        for at in range(0, len(piece), _LAG):
+            state, more = self._run(state, piece[at : at + _LAG])
+            ends += more
+            sure = self._agreed(state, ends)
+            out += self._chain(ends, sure)
+            del ends[:sure]
+        return out + self._chain(ends, len(ends))
+
+    def _run(self, state: int, piece: bytes) -> tuple[int, list[int]]:
+        """The state after a piece, and the steps' outputs (in their lower bits)."""
+        step, steps = self.step, []
         for byte in piece:
-            to = step.get(state << 8 | byte)
-            if to is None:
+            try:
+                to = step[state << 8 | byte]
+            except KeyError:
                 to = self._expand(state, byte)
-            state = to[0]
-            if to[1]:
-                out += to[1]
-        if piece:
-            out += self.final[state]
+            steps.append(to)
+            state = to >> 32
+        return state, steps
+
+    def _chain(self, ends: list[int], at: int) -> list[int]:
+        """The tokens that lead to position `at`."""
+        out, length = [], self.length
+        while at:
+            token = (ends[at - 1] & 0xFFFFFFFF) - 1
+            out.append(token)
+            at -= length[token]
+        out.reverse()
         return out
 
+    def _agreed(self, state: int, ends: list[int]) -> int:
+        """The last position that the chains of all open threads go through."""
+        common: set[int] | None = None
+        for thread in self.threads[state]:
+            at = len(ends) - self.depth[thread & 0xFFFFFFFF]
+            way = {at}
+            while at:
+                at -= self.length[(ends[at - 1] & 0xFFFFFFFF) - 1]
+                way.add(at)
+            common = way if common is None else common & way
+        return max(common) if common else 0
+
 
 #: The UTF-8 state machine: state after a byte, from (state, class of byte). State 0: between characters; 1-3: that many
 #: continuation bytes to come; 4-7: after E0, ED, F0, F4, whose next byte has a narrower range.
@@ -262,7 +293,10 @@ class StreamDecoder:
         self.vocabulary, self.pending = vocabulary, b""
 
     def feed(self, ids: np.ndarray) -> str:
-        data = self.pending + self.vocabulary.join(ids)
+        return self.feed_bytes(self.vocabulary.join(ids))
+
+    def feed_bytes(self, raw: bytes) -> str:
+        data = self.pending + raw
         hold = len(data)
         for back in range(1, min(3, len(data)) + 1):
             if data[-back] >= 0xC0:
@@ -302,45 +336,65 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids: the split pattern, then the transducer for each match."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 100_000):
+    def __init__(self, path: str, pattern: str):
         import regex
 
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(load_ranks(path))
         self.vocabulary = Vocabulary(self.transducer.bytes_of)
-        self.pieces = TwoGenerations(remembered, self._piece)
-        self.chunks = TwoGenerations(remembered, self._chunk)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8"))
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        pieces = self.pattern.findall(chunk)
-        return self.pieces[chunk] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        self.memo = ChunkMemo(self._chunks, self._text)
+
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encode, findall, one = self.transducer.encode, self.pattern.findall, _ONE.fullmatch
+        flat: list[int] = []
+        counts = []
+        for chunk in chunks:
+            before = len(flat)
+            if one(chunk):
+                flat += encode(chunk)
+            else:
+                for piece in findall(chunk.decode("utf-8", "replace")):
+                    flat += encode(piece.encode("utf-8"))
+            counts.append(len(flat) - before)
+        return np.array(flat, np.int32), np.array(counts, np.int64)
+
+    def _text(self, text: str) -> np.ndarray:
+        """A text that holds characters for which the chunks are not known to be safe: the pattern over all of it."""
+        flat: list[int] = []
+        known: dict[str, list[int]] = {}
+        for piece in self.pattern.findall(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = self.transducer.encode(piece.encode("utf-8"))
+                if len(known) < 100_000:
+                    known[piece] = ids
+            flat += ids
+        return np.array(flat, np.int32)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = chunks(text)
-        if parts is None:
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-        return b"".join(map(self.chunks.__getitem__, parts))
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
+        raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return self.memo.encode(raw, np.array([0, len(raw)]))[0].astype("<u4").tobytes()
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per worker process; its memos are bounded."""
-    key = (path, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, pattern)
-        gc.freeze()  # its tables live as long as the worker; scanning them again and again costs more than the merges
+    """One per worker process; its memos are bounded, and go when another operator needs the worker."""
+
+    def make() -> Encoder:
+        made = Encoder(path, pattern)
+        gc.freeze()  # scanning its tables again and again costs more than the merges
         gc.set_threshold(200_000, 50, 100)
-    return _encoders[key]
+        return made
+
+    return worker_tables(("bpe", path, pattern), make)
 
 
-RESULT = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+def decode(vocabulary: Vocabulary, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
+    """The text of the ids, in parts, as the streaming decoder gives it out."""
+    stream = StreamDecoder(vocabulary)
+    for i in range(0, len(ids), step):
+        yield stream.feed(ids[i : i + step])
+    yield stream.close()
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
@@ -353,26 +407,31 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
     give repeated results; other columns are ignored. No shuffle.
     """
     name = id_column
+    names = [name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            for a, b, _, _ in string_blocks(batch.column(1)):  # results of a few texts at a time
-                counts, first, second = [], [], []
-                for text in batch.column(1).slice(a, b - a):
-                    raw = e.encode(text.as_py() or "")
-                    ids = np.frombuffer(raw, "<u4")
-                    stream = StreamDecoder(e.vocabulary)
-                    step = 1 << 16
-                    parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [stream.close()]
-                    decoded = "".join(parts)
-                    counts.append(len(ids))
-                    first.append(hashlib.sha256(raw).hexdigest() if digests else ids.astype(np.int32))
-                    second.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())],
-                    names=[name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
-                )
+            for a, b, data, offsets in string_blocks(batch.column(1)):  # results of a few texts at a time
+                ids, counts = e.memo.encode(data, offsets)
+                ends = np.cumsum(counts)
+                decoded = []
+                for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+                    parts = decode(e.vocabulary, ids[x:y])
+                    if digests:
+                        digest = hashlib.sha256()
+                        for part in parts:
+                            digest.update(part.encode("utf-8"))
+                        decoded.append(digest.hexdigest())
+                    else:
+                        decoded.append("".join(parts))
+                if digests:
+                    raw = memoryview(ids.astype("<u4")).cast("B")
+                    lists = pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True)], pa.string())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.string())], names=names)
+        release()
 
     kind = dict(docs.dtypes)[id_column]
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

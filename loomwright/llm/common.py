@@ -8,15 +8,16 @@ over many documents per numpy call and never over a prefix of any text.
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.sources.shared import new_path
+
 #: Rows of a one- or two-column long table that may be broadcast (about 16 MB); larger sides are shuffled.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that one numpy block holds (a longer document is a block of its own).
@@ -34,31 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again.
 
     Later reads survive lost executors and don't run the lineage once more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows (counted on the executors), else as it is; df should be a staged table."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -72,6 +59,24 @@ def crc_mod3(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- Python side
 
 
+_tables: list[tuple[object, object]] = []
+
+
+def worker_tables(owner: object, make: Callable[[], object]) -> object:
+    """The tables that a worker process keeps between tasks: those of one owner, made at its first use; they replace another owner's."""
+    if not _tables or _tables[0][0] != owner:
+        drop_tables()
+        _tables.append((owner, make()))
+    return _tables[0][1]
+
+
+def drop_tables() -> None:
+    """Called by operators that keep no tables: what an earlier stage kept in this worker goes."""
+    if _tables:
+        _tables.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker is used again by later stages, whose needs differ."""
     pa.default_memory_pool().release_unused()
@@ -110,30 +115,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-_SYMBOL = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more bytes are digested one by one.
+_LONG = 256
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64, kept for later calls up to 2 ** 20 entries."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 20:
-            _powers[base] = have
-    return have[:n]
 
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of symbols[start:end] for each span; equal spans have equal hashes anywhere. Each seed gives a hash of its own.
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of symbols[start:end] for each span; equal spans have equal hashes anywhere."""
-    total = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(_SYMBOL[symbols] * powers(_P, len(symbols)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_P_INV, len(symbols) + 1)[starts] + (ends - starts).astype(np.uint64))
+    Eight bytes at a time go through a mixing step that isn't linear, so no
+    word is built to collide by its form; long spans go through BLAKE2.
+    """
+    raw = np.ascontiguousarray(symbols)
+    starts, size = starts * raw.itemsize, (ends - starts) * raw.itemsize
+    padded = np.concatenate([raw.view(np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mix((size + 1).astype(np.uint64) * _STEP + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64)))
+    use = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[use], size[use]
+    while len(use):
+        out[use] = mix((out[use] + _STEP) ^ (eights[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        use, at, left = use[more], at[more] + 8, left[more] - 8
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : starts[i] + size[i]], digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,14 @@
 """Tokenising blocks of text with a memo of chunks, many documents per numpy call.
 
-A chunk is a run of non-letters and the letters after it. Between a letter and
-a character that is none there is always a match boundary of the byte-level
-split pattern, so chunks can be encoded one by one. A memo, looked up by a
-64-bit hash for a whole block at once, keeps the ids of chunks already seen in
-a fixed number of slots; a chunk that was pushed out is encoded again.
+A chunk is a run of non-letters and the letters after it, cut once more where
+that is safe: before a space that a letter follows, and before letters after a
+sign, a digit, or a newline with a sign, digit or letter in front. Between a
+letter and a character that is none, and at those cuts, there is always a
+match boundary of the byte-level split pattern, and what stands before it is
+split alike without the rest, so chunks can be encoded one by one. A memo, looked up for a
+whole block at once, keeps the ids of chunks already seen in a fixed number of
+slots, each with the length and two independent hashes of its chunk, all of
+which must agree; a chunk that was pushed out is encoded again.
 """
 
 from __future__ import annotations
@@ -21,19 +25,27 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _OTHER = np.zeros(256, bool)
 _OTHER[0xC0:0xC3] = _OTHER[0xC9:] = True
 
+#: ASCII signs and digits but the apostrophe, which may begin a contraction.
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN &= ~LETTER
+_SIGN[39] = False
+
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class ChunkMemo:
     """encode_chunks: UTF-8 chunks -> (all ids in order, number of ids of each); encode_text: ids of one text of any kind."""
 
-    def __init__(self, encode_chunks: Encode, encode_text: Callable[[str], np.ndarray], slots: int = 1 << 21, pool: int = 1 << 24):
+    def __init__(self, encode_chunks: Encode, encode_text: Callable[[str], np.ndarray], slots: int = 1 << 20, pool: int = 1 << 23):
         self.encode_chunks, self.encode_text = encode_chunks, encode_text
         self.mask, self.slots, self.size = np.uint64(slots - 1), slots, pool
         self._reset()
 
     def _reset(self) -> None:
         self.hash = np.zeros(self.slots, np.uint64)
+        self.check = np.zeros(self.slots, np.uint64)
+        self.size_of = np.zeros(self.slots, np.int32)
         self.where = np.zeros(self.slots, np.int32)
         self.count = np.zeros(self.slots, np.int32)
         self.pool = np.zeros(self.size, np.int32)
@@ -59,11 +71,19 @@ class ChunkMemo:
         np.cumsum(strange, out=odd[1:])
         # a lone C2 leads U+0080-U+00BF: spaces, signs and two letters
         other = np.flatnonzero(odd[offsets[1:]] > odd[offsets[:-1]])
-        if self.used + 2 * len(data) > self.size:
+        if self.used + len(data) > self.size:
             self._reset()
         letter = LETTER[data]
         first = ~letter
         first[1:] &= letter[:-1]
+        # a space between a character that is no letter and a letter of the same text
+        inside = np.ones(len(data) + 1, bool)
+        inside[offsets] = False  # False: a text begins here
+        last = ~letter[:-2] & (data[1:-1] == 32) & letter[2:] & inside[2:-1]
+        first[1:-1] |= last
+        sign = _SIGN[data]
+        first[1:] |= letter[1:] & sign[:-1]
+        first[2:] |= letter[2:] & (data[1:-1] == 10) & (sign[:-2] | letter[:-2]) & inside[1:-2]
         first[0] = True
         first[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(first)
@@ -91,21 +111,22 @@ class ChunkMemo:
         return ids, np.diff(bounds)
 
     def _look_up(self, data, starts, ends):
-        h = span_hashes(data, starts, ends)
-        h[h == 0] = 1
+        h, check, size = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1), (ends - starts).astype(np.int32)
         slot = (h & self.mask).astype(np.int64)
         where, count = self.where[slot], self.count[slot]
-        missing = np.flatnonzero(self.hash[slot] != h)
+        missing = np.flatnonzero((self.hash[slot] != h) | (self.check[slot] != check) | (self.size_of[slot] != size))
         if len(missing):
-            new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            one = missing[one]
+            order = missing[np.lexsort((size[missing], check[missing], h[missing]))]
+            a, b = order[1:], order[:-1]
+            new = np.append(True, (h[a] != h[b]) | (check[a] != check[b]) | (size[a] != size[b]))
+            one, which = order[new], np.cumsum(new) - 1
             raw = data.tobytes()
             ids, counts = self.encode_chunks([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
             at = self._add(ids) + np.cumsum(counts) - counts
-            where[missing], count[missing] = at[back], counts[back]
-            slot = (new & self.mask).astype(np.int64)
-            self.hash[slot], self.where[slot], self.count[slot] = new, at, counts
-            # of chunks that share a slot one stays; make its three entries agree
-            kept = self.hash[slot] == new
-            self.where[slot[kept]], self.count[slot[kept]] = at[kept], counts[kept]
+            where[order], count[order] = at[which], counts[which]
+            # of chunks that share a slot one stays, with all its entries
+            slot, last = np.unique(slot[one][::-1], return_index=True)
+            last = len(one) - 1 - last
+            self.hash[slot], self.check[slot], self.size_of[slot] = h[one[last]], check[one[last]], size[one[last]]
+            self.where[slot], self.count[slot] = at[last], counts[last]
         return where, count

@@ -8,7 +8,6 @@ skip to a doc_id; a read of lengths or offsets never touches the id pages.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -19,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_dir, string_blocks, table
+from loomwright.llm.common import string_blocks, table, worker_tables
 from loomwright.llm.pieces import LETTER, ChunkMemo
+from loomwright.sources.shared import new_path
 
 
 @dataclass(frozen=True)
@@ -77,8 +77,8 @@ class LibraryEncoder:
             ids.append(self._text(b"".join(chunks[k] for k in some).decode()))
             ends = np.searchsorted(np.cumsum(self.length[ids[-1]]), np.cumsum(size[some])) + 1
             counts.append(np.diff(ends, prepend=0))
-        for k in alone:
-            ids.append(self._text(chunks[k].decode()))
+        for found in self.library.encode_batch_fast([chunks[k].decode() for k in alone], add_special_tokens=False) if len(alone) else []:
+            ids.append(np.array(found.ids, np.int32))
             counts.append(np.array([len(ids[-1])]))
         count, flat = np.concatenate(counts), np.concatenate(ids)
         start = np.cumsum(count) - count
@@ -93,13 +93,8 @@ def _byte_alphabet() -> set[str]:
     return {chr(b) for b in shown} | {chr(256 + k) for k in range(256 - len(shown))}
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def _encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return worker_tables(("library", path), lambda: LibraryEncoder(path))
 
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -165,7 +160,7 @@ def id_checksums(tokens: DataFrame) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return id_checksums(read_token_files(spark, path))
 

@@ -41,7 +41,7 @@ def test_states_are_bounded():
     small = bpe.Transducer(bpe.load_ranks(PATH), max_states=50)
     for word in ("tionable", "heavenly", "thunderous", "x" * 300) * 3:
         assert b"".join(small.bytes_of[i] for i in small.encode(word.encode())) == word.encode()
-    assert len(small.threads) < 50 + 301
+    assert len(small.threads) < 50 + 301 and len(small.older[2]) < 50 + 301
 
 
 def test_streaming_decode_any_split(both):
@@ -79,3 +79,51 @@ def test_query_rows(spark):
     full = bpe.encode_texts(docs, PATH, P.PATTERN).where("doc_id = 3").first()
     assert full.decoded == "the cat" and len(full.ids) == 2
     assert bpe.encode_texts(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_built_to_collide(both, size):
+    e, library = both
+    texts = [thue_morse(size, "a", "b"), thue_morse(size, "b", "a"), "x " + thue_morse(size, "a", "b"), "x " + thue_morse(size, "b", "a")]
+    for text in texts * 2:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_blocks_equal_library(both):
+    """Many texts of one block: cuts at texts' edges, spaces, signs and newlines."""
+    e, library = both
+    random.seed(12)
+    for _ in range(300):
+        texts = ["".join(random.choice(["the", "A", " ", "  ", "\n", "\n\n", "'s", "'", ",", ".", "12", "\t", "é", "Öl", "###", " '", "\r\n"]) for _ in range(random.randrange(12))) for _ in range(30)]
+        raw = [t.encode() for t in texts]
+        ids, counts = e.memo.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        ends = np.cumsum(counts)
+        for t, a, b in zip(texts, ends - counts, ends, strict=True):
+            assert ids[a:b].tolist() == library.encode_ordinary(t), repr(t)
+
+
+def test_bounded_lookahead(both):
+    e, library = both
+    random.seed(13)
+    for text in ("a" * 3000, "ab" * 2000, "".join(random.choice("etaoinshr") for _ in range(4000)), "th" * 700 + "e" * 700):
+        assert e.transducer.encode(text.encode()) == library.encode_ordinary(text)
+
+
+def test_query(spark):
+    """The registered query's rows against the library, over all documents of the smallest table."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    with open(PATH, "rb") as f:
+        ranks = bpe.load_ranks(f.name)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.op10_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = np.array(library.encode_ordinary(docs[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
