@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import stage
+from loomwright.llm.common import spread_join, stage
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +14,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     side = both if large else both.where("b < a")
     # the least neighbour is a partial aggregate, so a node with many links sends one row per task
     least = side.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = side.join(least, "a")
+    least = stage(least, "least")
+    joined = spread_join(side, least, "a", "inner")  # the centre of a star has many rows
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -38,11 +39,11 @@ def connected(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before.n:
         # every node hangs on one node that hangs on none: done
-        deep = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        deep = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         many = edges.groupBy("a").count().where("count > 1").limit(1).count()
         if not deep and not many:
             break
-        edges = stage(_stars(_stars(edges, True), False), "links")
+        edges = stage(_stars(stage(_stars(edges, True), "stars"), False), "links")
         after = _state(edges)
         if after == before:
             break

@@ -5,8 +5,12 @@ blocks and XORed into their block, so two sets differ in at most as many
 blocks as their symmetric difference has members, which a similarity bounds.
 Sets of a size band use one number of blocks, one more than that bound:
 linked sets then agree in a block (pigeonhole). A set sends its first
-(bound + 1) blocks that aren't empty; where it has fewer, all blocks. Sets
-that agree in a block are candidates. A smaller bit sketch, whose Hamming
+(bound + 1) blocks that aren't empty. Where it has fewer, its members stand
+close together in few blocks; it then sends those, and its first members in
+hash order: of two linked sets of this kind, whose blocks may all differ but
+the empty ones, those overlap (prefix filter). So the empty block, which
+unrelated short texts share, is no bucket. Sets that share a key are
+candidates. A smaller bit sketch, whose Hamming
 distance also lies below the symmetric difference, discards most wrong
 candidates, and the shingles of both texts decide the rest.
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ascii_words, checked_broadcast, mix, release, stage, string_blocks, table
+from loomwright.llm.common import ascii_words, checked_broadcast, drop_tables, mix, release, spread_join, stage, string_blocks, table
 from loomwright.llm.components import connected
 
 #: Sizes of one band differ by less than this factor.
@@ -36,15 +40,25 @@ BAND = 1.5
 SMALL = 6
 #: From so many sets of one bucket in a task on, the task sends one of them for all.
 LOCAL = 16
+#: Sets whose sketches may be broadcast: some 100 bytes each, of sets of many members more.
+SKETCHES = 50_000
 #: Members of one tile of a bucket.
 TILE = 512
+#: Pairs with one hub that a task verifies; a hub's text is sent once for each so many.
+HUB = 256
 
 
 class Rule:
-    """Similarity p / q over shingles of k words: bands and bounds in whole numbers."""
+    """Similarity p / q over shingles of k words: bands and bounds in whole numbers.
 
-    def __init__(self, k: int, p: int, q: int):
+    clash: hashes that several sets share; those sets go by their second hash.
+    hash_bits: of the first hash (fewer in tests, so that sets clash).
+    """
+
+    def __init__(self, k: int, p: int, q: int, hash_bits: int = 64):
         self.k, self.p, self.q = k, p, q
+        self.clash = np.zeros(0, np.int64)
+        self.shift = np.uint64(64 - hash_bits)
         self.high = [1]
         while self.high[-1] < 1 << 40:
             self.high.append(max(self.high[-1] + 1, int(self.high[-1] * BAND)))
@@ -56,6 +70,12 @@ class Rule:
         b = a * self.q // self.p if b is None else b
         return (a + b) * (self.q - self.p) // (self.q + self.p)
 
+    def names(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What each set goes by: its first hash, or its second where the first is shared."""
+        out = (set_hashes(hashes, first).view(np.uint64) >> self.shift).view(np.int64)
+        shared = np.isin(out, self.clash)
+        return np.where(shared, set_hashes(hashes, first, 1), out) if shared.any() else out
+
     def linked(self, common: int, a: int, b: int) -> bool:
         return a > 0 and b > 0 and self.q * common >= self.p * (a + b - common)
 
@@ -90,9 +110,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return out[new], kept[start]
 
 
-def set_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash per set; 0 for the empty set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)))])
+def set_hashes(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One hash per set, for each seed another one; 0 for the empty set."""
+    salt = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[seed])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes * (salt | np.uint64(1)) ^ salt))])
     n = np.diff(first)
     out = mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
     return np.where(n > 0, np.maximum(out, np.uint64(1)), np.uint64(0)).view(np.int64)
@@ -105,13 +126,34 @@ def bit_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    x, y = np.unpackbits(np.frombuffer(a, np.uint8)), np.unpackbits(np.frombuffer(b, np.uint8))
-    while len(x) > len(y):
-        x = x[0::2] ^ x[1::2]
-    while len(y) > len(x):
-        y = y[0::2] ^ y[1::2]
-    return int(np.count_nonzero(x != y))
+#: By byte: the XORs of its neighbouring bits, as four bits.
+_HALF = np.array([sum((b >> 2 * i & 1 ^ b >> 2 * i + 1 & 1) << i for i in range(4)) for b in range(256)], np.uint8)
+
+
+def fold(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of packed sketches folded to `size` bytes."""
+    while sketches.shape[1] > size:
+        half = _HALF[sketches]
+        sketches = half[:, 0::2] << 4 | half[:, 1::2]
+    return sketches
+
+
+def distances(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Hamming distance of each two sketches, at the length of the shorter."""
+    sides = []
+    for c in (x, y):
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        sides.append((np.frombuffer(c.buffers()[2] or b"", np.uint8), at[:-1], np.diff(at)))
+    (data_x, at_x, size_x), (data_y, at_y, size_y) = sides
+    out = np.zeros(len(x), np.int64)
+    for a, b in np.unique(np.stack([size_x, size_y], axis=1), axis=0).tolist():
+        rows = np.flatnonzero((size_x == a) & (size_y == b))
+        for i in range(0, len(rows), max(1, (1 << 20) // max(a, b))):
+            some = rows[i : i + max(1, (1 << 20) // max(a, b))]
+            one = fold(data_x[at_x[some][:, None] + np.arange(a)], min(a, b))
+            two = fold(data_y[at_y[some][:, None] + np.arange(b)], min(a, b))
+            out[some] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,19 +182,17 @@ def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
         full = np.bincount(holder, minlength=len(sets))
         start = np.cumsum(full) - full
         send = np.arange(len(holder)) - start[holder] <= bound[holder]
-        lone = np.flatnonzero(full <= bound)  # too few: the empty blocks, too
         holder, block, value = holder[send], block[send], value[send]
-        if len(lone):
-            empty_of = np.repeat(lone, blocks[lone])
-            empty = np.arange(len(empty_of)) - np.repeat(np.cumsum(blocks[lone]) - blocks[lone], blocks[lone])
-            wide = np.int64(blocks.max())
-            there = np.isin(empty_of * wide + empty, holder * wide + block)
-            holder = np.concatenate([holder, empty_of[~there]])
-            block = np.concatenate([block, empty[~there]])
-            value = np.concatenate([value, np.zeros(np.count_nonzero(~there), np.uint64)])
         tag = mix((band[holder].astype(np.uint64) << np.uint64(40)) + block.astype(np.uint64))
         numbers.append(sets[holder])
         keys.append(mix(value + tag))
+        # too few blocks: the first members in hash order (members are sorted), enough that linked sets share one
+        lone = np.flatnonzero(full <= bound)
+        if len(lone):
+            many = size[lone] + (-size[lone] * rule.p) // rule.q + 1
+            ends = np.cumsum(many)
+            numbers.append(np.repeat(sets[lone], many))
+            keys.append(mix(hashes[np.arange(ends[-1]) + np.repeat(first[sets[lone]] - ends + many, many)] ^ np.uint64(0xA0761D6478BD642F)))
         down += 1
     if not numbers:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -163,16 +203,17 @@ def block_keys(rule: Rule, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
 
 
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (members), h (hash of the set), sketch."""
+    """doc_id, n (members), h (hash of the set), h2 (a second one), sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         for batch in batches:
             for a, b, data, offsets in string_blocks(batch.column(1)):
                 hashes, first = sets_of(data, offsets, rule.k)
                 sketches = [bit_sketch(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(set_hashes(hashes, first)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "h", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(rule.names(hashes, first)), pa.array(set_hashes(hashes, first, 1)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "h", "h2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h long, h2 long, sketch binary")
 
 
 _KEYS = "kind byte, key long, h long"
@@ -188,7 +229,7 @@ def _bucket_rows(docs: DataFrame, rule: Rule) -> DataFrame:
             for _, _, data, offsets in string_blocks(batch.column(0)):
                 hashes, first = sets_of(data, offsets, rule.k)
                 number, key = block_keys(rule, hashes, first)
-                held.append((key, set_hashes(hashes, first)[number]))
+                held.append((key, rule.names(hashes, first)[number]))
                 size += len(key)
                 if size > 1_000_000:
                     yield _combine(held)
@@ -279,14 +320,16 @@ def _near_in_sketch(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            x, y = batch.column(3), batch.column(5)
-            keep = [rule.p * max(i, j) <= rule.q * min(i, j) and hamming(x[r].as_py(), y[r].as_py()) <= rule.bound(min(i, j), max(i, j)) for r, (i, j) in enumerate(zip(n, m, strict=True))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            fit = np.flatnonzero(rule.p * np.maximum(n, m) <= rule.q * np.minimum(n, m))
+            some = batch.take(pa.array(fit))
+            far = distances(some.column(3), some.column(5))
+            yield some.select([0, 1]).filter(pa.array(far <= (n + m)[fit] * (rule.q - rule.p) // (rule.q + rule.p)))
 
-    one = sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    one = stage(sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "first-sets")
     two = sets.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
+    met = spread_join(stage(pairs.select("a", "b"), "to-compare"), one, "a", "inner", SKETCHES)
+    return spread_join(met, two, "b", "inner", SKETCHES).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -300,7 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
             for side in (3, 2):
                 for x, y, data, offsets in string_blocks(batch.column(side)):
                     hashes, first = sets_of(data, offsets, rule.k)
-                    h = set_hashes(hashes, first)
+                    h = rule.names(hashes, first)
                     for i in range(x, y):
                         s = hashes[first[i - x] : first[i - x + 1]]
                         if side == 3:
@@ -312,25 +355,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
                             good[i] = rule.linked(common, len(s), len(t))
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    pairs = stage(pairs.join(sets.select(F.col("h").alias("a"), F.col("doc_id").alias("id_a")), "a").join(sets.select(F.col("h").alias("b"), F.col("doc_id").alias("id_b")), "b").select("a", "b", "id_a", "id_b"), "pairs")
+    # the texts of a pair meet at its second set; one that is in many pairs is dealt over several tasks
+    ids = sets.select("h", "doc_id")
+    named = spread_join(pairs, ids.select(F.col("h").alias("a"), F.col("doc_id").alias("id_a")), "a", "inner")
+    named = stage(spread_join(named, ids.select(F.col("h").alias("b"), F.col("doc_id").alias("id_b")), "b", "inner").select("a", "b", "id_a", "id_b"), "pairs")
+    many = stage(named.groupBy("id_b").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts")).where("parts > 1"), "hubs")
+    named = spread_join(named, many, "id_b").withColumn("part", F.pmod(F.xxhash64("id_a"), F.coalesce("parts", F.lit(1)))).select("a", "b", "id_a", "id_b", "part")
+    named = stage(named, "parted-pairs")
     text = docs.where("text is not null").select("doc_id", "text")
-    first = text.withColumnRenamed("text", "text_a").join(checked_broadcast(pairs), F.col("doc_id") == F.col("id_a")).drop("doc_id")
-    second = text.join(checked_broadcast(pairs.select(F.col("id_b").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b"))
-    return first.join(second, "id_b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    first = text.withColumnRenamed("text", "text_a").join(checked_broadcast(named), F.col("doc_id") == F.col("id_a")).drop("doc_id")
+    wanted = named.select(F.col("id_b").alias("doc_id"), "part").distinct()
+    second = text.join(checked_broadcast(wanted), "doc_id").select(F.col("doc_id").alias("id_b"), "part", F.col("text").alias("text_b"))
+    return first.join(second, ["id_b", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one component yet."""
     one = component.select(F.col("node").alias("a"), F.col("root").alias("r_a"))
     two = component.select(F.col("node").alias("b"), F.col("root").alias("r_b"))
-    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).drop("r_a", "r_b")
+    return spread_join(spread_join(pairs, one, "a"), two, "b").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).drop("r_a", "r_b")
 
 
 def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Members (key, h, root) of buckets that hold more than one component."""
-    rows = members.join(component.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    """Members (key, h, root) of buckets that hold more than one component, and how many these have."""
+    rows = stage(spread_join(members, component.select(F.col("node").alias("h"), "root"), "h").withColumn("root", F.coalesce("root", "h")), "rooted")
     keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size")
-    return rows.join(keys, "key")
+    return spread_join(rows, stage(keys, "mixed-keys"), "key", "inner")
 
 
 def _tiles(mixed: DataFrame, sets: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
@@ -352,7 +402,7 @@ def _tiles(mixed: DataFrame, sets: DataFrame, rule: Rule, nearest: bool) -> Data
         if rest is not None and rest.num_rows:
             yield _near(rest, rule, nearest)
 
-    rows = mixed.join(sets.select("h", "n", "sketch"), "h").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    rows = spread_join(mixed, sets.select("h", "n", "sketch"), "h", "inner", SKETCHES).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), (F.col("mine") >= F.col("other")).alias("up"), (F.col("mine") <= F.col("other")).alias("down"), "h", "root", "n", "sketch")
@@ -366,18 +416,12 @@ def _near(group: pa.Table, rule: Rule, nearest: bool) -> pa.RecordBatch:
     up, down, h, root, n = (group.column(i).to_numpy() for i in range(1, 6))
     raw = group.column(6).to_pylist()
     length = np.array([len(x) for x in raw], np.int64)
-    bits: dict[int, np.ndarray] = {}
     out = []
     sizes = np.unique(length).tolist()
-    full = {z: np.unpackbits(np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(length == z)), np.uint8).reshape(-1, z), axis=1) for z in sizes}
+    full = {z: np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(length == z)), np.uint8).reshape(-1, z) for z in sizes}
     for z in sizes:
         # sketches of z bytes or more, folded to z bytes; each pair is met at its shorter one
-        bits = {}
-        for w in sizes[sizes.index(z) :]:
-            m = full[w]
-            while m.shape[1] > 8 * z:
-                m = m[:, 0::2] ^ m[:, 1::2]
-            bits[w] = np.packbits(m, axis=1)
+        bits = {w: fold(full[w], z) for w in sizes[sizes.index(z) :]}
         left = np.flatnonzero(length == z)
         for w, packed in bits.items():
             right = np.flatnonzero(length == w)
@@ -401,7 +445,7 @@ def _near(group: pa.Table, rule: Rule, nearest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h[i][new]), pa.array(h[j][new]), pa.array(low[new]), pa.array(high[new]), pa.array(far[new], pa.int32())], names=["a", "b", "r_a", "r_b", "far"])
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of documents linked by a shingle similarity of p / q or more.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased.
@@ -412,10 +456,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     links with nothing and has a null component. An empty table gives no rows;
     other columns are ignored.
     """
-    rule = Rule(k, p, q)
-    described = stage(describe(docs, rule), "sets")
-    full = described.where("n > 0 and doc_id is not null")
-    sets = stage(full.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    rule = Rule(k, p, q, hash_bits)
+    described, sets = _classes(docs, rule)
     found = stage(_candidates(_bucket_rows(docs.where("doc_id is not null"), rule)), "candidates")
     pairs = stage(found.where("kind > 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("kind").alias("kind")), "pairs")
     members = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct()
@@ -431,13 +473,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     for nearest in (True, False):
         mixed = stage(_mixed(members, component), "mixed")
         component = joined(stage(_tiles(mixed, sets, rule, nearest), "near"), component)
-    ids = described.select("doc_id", "n", "h").join(component.select(F.col("node").alias("h"), "root"), "h", "left")
-    linked = ids.where("root is not null and doc_id is not null and n > 0")
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
-    # the same text under several ids, or several texts under one id
-    alone = sets.select("h", F.col("doc_id").alias("first"))
-    out = ids.join(least, "root", "left").join(alone, "h", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", F.when(F.col("n") > 0, F.col("first")), "doc_id")).alias("component_id"))
+    # the least doc_id of each class's component, by the class; classes without links are their own
+    rooted = stage(spread_join(sets.select("h", "doc_id"), component.select(F.col("node").alias("h"), "root"), "h"), "rooted-classes")
+    least = stage(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    named = stage(spread_join(rooted, least, "root").select("h", F.coalesce("least", "doc_id").alias("least")), "named-classes")
+    out = spread_join(described.select("doc_id", "n", "h"), named, "h")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def _classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """describe(), and the different sets (h, doc_id: the least that has it, n, sketch). Different sets never share h: rule.clash is filled."""
+    described = stage(describe(docs, rule), "sets")
+    while True:
+        full = described.where("n > 0 and doc_id is not null")
+        one = full.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min(F.struct("n", "h2")) != F.max(F.struct("n", "h2"))).alias("shared"))
+        sets = stage(one, "classes")
+        # of 64-bit hashes of N different sets some N * N / 2 ** 65 are shared: three of 10 ** 10
+        clash = [r.h for r in sets.where("shared").select("h").toLocalIterator()]
+        if not clash:
+            return described, sets.drop("shared")
+        if len(rule.clash):
+            raise RuntimeError("sets share both hashes")
+        rule.clash = np.array(clash, np.int64)
+        described = stage(describe(docs, rule), "sets")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:

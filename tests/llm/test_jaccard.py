@@ -1,7 +1,10 @@
 import random
 
+import pyarrow as pa
+
+from loomwright.llm.common import spread_join
 from loomwright.llm.components import connected
-from loomwright.llm.jaccard import Rule, jaccard_groups, keep_one_of_each
+from loomwright.llm.jaccard import Rule, distances, jaccard_groups, keep_one_of_each
 
 SCHEMA = "doc_id long, text string, n long, h string"
 
@@ -72,3 +75,63 @@ def test_nulls_repeats_and_empty(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 61), (None, 1)], "a long, b long")
     assert sorted(map(tuple, connected(edges).collect())) == [(i, 0) for i in range(31)] + [(60, 60), (61, 60)]
+
+
+def mixed_rows():
+    random.seed(8)
+    rows = []
+    hub = [f"h{i}" for i in range(120)]
+    for n in range(500):  # a hub and its near copies
+        w = list(hub)
+        if n:
+            w[random.randrange(120)] = f"v{n}"
+        rows.append((len(rows), " ".join(w), 1, "x"))
+    for _ in range(400):  # short texts that share a passage but aren't linked, or are
+        w = [random.choice("pqrs") + str(random.randrange(3)) for _ in range(random.randrange(1, 9))]
+        rows.append((len(rows), " ".join(["all", "of", "these"] + w + ["share", "some", "words"]), 1, "x"))
+    word = "ab"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for w in (word, word.translate(str.maketrans("ab", "ba"))):
+        rows.append((len(rows), f"one two three {w}", 1, "x"))
+        rows.append((len(rows), w, 1, "x"))
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows += [(len(rows), long, 1, "x"), (len(rows) + 1, long + " end", 1, "x"), (len(rows) + 2, "x" * 300_000, 1, "x")]
+    return rows
+
+
+def test_hub_short_texts_long_words(spark):
+    rows = mixed_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute(rows, 4, 85, 100)
+    assert sorted(map(tuple, jaccard_groups(docs, 4, 85).collect())) == want
+    # six-bit set hashes: all sets go by their second hash
+    some = [r for r in rows if r[0] % 5 == 0 or r[0] > 890]
+    assert sorted(map(tuple, jaccard_groups(spark.createDataFrame(some, SCHEMA), 4, 85, hash_bits=6).collect())) == brute(some, 4, 85, 100)
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(100)] + [(200, None)], "i long, key long")
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (9, "c")], "key long, name string")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, left.join(right, "key", how).select("i", "key", "name").collect()))
+        for keys in (1, 2):
+            assert sorted(map(tuple, spread_join(left, right, "key", how, limit=0, hot_keys=keys).select("i", "key", "name").collect())) == want
+
+
+def test_distances_by_bits():
+    rng = random.Random(4)
+    raw = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 2, 4, 8, 4, 2, 1, 8)]
+
+    def plain(a, b):
+        x, y = ([b >> 7 - i & 1 for b in s for i in range(8)] for s in (a, b))
+        while len(x) != len(y):
+            if len(x) > len(y):
+                x = [p ^ q for p, q in zip(x[::2], x[1::2])]
+            else:
+                y = [p ^ q for p, q in zip(y[::2], y[1::2])]
+        return sum(p != q for p, q in zip(x, y))
+
+    pairs = [(a, b) for a in raw for b in raw]
+    got = distances(pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()))
+    assert got.tolist() == [plain(a, b) for a, b in pairs]
