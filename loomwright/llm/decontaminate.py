@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import checked_broadcast, letter_words, shingles, stage, string_blocks, table
+from loomwright.llm.common import checked_broadcast, drop_tables, letter_words, shingles, stage, string_blocks, table
 from loomwright.llm.subwords import texts_block
 
 SHINGLE = 5
@@ -215,6 +215,7 @@ def _search(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         x = shared.value
         sizes = sorted({g[0] for g in x.groups})
         for batch in batches:

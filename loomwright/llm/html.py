@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import checked_broadcast, mix, shingles, stage, table
+from loomwright.llm.common import checked_broadcast, drop_tables, mix, shingles, stage, table
 
 
 @dataclass(frozen=True)
@@ -358,6 +358,7 @@ def _counts(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
     """host, node, pages, same: different pages of the host, and those with the reference's text in the node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         known = _References()
         for batch in batches:
             hosts, nodes, sketches = [], [], []
@@ -382,6 +383,7 @@ def _extracted(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
     kind = dict(rows.dtypes)["page_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         known = _References()
         for batch in batches:
             texts = []

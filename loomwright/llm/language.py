@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import crc_mod3, string_blocks, table
+from loomwright.llm.common import crc_mod3, drop_tables, string_blocks, table
 from loomwright.llm.subwords import Words, bounded_sample, distinct, grams, texts_block, training_part, words_of
 
 #: First code points of the ranges of a script, in order; -1: no script of its own. Fixed values.
@@ -108,7 +108,8 @@ class LanguageModel:
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, cells: int = 1 << 20) -> np.ndarray:
     """The best path of each text (rows first[i] to first[i + 1]), all texts of about one length step by step together."""
-    labels = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))
+    labels = np.zeros(len(scores), kind)
     size = np.diff(first)
     if not len(scores):
         return labels
@@ -123,14 +124,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, cells: int = 1
         begin, length = first[some], size[some]
         active = np.searchsorted(-length, -np.arange(1, longest + 1), "right")  # texts with more than t words
         best = scores[begin].astype(np.float64)
-        came = np.zeros((longest, len(some), states), np.int8)
-        keep = np.arange(states, dtype=np.int8)
+        came = np.zeros((longest, len(some), states), kind)
+        keep = np.arange(states, dtype=kind)
         for t in range(1, longest):
             n = active[t]
             top = best[:n].argmax(axis=1)
             leave = best[np.arange(n), top] - switch
             move = leave[:, None] > best[:n]
-            came[t, :n] = np.where(move, top[:, None].astype(np.int8), keep)
+            came[t, :n] = np.where(move, top[:, None].astype(kind), keep)
             best[:n] = np.where(move, leave[:, None], best[:n]) + scores[begin[:n] + t]
         state = best.argmax(axis=1)
         for t in range(longest - 1, -1, -1):
@@ -180,6 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False, id_colu
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         m = shared.value
         names = np.array([*m.names, "und"], object)
         for batch in batches:
@@ -188,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel, spans: bool = False, id_colu
                 if m.names:
                     w, labels, many = m.label(data, offsets)
                     doc = np.repeat(np.arange(n), np.diff(w.first))
-                    held = np.bincount(doc * len(m.names) + labels, many, n * len(m.names)).reshape(n, -1)
+                    held = np.bincount(doc * len(m.names) + labels.astype(np.int64), many, n * len(m.names)).reshape(n, -1)
                 else:
                     held = np.zeros((n, 1))
                 total = held.sum(axis=1)

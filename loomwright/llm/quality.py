@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ascii_words, checked_broadcast, crc_mod3, stage, string_blocks, table
+from loomwright.llm.common import ascii_words, crc_mod3, drop_tables, spread_join, stage, string_blocks, table
 from loomwright.llm.subwords import bounded_sample, texts_block, training_part
 
 
@@ -27,6 +27,7 @@ class QualityParameters:
     """Training rows are bounded: per_label of each label. keep_from: least score of a document that is kept."""
 
     per_label: int = 3000
+    #: Longer texts are no training rows (they are scored whole).
     train_chars: int = 50_000
     ridge: float = 1e-3
     site_weight: float = 0.5
@@ -128,16 +129,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParameters) -> Evidence:
     return train(found["text"].tolist(), found["quality"].astype(int).tolist(), p)
 
 
-def evidence(docs: DataFrame, model: Evidence, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and __p, the model's probability that the text is good. No shuffle."""
+def evidence(docs: DataFrame, model: Evidence, keep: tuple[str, ...], text_column: str = "text") -> DataFrame:
+    """The kept columns and __p, the model's probability that the text is good. No shuffle; a kept text crosses to Python once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = keep if text_column in keep else (*keep, text_column)
+    at = sent.index(text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         for batch in batches:
-            parts = [shared.value.probability(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*keep, "__p"])
+            parts = [shared.value.probability(data, offsets) for _, _, data, offsets in string_blocks(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*keep, "__p"])
 
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("__p", "double"))
+    return docs.select(*sent).mapInArrow(run, docs.select(*keep).schema.add("__p", "double"))
 
 
 def _pseudo(groups: DataFrame, mean: str) -> Column:
@@ -170,7 +174,7 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
 
 def _scored(rows: DataFrame, sites: DataFrame, prior: float, p: QualityParameters) -> DataFrame:
     """rows with __host_posterior, __path_posterior and __score; a document's own evidence is taken out of its site's sums."""
-    x = rows.join(checked_broadcast(sites), "__path", "left")
+    x = spread_join(rows, sites, "__path")
     inside = lambda q: F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda q: F.log(q / (1 - q))
     host = (F.col("__host_s") - F.col("__p") + F.col("__a_host") * prior) / (F.col("__host_n") - 1 + F.col("__a_host"))
@@ -198,11 +202,21 @@ def score_quality(docs: DataFrame, model: Evidence, p: QualityParameters | None
 
 
 def keep_good(docs: DataFrame, model: Evidence, p: QualityParameters | None = None, site_column: str = "source") -> DataFrame:
-    """The rows of docs, all columns, that score_quality would keep. Texts are scored twice and never shuffled."""
+    """The rows of docs, all columns, that score_quality would keep. Texts are scored twice and never shuffled.
+
+    Null or empty texts are judged as score_quality does, rows without a site
+    by the table's prior. Repeated rows and rows with null or repeated doc_ids
+    are documents each. An empty table gives no rows; columns of any name pass.
+    """
     p = p or QualityParameters()
-    keyed = _keyed(docs, site_column)
-    sites, prior = site_posteriors(evidence(keyed, model, ("__host", "__path")))
-    return _scored(evidence(keyed, model, tuple(keyed.columns)), sites, prior, p).where(F.col("__score") >= p.keep_from).select(*docs.columns)
+    names = docs.columns
+    own = tuple(f"c{i}" for i in range(len(names)))
+    text = own[names.index("text")]
+    keyed = _keyed(docs.toDF(*own), own[names.index(site_column)])
+    sites, prior = site_posteriors(evidence(keyed, model, ("__host", "__path"), text))
+    # beyond the bound of a broadcast only texts of rare sites are shuffled; those of frequent ones stay where they are
+    scored = _scored(evidence(keyed, model, (*own, "__host", "__path"), text), sites, prior, p)
+    return scored.where(F.col("__score") >= p.keep_from).select(*own).toDF(*names)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import string_blocks, table
+from loomwright.llm.common import crc_mod3, drop_tables, string_blocks, table
 from loomwright.llm.subwords import bounded_sample, distinct, grams, training_part, vocabulary, words_of
 
 #: A passage is two half passages of so many words, one after the other.
@@ -200,37 +200,49 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParameters) -> Folded:
     return train(found["text"].tolist(), found["toxic"].astype(int).tolist(), p)
 
 
-def score_documents(docs: DataFrame, model: Folded, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs with score (0 to 1): the probability that the strongest passage is toxic.
+def score_documents(docs: DataFrame, model: Folded, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", below: float | None = None) -> DataFrame:
+    """The kept columns of docs with __score (0 to 1): the probability that the strongest passage is toxic; with `below` only rows that score less.
 
     Null, empty or blank text: 0. Every word of a long text counts. Repeated
     rows score alike; names of other columns don't matter. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
-    names = [*keep, "score"]
+    sent = keep if text_column in keep else (*keep, text_column)
+    at = sent.index(text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables()
         m = shared.value
         for batch in batches:
-            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
+            parts = [m.score(data, offsets) for _, _, data, offsets in string_blocks(batch.column(at))]
+            scores = np.concatenate(parts) if parts else np.zeros(0)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "__score"])
+            yield out if below is None else out.filter(pa.array(scores < below))
 
-    out = schema.add("score", "double")
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, out)
+    return docs.select(*sent).mapInArrow(run, docs.select(*keep).schema.add("__score", "double"))
 
 
 def predict(docs: DataFrame, labels: DataFrame, p: ToxicityParameters | None = None, threshold: float = 0.7) -> DataFrame:
-    from loomwright.llm.common import crc_mod3
+    """doc_id, held_out, score and predicted (score >= threshold) of every row, by a model of the rows that aren't held out.
 
-    scored = score_documents(docs, fit(docs, labels, p or ToxicityParameters()))
-    return scored.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    Null doc_ids are not held out and not learned from. Null or empty texts
+    score 0, repeated rows alike. No labels: no document is toxic. An empty
+    table gives no rows; other columns, whatever their names, are ignored.
+    """
+    rows = docs.select("doc_id", "text")
+    scored = score_documents(rows, fit(rows, labels, p or ToxicityParameters()))
+    return scored.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model: Folded, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold. No shuffle."""
-    scored = score_documents(docs.withColumnRenamed("score", "__kept_score"), model, tuple("__kept_score" if c == "score" else c for c in docs.columns))
-    return scored.where(F.col("score") < threshold).drop("score").withColumnRenamed("__kept_score", "score").select(*docs.columns)
+    """The rows of docs, all columns, that score below the threshold; texts cross to Python once. No shuffle.
+
+    Null or empty texts and rows without a doc_id stay as their score says.
+    Repeated rows stay or go together. Columns of any name pass.
+    """
+    names = docs.columns
+    own = tuple(f"c{i}" for i in range(len(names)))
+    return score_documents(docs.toDF(*own), model, own, own[names.index("text")], threshold).drop("__score").toDF(*names)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,73 @@ def test_toxicity_unseen_misspellings(spark):
 @pytest.mark.parametrize("one", [0, 1])
 def test_one_label(one):
     assert (toxicity.train(["a b"], [one], toxicity.ToxicityParameters()).score(*texts_block(["a b"]))[0] > 0.5) == bool(one)
+
+
+def test_many_languages():
+    """More labels than a byte holds come out as themselves."""
+    rng = np.random.default_rng(9)
+    scores = rng.normal(0, 1, (400, 300)).astype(np.float32)
+    best = rng.integers(0, 300, 400)
+    scores[np.arange(400), best] += 50
+    assert language.viterbi(scores, np.array([0, 100, 100, 400]), 1.0).tolist() == best.tolist()
+    names = [f"l{i:03d}" for i in range(150)]
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}qzj{i:03d}"[:5] * 2 for i in range(150)]
+    model = language.train([f"{w} {w} {w}" for w in words], names, language.LanguageParameters())
+    w, labels, _ = model.label(*texts_block([f"{words[140]} {words[140]}", words[3]]))
+    assert [model.names[i] for i in labels] == ["l140", "l140", "l003"]
+
+
+def test_posteriors_against_numpy(spark):
+    """Host and path posteriors worked out once more with plain loops, each document's own evidence left out."""
+    rng = random.Random(3)
+    rows = [(i, f"h{rng.randrange(4)}/p{rng.randrange(5)}/x" if rng.random() < 0.9 else None, rng.random() ** 2) for i in range(400)]
+    p = quality.QualityParameters()
+    keyed = quality._keyed(spark.createDataFrame(rows, "doc_id long, source string, __p double"), "source")
+    sites, prior = quality.site_posteriors(keyed)
+    got = {r.doc_id: r for r in quality._scored(keyed, sites, prior, p).collect()}
+    mean = sum(r[2] for r in rows) / len(rows)
+    hosts, paths = {}, {}
+    for _, site, e in rows:
+        if site:
+            hosts.setdefault(site.split("/")[0], []).append(e)
+            paths.setdefault("/".join(site.split("/")[:2]), []).append(e)
+
+    def pseudo(groups, of):
+        some = {k: v for k, v in groups.items() if len(v) >= 2}
+        within = sum(len(v) * of(k) * (1 - of(k)) for k, v in some.items())
+        between = sum(len(v) * (sum(v) / len(v) - of(k)) ** 2 for k, v in some.items())
+        return min(1000.0, max(1.0, within / between - 1))
+
+    a = pseudo(hosts, lambda k: mean)
+    host_mean = {k: (sum(v) + a * mean) / (len(v) + a) for k, v in hosts.items()}
+    b = pseudo(paths, lambda k: host_mean[k.split("/")[0]])
+    for i, site, e in rows:
+        host = path = mean
+        if site:
+            h, q = hosts[site.split("/")[0]], paths["/".join(site.split("/")[:2])]
+            host = (sum(h) - e + a * mean) / (len(h) - 1 + a)
+            path = (sum(q) - e + b * host) / (len(q) - 1 + b)
+        assert abs(got[i]["__host_posterior"] - host) < 1e-9 and abs(got[i]["__path_posterior"] - path) < 1e-9
+        odds = lambda x: np.log(x / (1 - x))
+        inside = min(max(e, 1e-6), 1 - 1e-6)
+        assert abs(got[i]["__score"] - 1 / (1 + np.exp(-(odds(inside) + p.site_weight * (odds(path) - odds(mean)))))) < 1e-9
+
+
+def test_stages_odd_rows(spark):
+    """Nulls, repeated rows, clashing columns and empty tables in the stages that keep documents whole."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    columns = "doc_id long, text string, lang string, source string, __host string, __p double, score double, held_out string, predicted string, item_id long, c0 string"
+    rows = [(i, ("nasty worthless words " if i % 2 else "calm and pleasant words ") * 5, "en", "h/p", "a", 0.5, 1.0, "b", "c", 3, "d") for i in range(60)]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None), (70, "", "", "", "", 0.0, 0.0, "", "", 0, "")] + rows[:2]
+    docs = spark.createDataFrame(rows, columns)
+    good = quality.keep_good(docs, quality.train([], [], quality.QualityParameters()))
+    assert good.columns == docs.columns and sorted(map(str, good.collect())) == sorted(map(str, docs.collect()))
+    model = toxicity.fit(docs, labels, toxicity.ToxicityParameters())
+    civil = toxicity.keep_civil(docs, model)
+    assert civil.columns == docs.columns
+    assert {r.doc_id for r in civil.collect()} == {None, 70} | set(range(0, 60, 2)) and civil.where("doc_id = 0").count() == 2
+    found = toxicity.predict(docs, labels)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.where("doc_id = 1").count() == 2
+    for step in (quality.keep_good, toxicity.keep_civil):
+        assert step(docs.limit(0), quality.train([], [], quality.QualityParameters()) if step is quality.keep_good else model).count() == 0
+    assert toxicity.predict(docs, labels.limit(0)).where("predicted = 1").count() == 0

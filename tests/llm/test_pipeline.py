@@ -18,7 +18,7 @@ def test_stages(spark):
     good = {r.doc_id for r in quality.score_quality(docs, quality.fit(docs, labels, p), p).where("keep = 1").collect()}
     left = docs.where(docs.doc_id.isin(list(good))).cache()
     model = toxicity.fit(left, labels, toxicity.ToxicityParameters())
-    civil = {r.doc_id for r in toxicity.score_documents(left, model).where("score < 0.7").collect()}
+    civil = {r.doc_id for r in toxicity.score_documents(left, model).where("__score < 0.7").collect()}
     left = left.where(left.doc_id.isin(list(civil))).cache()
     one = {r.doc_id for r in jaccard.jaccard_groups(left).where("doc_id = component_id").collect()}
     leaked = {r.doc_id for r in decontaminate.find_leaks(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
