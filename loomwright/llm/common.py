@@ -51,17 +51,20 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, hot_keys: int = 10_000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = 100_000, hot_rows: int = 1_000, hot_keys: int = 10_000) -> DataFrame:
     """left joined with right, which holds each key once; how: "left" or "inner". Both should be staged tables.
 
     A right side of at most limit rows is broadcast. Beyond that, the keys that
-    most rows of left have meet their rows of right by a broadcast of at most
-    hot_keys rows, and only the others are shuffled, so that no task gets all
-    rows of a frequent key.
+    most rows of left have (hot_rows at least) meet their rows of right by a
+    broadcast of at most hot_keys rows, and only the others are shuffled, so
+    that no task gets all rows of a frequent key.
     """
     if right.count() <= limit:
         return left.join(F.broadcast(right), key, how)
-    hot = stage(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), key).limit(hot_keys).select(key), "hot-keys")
+    many = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
+    hot = stage(many.orderBy(F.desc("__n"), key).limit(hot_keys).select(key), "hot-keys")
+    if not hot.count():
+        return left.join(right, key, how)
     few = stage(right.join(F.broadcast(hot), key, "left_semi"), "hot-rows")
     own = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
     return own.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))

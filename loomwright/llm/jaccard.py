@@ -42,6 +42,8 @@ SMALL = 6
 LOCAL = 16
 #: Sets whose sketches may be broadcast: some 100 bytes each, of sets of many members more.
 SKETCHES = 50_000
+#: Keys that a task holds before it sends them, each key and set once.
+COMBINED = 250_000
 #: Members of one tile of a bucket.
 TILE = 512
 #: Pairs with one hub that a task verifies; a hub's text is sent once for each so many.
@@ -231,7 +233,7 @@ def _bucket_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 number, key = block_keys(rule, hashes, first)
                 held.append((key, rule.names(hashes, first)[number]))
                 size += len(key)
-                if size > 1_000_000:
+                if size > COMBINED:
                     yield _combine(held)
                     held, size = [], 0
         if held:

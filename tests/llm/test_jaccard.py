@@ -112,8 +112,8 @@ def test_spread_join(spark):
     right = spark.createDataFrame([(7, "a"), (8, "b"), (9, "c")], "key long, name string")
     for how in ("left", "inner"):
         want = sorted(map(tuple, left.join(right, "key", how).select("i", "key", "name").collect()))
-        for keys in (1, 2):
-            assert sorted(map(tuple, spread_join(left, right, "key", how, limit=0, hot_keys=keys).select("i", "key", "name").collect())) == want
+        for keys, rows in ((1, 1), (2, 1), (5, 1000)):
+            assert sorted(map(tuple, spread_join(left, right, "key", how, limit=0, hot_rows=rows, hot_keys=keys).select("i", "key", "name").collect())) == want
 
 
 def test_distances_by_bits():
