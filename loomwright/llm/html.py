@@ -1,14 +1,21 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
 Each host has a reference page. Every page's tree is aligned with its host's
-reference by simple tree matching (children in order, equal tags, most matched
-nodes), and grouped counts over the host's different pages tell how often each
-text node of the reference came out the same; near copies of the reference say
-nothing, near copies of another page count once. Nodes that stay constant are the template; what
-is aligned with them goes, and the varying slots stay. Menus, headers,
-footers, adverts and the like can vary as well, so elements that by name or
-class are no part of an article go, too, as does what stands outside the
-article where a page marks one.
+reference by simple tree matching (children in order, equal tags and names,
+most matched nodes), and grouped sums over the host's different pages tell of
+each node of the reference how often its text came out the same and how much
+varying text, links left out, pages have in its place. Near copies of the
+reference say nothing, near copies of another page count once.
+
+Nodes that stay constant are the template. The main slot is found from the
+top: as long as one child holds most of the varying text and no heading or
+paragraph that varies stands beside it, the slot is in that child. So menus
+(links), adverts, headers and footers outside it go whatever they are called.
+What is aligned with the main slot is a page's article; template nodes inside
+it go. Where a host has too few pages for that, or a page nothing in the slot's
+place, the page's own article or main element is taken. Within the article,
+elements whose whole name says that they are no part of it go (comments,
+adverts, forms): alignment can't tell a reader's comment from a paragraph.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import checked_broadcast, drop_tables, mix, shingles, stage, table
+from loomwright.llm.common import checked_broadcast, drop_tables, mix, shingles, spread_join, stage, table
 
 
 @dataclass(frozen=True)
@@ -42,8 +49,11 @@ class ExtractionParameters:
     near_copy: float = 0.5
     #: Matching of two child lists takes the product of their lengths; longer lists are matched in order within this band.
     band: int = 64
-    #: Host references held in one broadcast; more are joined by shuffle.
+    #: Share of a slot's varying text that its child must hold to be the slot in its place.
+    most: float = 0.5
+    #: Host references, and their bytes, held in one broadcast; more are joined by shuffle, those of the largest hosts apart.
     broadcast_hosts: int = 2_000
+    broadcast_bytes: int = 64 << 20
 
 
 # Elements without content, raw-text elements, elements that end a block, elements that are no article text.
@@ -51,6 +61,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head script style noscript template iframe svg nav header footer aside form button select option textarea input dialog menu title object canvas audio video".split())
+#: Elements that hold running text; a varying one of them beside the fullest child means that both are content.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 # A name counts only if all its parts by hyphens and underscores are of these two kinds, and one is of the first.
 BOILERPLATE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?\w*|consent|notice|newsletter|subscribe|popup|modal|comments?|replies|disqus|share|sharing|social|related|recommended|login|search", re.I)
 FILLER = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|inner|outer|container|wrap|wrapper|box|block|bar|area|list|items?|links?|buttons?|widget|panel|section|content|form|slot|unit|posts?|articles?|stories|\d+", re.I)
@@ -151,7 +163,7 @@ def align(a: Node, b: Node, band: int, out: dict[int, Node]) -> None:
         todo.extend(_matched(x, y, band, memo))
 
 
-def _grid(x: Node, y: Node, band: int, memo: dict) -> list[list[int]]:
+def _grid(x: Node, y: Node, band: int, memo: dict, depth: int = -1) -> list[list[int]]:
     n, m = len(x.children), len(y.children)
     width = band + abs(n - m)
     grid = [[0] * (m + 1)]
@@ -163,7 +175,7 @@ def _grid(x: Node, y: Node, band: int, memo: dict) -> list[list[int]]:
             if low <= j < high:
                 d = y.children[j]
                 if c.tag == d.tag and c.mark == d.mark:
-                    s = above[j] + (2 if c.tag == "#" and c.text == d.text else 1 if c.tag == "#" else _score(c, d, band, memo))
+                    s = above[j] + (2 if c.tag == "#" and c.text == d.text else 1 if c.tag == "#" else _score(c, d, band, memo, depth - 1))
                     if s > best:
                         best = s
             row[j + 1] = best
@@ -171,18 +183,19 @@ def _grid(x: Node, y: Node, band: int, memo: dict) -> list[list[int]]:
     return grid
 
 
-def _score(x: Node, y: Node, band: int, memo: dict) -> int:
+def _score(x: Node, y: Node, band: int, memo: dict, depth: int = -1) -> int:
+    """Matched nodes of two trees with equal roots, equal texts counted twice; depth 0: the roots alone."""
     key = (x.number, y.number)
     known = memo.get(key)
     if known is None:
-        known = memo[key] = 1 + (_grid(x, y, band, memo)[-1][-1] if x.children and y.children else 0)
+        known = memo[key] = 1 + (_grid(x, y, band, memo, depth)[-1][-1] if x.children and y.children and depth else 0)
     return known
 
 
-def _matched(x: Node, y: Node, band: int, memo: dict) -> list[tuple[Node, Node]]:
+def _matched(x: Node, y: Node, band: int, memo: dict, depth: int = -1) -> list[tuple[Node, Node]]:
     if not x.children or not y.children:
         return []
-    grid, out = _grid(x, y, band, memo), []
+    grid, out = _grid(x, y, band, memo, depth), []
     i, j = len(x.children), len(y.children)
     while i and j:
         if grid[i][j] == grid[i - 1][j]:
@@ -222,8 +235,55 @@ def _shared(known: Counter, text: str) -> int:
     return sum(min(n, known[x]) * (len(x[0]) + len(x[1])) for x, n in Counter(_pairs(text)).items() if x in known)
 
 
-def witness(page: Node, reference: Node, p: ExtractionParameters) -> tuple[list[tuple[int, bool]], list[int]] | None:
-    """(number of a text node of the reference, whether the page has the same text there), and sketches of the rest of the page, which near copies share; None if the page nearly copies the reference."""
+def _masses(page: Node, matched: dict[int, Node], constant: set[int]) -> list[tuple[int, int]]:
+    """(number of an element of the reference, characters of varying text, links left out, that the page has in its place)."""
+    mass: dict[int, int] = {}
+    todo = [(page, False)]
+    while todo:
+        node, leave = todo.pop()
+        if leave:
+            mass[id(node)] = sum(mass.get(id(c), 0) for c in node.children)
+        elif node.tag == "#":
+            mass[id(node)] = 0 if id(node) in constant else len(node.text.strip())
+        elif node.tag not in ("a", "head") and node.tag not in RAW:
+            todo.append((node, True))
+            todo.extend((c, False) for c in node.children)
+    return [(k, m) for k, x in matched.items() if x.tag != "#" and (m := mass.get(id(x), 0))]
+
+
+def main_slot(reference: Node, mass: dict[int, int], p: ExtractionParameters) -> list[int]:
+    """Child numbers on the way from the reference's root to its main slot, by the sums of _masses; [] if nothing varies."""
+    node, way = reference, []
+    while True:
+        kids = [(i, c) for i, c in enumerate(node.children) if c.tag != "#"]
+        if not kids:
+            return way
+        at, best = max(kids, key=lambda e: mass.get(e[1].number, 0))
+        whole = mass.get(node.number, 0) if node is not reference else sum(mass.get(c.number, 0) for _, c in kids)
+        if not whole or mass.get(best.number, 0) <= p.most * whole or best.tag in PROSE:
+            return way
+        if any(c is not best and c.tag in PROSE and mass.get(c.number, 0) for _, c in kids):
+            return way
+        node = best
+        way.append(at)
+
+
+def in_slot(page: Node, reference: Node, way: list[int], p: ExtractionParameters) -> Node | None:
+    """What a page has in the place of the slot: matched level by level, by the shape of two levels where several children could be meant."""
+    for at in way:
+        slot = reference.children[at]
+        same = [c for c in page.children if c.tag == slot.tag and c.mark == slot.mark]
+        if len(same) > 1:
+            pairs = _matched(page, reference, p.band, {}, 2)
+            same = [x for x, y in pairs if y is slot]
+        if not same:
+            return None
+        page, reference = same[0], slot
+    return page
+
+
+def witness(page: Node, reference: Node, p: ExtractionParameters) -> tuple[list[tuple[int, bool]], list[int], list[tuple[int, int]]] | None:
+    """(number of a text node of the reference, whether the page has the same text there), sketches of the rest of the page, which near copies share, and the varying text in the place of each element; None if the page nearly copies the reference."""
     matched: dict[int, Node] = {}
     align(page, reference, p.band, matched)
     own = [y for y in _texts(reference) if y.text.strip()]
@@ -239,7 +299,7 @@ def witness(page: Node, reference: Node, p: ExtractionParameters) -> tuple[list[
     known = {id(matched[k]) for k in same}
     words = " ".join(x.text for x in _texts(page) if id(x) not in known).split() or [""]
     sums = shingles(np.array([zlib.crc32(x.encode("utf-8", "replace")) for x in words], np.uint64), min(4, len(words)))
-    return found, ((sums[:, None] * _SKETCH).min(axis=0) >> np.uint64(1)).tolist()
+    return found, ((sums[:, None] * _SKETCH).min(axis=0) >> np.uint64(1)).tolist(), _masses(page, matched, known)
 
 
 def outcomes(page: Node, reference: Node, p: ExtractionParameters) -> list[tuple[int, bool]]:
@@ -261,11 +321,9 @@ def _boiler(node: Node) -> bool:
     return node.tag in DROPPED or bool(node.mark) and node.tag not in NAMELESS and _names_boilerplate(node.mark)
 
 
-def extract(page: Node, template: set[int]) -> str:
-    """Blocks of the article; template: id() of text nodes of the page that belong to the host's template."""
-    article = None
-    todo = [page]
-    found = []
+def marked_articles(page: Node) -> list[Node]:
+    """The page's own article elements, else its main element, else the page."""
+    todo, found = [page], []
     while todo:
         node = todo.pop()
         if _boiler(node):
@@ -275,8 +333,12 @@ def extract(page: Node, template: set[int]) -> str:
             if node.tag == "article":
                 continue
         todo.extend(reversed(node.children))
-    articles = [x for x in found if x.tag == "article"]
-    article = articles or [x for x in found if x.tag == "main"][:1] or [page]
+    return [x for x in found if x.tag == "article"] or [x for x in found if x.tag == "main"][:1] or [page]
+
+
+def extract(page: Node, template: set[int], slot: Node | None = None) -> str:
+    """Blocks of the article; template: id() of text nodes of the page that belong to the host's template; slot: what the page has in the main slot, if that is known."""
+    article = [slot] if slot is not None else marked_articles(page)
     blocks: list[str] = []
     for root in article:
         current: list[str] = []
@@ -333,11 +395,11 @@ class _References:
 
 
 def extract_pages(pages: DataFrame, p: ExtractionParameters | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages(page_id, url, html).
+    """page_id, url, text, n_chars, by_slot (whether the host's main slot decided) of every row of pages(page_id, url, html).
 
     Null or empty html: empty text. Pages of one host share a template;
     unknown hosts (null or odd urls) count as one host. A host of few pages has
-    no template, only names and classes decide. Repeated rows give repeated
+    no template; the page's own article or main element, names and classes decide. Repeated rows give repeated
     results. An empty table gives no rows; other columns are ignored. Nothing
     is cut off: pages come out whole, however long.
     """
@@ -348,35 +410,42 @@ def extract_pages(pages: DataFrame, p: ExtractionParameters | None = None) -> Da
     chosen = rows.where("html <> ''").groupBy("host").agg(F.min(F.struct(whole.alias("part"), F.xxhash64("page_id").alias("order"), "page_id")).alias("x")).select("host", F.col("x.page_id").alias("page_id"))
     references = rows.where("html <> ''").join(checked_broadcast(chosen), ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
     references = stage(references, "references")
-    counts = _counts(rows.where("html <> ''").join(checked_broadcast(references, p.broadcast_hosts), "host"), p)
-    constant = counts.where((F.col("pages") >= p.least_pages) & (F.col("same") >= p.constant * F.col("pages")))
-    wrappers = stage(references.join(constant.groupBy("host").agg(F.collect_list("node").alias("nodes")), "host", "left"), "wrappers")
-    return _extracted(rows.join(checked_broadcast(wrappers, p.broadcast_hosts), "host", "left"), p)
+    small = references.agg(F.sum(F.octet_length("reference")).alias("bytes")).first().bytes or 0
+    limit = p.broadcast_hosts if small <= p.broadcast_bytes else 0
+    counts = _counts(spread_join(rows.where("html <> ''"), references, "host", "inner", limit, hot_keys=500), p)
+    enough = counts.where(F.col("pages") >= p.least_pages)
+    nodes = F.collect_list(F.when((F.col("same") >= p.constant * F.col("pages")), F.col("node"))).alias("nodes")
+    masses = F.map_from_entries(F.collect_list(F.when(F.col("mass") > 0, F.struct("node", "mass")))).alias("mass")
+    wrappers = stage(references.join(enough.groupBy("host").agg(nodes, masses), "host", "left"), "wrappers")
+    return _extracted(spread_join(rows, wrappers, "host", "left", limit, hot_keys=500), p)
 
 
 def _counts(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
-    """host, node, pages, same: different pages of the host, and those with the reference's text in the node."""
+    """host, node, pages, same, mass: different pages of the host, those with the reference's text in the node, and characters of varying text in its place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_tables()
         known = _References()
         for batch in batches:
-            hosts, nodes, sketches = [], [], []
+            hosts, nodes, sketches, masses = [], [], [], []
             for host, source, reference in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = witness(parse(source), known.get(reference), p)
                 if found:
                     hosts.append(host)
                     nodes.append([k for k, same in found[0] if same])
                     sketches.append(found[1])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))], names=["host", "nodes", "sketch"])
+                    masses.append([{"node": k, "mass": m} for k, m in found[2]])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64())), pa.array(masses, pa.list_(pa.struct([("node", pa.int32()), ("mass", pa.int64())])))], names=["host", "nodes", "sketch", "masses"])
 
-    pages = rows.select("host", "html", "reference").mapInArrow(run, "host string, nodes array<int>, sketch array<long>")
+    pages = rows.select("host", "html", "reference").mapInArrow(run, "host string, nodes array<int>, sketch array<long>, masses array<struct<node:int,mass:long>>")
     # near copies differ in some sketches; one of each group is left after the rounds
     for k in range(ROUNDS):
-        pages = pages.groupBy("host", F.slice("sketch", KEY * k + 1, KEY).alias("key")).agg(F.min(F.struct("sketch", "nodes")).alias("x")).select("host", "x.sketch", "x.nodes")
-    pages = stage(pages.select("host", "nodes"), "witnesses")
-    same = pages.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("same"))
-    return same.join(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host")
+        pages = pages.groupBy("host", F.slice("sketch", KEY * k + 1, KEY).alias("key")).agg(F.min(F.struct("sketch", "nodes", "masses")).alias("x")).select("host", "x.sketch", "x.nodes", "x.masses")
+    pages = stage(pages.select("host", "nodes", "masses"), "witnesses")
+    same = pages.select("host", F.explode("nodes").alias("node"), F.lit(1).alias("same"), F.lit(0).cast("long").alias("mass"))
+    held = pages.select("host", F.explode("masses").alias("x")).select("host", "x.node", F.lit(0).alias("same"), "x.mass")
+    sums = same.unionByName(held).groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("mass").alias("mass"))
+    return sums.join(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host")
 
 
 def _extracted(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
@@ -385,22 +454,31 @@ def _extracted(rows: DataFrame, p: ExtractionParameters) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_tables()
         known = _References()
+        ways: dict[str, list[int]] = {}
         for batch in batches:
-            texts = []
-            for source, reference, nodes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            texts, decided = [], []
+            for source, host, reference, nodes, mass in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 page = parse(source)
                 template: set[int] = set()
+                slot = None
+                if mass:
+                    ref = known.get(reference)
+                    if host not in ways:
+                        ways[host] = main_slot(ref, dict(mass), p)
+                    if ways[host]:
+                        slot = in_slot(page, ref, ways[host], p)
                 if nodes:
                     ref = known.get(reference)
                     matched: dict[int, Node] = {}
                     align(page, ref, p.band, matched)
                     same = {y.number: y.text for y in _texts(ref)}
                     template = {id(matched[k]) for k in nodes if k in matched and matched[k].text == same.get(k)}
-                texts.append(extract(page, template))
+                decided.append(slot is not None)
+                texts.append(extract(page, template, slot))
             out = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out, pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out, pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(decided, pa.bool_())], names=["page_id", "url", "text", "n_chars", "by_slot"])
 
-    return rows.select("page_id", "url", "html", "reference", "nodes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "reference", "nodes", "mass").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, by_slot boolean")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
