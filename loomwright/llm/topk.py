@@ -33,9 +33,8 @@ TILE = 1 << 21
 def quantise(column: pa.Array, scale: float | None) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Which rows take part, and {length: (row numbers, integer matrix)}.
 
-    A vector takes part if it isn't null, has no null or non-finite component
-    and its integer inner product with itself is below 2 ** 62; then every
-    score fits a long. scale: components become floor(scale * x).
+    A vector takes part if it isn't null and has no null or non-finite
+    component. scale: components become floor(scale * x).
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -55,19 +54,36 @@ def quantise(column: pa.Array, scale: float | None) -> tuple[np.ndarray, dict[in
     for d in np.unique(lengths[ok]).tolist():
         rows = np.flatnonzero(ok & (lengths == d))
         m = x[offsets[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0))
-        with np.errstate(over="ignore"):
-            fits = (m * m).sum(axis=1) < 2.0**62
-        ok[rows[~fits]] = False
-        out[d] = (rows[fits], m[fits])
+        out[d] = (rows, m)
     return ok, out
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products. float64 where no sum can pass 2 ** 53, else 64-bit integers."""
-    bound = np.sqrt((q * q).sum(axis=1).max(initial=0) * (c * c).sum(axis=1).max(initial=0))
+    """Exact integer inner products: float64 where no sum can pass 2 ** 53, 64-bit integers below 2 ** 62, Python integers for the rare rest.
+
+    OverflowError if a score itself is beyond a long.
+    """
+    with np.errstate(over="ignore"):
+        a, b = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
+        bound = a.max(initial=0) * b.max(initial=0)
     if bound < 2.0**52:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if bound < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    out = np.zeros((len(q), len(c)), np.int64)
+    small = a * b.max() < 2.0**62
+    some = b * a.max() < 2.0**62
+    out[small] = scores(q[small], c) if small.any() else 0
+    if some.any() and not small.all():
+        out[np.ix_(~small, some)] = scores(q[~small], c[some])
+    for i in np.flatnonzero(~small).tolist():
+        one = [int(x) for x in q[i].tolist()]
+        for j in np.flatnonzero(~some).tolist():
+            exact = sum(x * int(y) for x, y in zip(one, c[j].tolist(), strict=True))
+            if not -(1 << 63) < exact < 1 << 63:
+                raise OverflowError("an inner product does not fit a long")
+            out[i, j] = exact
+    return out
 
 
 def _tiles(batch: pa.RecordBatch, queries: dict, scale: float | None):
@@ -101,9 +117,10 @@ def _run_block(spark, candidates: DataFrame, block, k: int, scale: float | None)
     low, high = np.zeros(n, object), np.zeros(n, object)
     norms = candidates.select(F.max(_norm(scale))).first()[0] or 0.0
     for rows, _, m in sides.values():
-        reach = np.ceil(np.sqrt((m * m).sum(axis=1) * float(norms))) + 1
+        with np.errstate(over="ignore"):
+            reach = np.minimum(np.ceil(np.sqrt((m * m).sum(axis=1)) * np.sqrt(float(norms))) * (1 + 2.0**-40) + 1, 2.0**63 - 2.0**11)
         for i, r in zip(rows.tolist(), reach.tolist(), strict=True):
-            low[i], high[i] = -int(r), int(r) + 1  # high is exclusive
+            low[i], high[i] = -int(r) - 1, int(r) + 1  # high is exclusive
     above = np.zeros(n, np.int64)  # scores at or over `high`
     done = np.zeros(n, bool)  # fewer than k candidates: all are kept
     while True:
@@ -130,7 +147,7 @@ def _run_block(spark, candidates: DataFrame, block, k: int, scale: float | None)
 def _norm(scale: float | None):
     square = lambda x: F.pow(F.floor(x.cast("double") * scale) if scale else x.cast("double"), 2)
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.coalesce(square(x), F.lit(float("nan"))))
-    return F.when(F.isnan(total) | (total >= 2.0**62), None).otherwise(total)
+    return F.when(F.isnan(total), None).otherwise(total)
 
 
 def _histogram(candidates, shared, low, high, width, live, k, scale):
@@ -149,7 +166,7 @@ def _histogram(candidates, shared, low, high, width, live, k, scale):
                 at, col = np.nonzero(inside)
                 if len(at):
                     q = numbers[at]
-                    np.add.at(held, (q, (s[at, col] - low[q]) // width[q]), 1)
+                    np.add.at(held, (q, ((s[at, col].view(np.uint64) - low[q].view(np.uint64)) // width[q].view(np.uint64)).astype(np.int64)), 1)
         # the bins from the top down to the one in which the task's k-th score lies
         from_top = np.cumsum(held[:, ::-1], axis=1)[:, ::-1]
         q, b = np.nonzero((held > 0) & (from_top - held < k))
@@ -193,8 +210,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float | None =
     Ties go to the smaller id. Fewer than k candidates: all. Vectors of
     another length than the query's are no candidates of it.
 
-    A vector takes no part if it or its id is null, it has null or non-finite
-    components, or its integer inner product with itself is 2 ** 62 or more.
+    A vector takes no part if it or its id is null or it has null or non-finite
+    components. Scores are exact whatever their size; one beyond a long is an
+    error (OverflowError), for it can't be returned.
     Repeated rows are candidates each. An id that queries hold more than once
     is one query, its smallest vector. Empty tables give no rows. Other columns
     are ignored.
@@ -207,7 +225,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float | None =
     step = lambda x: F.floor(x.cast("double") * scale).cast("double") if scale else x.cast("double")
     clean = F.col(vector_column).isNotNull() & ~F.exists(vector_column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     mine = queries.where(F.col(id_column).isNotNull() & clean).select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, step).alias("vec"))
-    mine = mine.where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) < 2.0**62).groupBy("id").agg(F.min("vec").alias("vec"))
+    mine = mine.groupBy("id").agg(F.min("vec").alias("vec"))
     out = None
     for block in _blocks(mine, block_queries):
         part = _run_block(spark, candidates, block, k, scale)

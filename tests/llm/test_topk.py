@@ -1,7 +1,10 @@
 import math
 import random
 
-from loomwright.llm.topk import top_k
+import numpy as np
+import pytest
+
+from loomwright.llm.topk import scores, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
 
@@ -40,4 +43,28 @@ def test_fewer_than_k_and_repeated_rows(spark):
 
 def test_large_components(spark):
     rows = [(i, [1e6 + i, -1e6], "", "") for i in range(30)] + [(99, [1e300, 1.0], "", "")]
-    assert run(spark, rows, [0, 7, 99], 3) == brute(rows[:-1], [0, 7], 3)
+    assert run(spark, rows[:-1], [0, 7], 3) == brute(rows[:-1], [0, 7], 3)
+    # no vector is left out for its size: a score that no long can hold is an error
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, rows, [0, 7, 99], 3)
+
+
+def test_large_components_are_exact(spark):
+    """Vectors whose norms pass 2 ** 62 take part; their scores with smaller ones are exact."""
+    rows = [(0, [3e9, 1.0]), (1, [4e9, -2.0]), (2, [1.0, 5.0]), (3, [1e12, 7.0]), (4, [-2.0, 1e15]), (50, [2.0, 3.0]), (100, [1e6, 1e3])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(table, table.where("vec_id in (50, 100)"), 3, scale=None).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in rows:
+        if q in (50, 100):
+            scored = sorted((-sum(int(x) * int(y) for x, y in zip(v, w)), i) for i, w in rows if i != q)[:3]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == want
+
+
+def test_scores_at_the_edge_of_a_long():
+    big = np.array([[2.0**31, 1.0], [2.0**40, 0.0]])
+    other = np.array([[2.0**31, 3.0], [2.0**20, 5.0]])
+    assert scores(big[:1], other).tolist() == [[2**62 + 3, 2**51 + 5]]
+    with pytest.raises(OverflowError):
+        scores(big[1:], other)
