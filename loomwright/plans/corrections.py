@@ -67,7 +67,7 @@ select event_id, moved_to, moved_to - day <= 60 as in_time from q left join slot
 
 def correction_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events landed as a stream, each once; the newest value of each user and type."""
-    source = f"{sf_dir}/events.parquet*"  # a pattern may name a file or a folder of files
+    source = f"{sf_dir}/events.parque[t]"  # a pattern may name a file or a folder of files; this one matches that name alone
     landed = queue.land(spark, source, _table(spark, sf_dir, "events").schema, new_path(spark, "queue"), "event_id", "ts")
     return queue.newest(landed, ["user_id", "event_type"], "ts", "event_id", "value")
 

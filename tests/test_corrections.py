@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import citations
 from loomwright.operators import displacement, errata
+from loomwright.sources.shared import new_path
+from loomwright.streaming import queue
 
 START = datetime.date(2024, 1, 1)
 
@@ -43,3 +45,16 @@ def test_citations(spark):
     df = spark.createDataFrame([(c,) for c in cases], "raw string")
     rows = df.select("raw", citations.render(citations.segments(F.col("raw"))).alias("c"), F.array_join(citations.leftovers(F.col("raw")), ";").alias("l")).collect()
     assert {x.raw: (x.c, x.l) for x in rows} == cases
+
+
+def test_queue_loses_no_late_entry(spark):
+    """Entries land once, however late; repeats across files and calls come out once; refused ones are kept with a reason."""
+    source, target = new_path(spark, "in"), new_path(spark, "out")
+    rows = [[("a", "2024-06-01", 1), ("b", "2024-06-02", 2)], [("c", "2024-07-20", 3), ("a", "2024-06-01", 1)], [("d", "2024-01-01", 4), (None, "2024-01-01", 5), ("e", None, 6), ("b", "2024-06-02", 2)]]
+    for some in rows:
+        new = spark.createDataFrame(some, "id string, at string, value int").withColumn("at", F.col("at").cast("timestamp"))
+        new.coalesce(1).write.mode("append").parquet(source)
+        landed = queue.land(spark, source, new.schema, target, "id", "at")
+    assert sorted((r.id, r.value) for r in landed.collect()) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+    assert sorted((r.value, r.reason) for r in queue.rejected(spark, new.schema, target).collect()) == [(5, "no identifier"), (6, "no time")]
+    assert queue.land(spark, source, new.schema, target, "id", "at").count() == 4
