@@ -34,3 +34,114 @@ def word_grams(x: Column, n: int = 3) -> Column:
     # the words are bound once as the only member of an array, else they are split again for each run
     runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.element_at(F.transform(F.array(words(x)), runs), 1))
+
+
+def typographic(x: Column) -> Column:
+    """Ligatures, apostrophes and ellipses written out, one space between words and none before a closing sign."""
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("’", "'"), ("…", "...")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.regexp_replace(x, r"[ \t]+([,.;:!?])", "$1"), r"[ \t]+", " ")
+
+
+# Words that carry no name, and pairs of letters written alike.
+STOP_WORDS = ["the", "of", "and", "de", "la", "et", "en", "und", "der"]
+DIGRAPHS = [("ph", "f"), ("th", "t"), ("ch", "c"), ("qu", "c"), ("y", "i"), ("j", "i"), ("v", "b"), ("k", "c")]
+
+
+def root_keys(x: Column) -> Column:
+    """The different roots of a text's words, in order of appearance: four letters after folding of pairs, numbers as #n; stop words don't count."""
+    kept = F.filter(words(x), lambda w: ~w.isin(STOP_WORDS))
+
+    def root(w: Column) -> Column:
+        out = w
+        for a, b in DIGRAPHS:
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("#"), w)).otherwise(F.substring(out, 1, 4))
+
+    return F.array_distinct(F.transform(kept, root))
+
+
+def lax_equal(a: Column, b: Column) -> Column:
+    """Whether two folded names have a common beginning of four letters, or of three where one has only three."""
+    n = F.when((F.length(a) <= 3) | (F.length(b) <= 3), 3).otherwise(4)
+    return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.left(a, n) == F.left(b, n))
+
+
+def squeezed(x: Column) -> Column:
+    """A citation without blanks, dashes alike, its commas kept."""
+    return F.lower(F.regexp_replace(F.translate(x, "–—−", "---"), r"\s+", ""))
+
+
+def squeezed_dots(x: Column) -> Column:
+    """A citation without blanks, dashes alike, its commas written as dots."""
+    return F.translate(squeezed(x), ",", ".")
+
+
+def text_key(x: Column) -> Column:
+    """Folded letters, digits and single spaces."""
+    return key_fold(x)
+
+
+def letter_key(x: Column) -> Column:
+    """Folded letters alone."""
+    return F.regexp_replace(fold(x), "[^a-z]+", "")
+
+
+def overlap(a: Column, b: Column, of: str = "least") -> Column:
+    """Common members of two arrays of different words, as a share of the smaller (least) or the larger (greatest); null if that one is empty."""
+    n = (F.least if of == "least" else F.greatest)(F.size(a), F.size(b))
+    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n)
+
+
+def slug(x: Column, number: Column | None = None) -> Column:
+    """Folded words joined by hyphens; with a number, that in three digits after them."""
+    s = F.translate(key_fold(x), " ", "-")
+    return s if number is None else F.concat_ws("-", s, F.lpad(number.cast("string"), 3, "0"))
+
+
+# The named character references that the cleanup knows.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+
+
+def clean_markup(x: Column) -> Column:
+    """Without tags, with the known character references decoded, and white space squeezed."""
+    x = F.regexp_replace(x, "<[^>]*>", " ")
+    for a, b in ENTITIES:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(x, "[ \\t\\n\\r]+", " "))
+
+
+# Roman numerals by weight.
+ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+
+
+def to_roman(n: Column) -> Column:
+    """Roman numeral of 1 to 3999."""
+    parts, left = [], n
+    for weight, letters in ROMAN:
+        parts.append(F.repeat(F.lit(letters), F.floor(left / weight).cast("int")))
+        left = left % weight
+    return F.concat(*parts)
+
+
+def from_roman(x: Column) -> Column:
+    """Value of a Roman numeral; null if it isn't written as to_roman writes it."""
+    value = lambda c: F.coalesce(*[F.when(c == r, w) for w, r in ROMAN if len(r) == 1], F.lit(0))
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: value(F.substr(x, i, F.lit(1))))
+    after = lambda i: F.coalesce(F.try_element_at(letters, i + 2), F.lit(0))
+    total = F.aggregate(F.transform(letters, lambda v, i: F.when(v < after(i), -v).otherwise(v)), F.lit(0), lambda s, v: s + v)
+    return F.when((total > 0) & (total < 4000) & (to_roman(total) == x), total)
+
+
+def fold_places(x: Column) -> Column:
+    """For each character of search_fold(x), its place (from 1) in x: ligatures take two places, signs that vanish none."""
+    places = F.sequence(F.lit(1), F.length(x))
+    width = lambda i: F.sequence(F.lit(1), F.length(search_fold(F.substr(x, i, F.lit(1)))))
+    return F.when(F.length(x) > 0, F.flatten(F.transform(places, lambda i: F.transform(width(i), lambda _: i)))).otherwise(F.array().cast("array<int>"))
+
+
+def snippet(x: Column, found: Column, before: int = 45, after: int = 90) -> Column:
+    """The text around the first place where the folded text holds `found` (folded), cut from the unfolded text; null without one."""
+    at = F.instr(search_fold(x), found)
+    start = F.try_element_at(fold_places(x), at)
+    return F.when(at > 0, F.substr(x, F.greatest(start - before, F.lit(1)), F.least(start - 1, F.lit(before)) + after))
