@@ -31,18 +31,18 @@ def majority_by_period(rows: DataFrame, keys: list[str], choice: str, inside: Co
 
 def all_but_one(rows: DataFrame, keys: list[str], choice: str, least: int = 4) -> DataFrame:
     """keys, choice, n: all witnesses agree, or of `least` and more all but one."""
-    counted = rows.groupBy(*keys, choice).agg(F.count(F.lit(1)).alias("c"))
-    x = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.max(F.struct("c", choice)).alias("x"))
-    fits = (F.col("x.c") == F.col("n")) | ((F.col("n") >= least) & (F.col("x.c") == F.col("n") - 1))
+    counted = rows.groupBy(*keys, choice).agg(F.count(F.lit(1)).alias("__c"))
+    x = counted.groupBy(*keys).agg(F.sum("__c").alias("n"), F.max(F.struct("__c", choice)).alias("x"))
+    fits = (F.col("x.__c") == F.col("n")) | ((F.col("n") >= least) & (F.col("x.__c") == F.col("n") - 1))
     return x.where(fits).select(*keys, F.col(f"x.{choice}").alias(choice), "n")
 
 
 def marked_dominance(rows: DataFrame, keys: list[str], choice: str, share: float = 0.8, least: int = 5, unmarked: float = 0.9) -> DataFrame:
     """keys, choice, n, total, decision: `unmarked` (no choice at all in that share of `least` rows or more), `sure`, `conflict`, or `none` without any choice."""
-    counted = rows.groupBy(*keys, choice).agg(F.count(F.lit(1)).alias("c"))
-    top = F.min(F.when(F.col(choice).isNotNull(), F.struct((-F.col("c")).alias("n"), F.col(choice).alias("c")))).alias("x")
-    blank = F.coalesce(F.sum(F.when(F.col(choice).isNull(), F.col("c"))), F.lit(0)).alias("blank")
-    x = counted.groupBy(*keys).agg(top, blank, F.sum("c").alias("total"))
+    counted = rows.groupBy(*keys, choice).agg(F.count(F.lit(1)).alias("__c"))
+    top = F.min(F.when(F.col(choice).isNotNull(), F.struct((-F.col("__c")).alias("n"), F.col(choice).alias("c")))).alias("x")
+    blank = F.coalesce(F.sum(F.when(F.col(choice).isNull(), F.col("__c"))), F.lit(0)).alias("blank")
+    x = counted.groupBy(*keys).agg(top, blank, F.sum("__c").alias("total"))
     marked = F.col("total") - F.col("blank")
     decision = F.when((F.col("total") >= least) & (F.col("blank") >= unmarked * F.col("total")), "unmarked").when(marked == 0, "none").when(-F.col("x.n") >= share * marked, "sure").otherwise("conflict")
     return x.select(*keys, F.col("x.c").alias(choice), (-F.col("x.n")).alias("n"), "total", decision.alias("decision"))

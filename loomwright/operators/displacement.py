@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.ranges import checked_rules
+
 
 def free_days(days: DataFrame, day: str, blocked: str) -> DataFrame:
     """day, first_free, slot of a dense calendar (day, blocked): the first free day from it on and that day's number.
@@ -29,7 +31,7 @@ def displace(items: DataFrame, keys: list[str], day: str, tie: str, calendar: Da
     items whose day is null or beyond it get null. A move beyond the horizon
     is marked, and keeps its slot.
     """
-    placed = items.join(F.broadcast(calendar), day, "left")
+    placed = items.join(checked_rules(calendar), day, "left")
     # by key and slot first: a key's running window then has a row for each day at most, however many items it has
     counts = placed.where("slot is not null").groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("__c"))
     running = Window.partitionBy(*keys).orderBy("slot")
@@ -40,5 +42,5 @@ def displace(items: DataFrame, keys: list[str], day: str, tie: str, calendar: Da
     known = placed.join(counts.select(*[F.col(c).alias(f"__k_{c}") for c in (*keys, "slot")], "__base"), [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, "slot")], "left")
     known = known.withColumn("__slot", F.col("__base") + F.col("__rank"))
     slots = calendar.where(F.col(day) == F.col("first_free")).select(F.col("slot").alias("__slot"), F.col(day).alias("moved_to"))
-    out = known.join(F.broadcast(slots), "__slot", "left").select(*items.columns, "moved_to")
+    out = known.join(checked_rules(slots), "__slot", "left").select(*items.columns, "moved_to")
     return out.withColumn("in_time", F.datediff("moved_to", day) <= horizon)

@@ -9,18 +9,23 @@ from loomwright.functions.text import word_grams
 from loomwright.operators.ranges import checked_rules
 
 
+#: Trigrams of items that may be broadcast (about 40 MB).
+SMALL_GRAMS = 400_000
+
+
 def longest_alias(rows: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     """rows with `target` and `alias`: of the aliases that stand in the folded text as whole words, the longest; the last place, then the smaller alias on a tie.
 
     aliases (alias, target) are a checked small table that goes to the tasks
     as one array, so rows neither multiply nor move.
     """
+    aliases = checked_rules(aliases)  # counted before they become one row
     table = aliases.agg(F.array_sort(F.collect_list(F.struct("alias", "target"))).alias("__all"))
     padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
     place = lambda a: F.length(padded) - F.instr(F.reverse(padded), F.reverse(F.concat(F.lit(" "), a["alias"], F.lit(" "))))
     hits = F.filter("__all", lambda a: F.contains(padded, F.concat(F.lit(" "), a["alias"], F.lit(" "))))
     ranked = F.array_sort(F.transform(hits, lambda a: F.struct((-F.length(a["alias"])).alias("n"), (-place(a)).alias("at"), a["alias"].alias("alias"), a["target"].alias("target"))))
-    x = rows.join(checked_rules(table, 1), F.lit(True), "left").withColumn("__best", F.try_element_at(ranked, F.lit(1)))
+    x = rows.join(F.broadcast(table), F.lit(True), "left").withColumn("__best", F.try_element_at(ranked, F.lit(1)))
     return x.withColumn("alias", F.col("__best.alias")).withColumn("target", F.col("__best.target")).drop("__all", "__best")
 
 
@@ -28,6 +33,8 @@ def trigram_votes(rows: DataFrame, row_id: str, text: str, items: DataFrame, ite
     """row_id, item_id, votes, size of the item of which a row shares most distinct word trigrams, if at least `share` of the item's; the smaller id on a tie."""
     grams = items.select(item_id, F.explode(word_grams(F.col(item_text))).alias("gram"))
     sizes = grams.groupBy(item_id).agg(F.count(F.lit(1)).alias("size"))
+    if grams.limit(SMALL_GRAMS + 1).count() <= SMALL_GRAMS:  # they go to the rows, whose trigrams then needn't move
+        grams = F.broadcast(grams)
     mine = rows.select(row_id, F.explode(word_grams(F.col(text))).alias("gram"))
     votes = mine.join(grams, "gram").groupBy(row_id, item_id).agg(F.count(F.lit(1)).alias("votes")).join(sizes, item_id).where(F.col("votes") >= share * F.col("size"))
     best = F.min(F.struct((-F.col("votes")).alias("n"), item_id, "size")).alias("x")

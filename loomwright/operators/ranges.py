@@ -25,8 +25,9 @@ def renumber(rows: DataFrame, rules: DataFrame, group: str, number: str) -> Data
     extra > 0 yields extra further numbers. The winner is picked on the map
     side from an array of all rules of a group, so rows are never shuffled.
     """
+    rules = checked_rules(rules)  # all rules are counted, not the groups
     by_group = rules.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("rule_order", "low", "high", "new_group", "shift", "extra"))).alias("rules"))
-    x = rows.join(checked_rules(by_group), F.col(group) == F.col("group"), "left")
+    x = rows.join(F.broadcast(by_group), F.col(group) == F.col("group"), "left")
     hit = F.filter("rules", lambda r: (F.col(number) >= r["low"]) & (F.col(number) <= r["high"]))
     x = x.withColumn("rule", F.try_element_at(hit, F.lit(1)))
     x = x.withColumn("first", F.col(number) + F.coalesce("rule.shift", F.lit(0)))
@@ -42,12 +43,18 @@ def expand(rows: DataFrame, low: str, high: str, name: str) -> DataFrame:
 def as_of(rows: DataFrame, at: str, periods: DataFrame, start: str) -> DataFrame:
     """rows with the columns of the last period whose start isn't after `at` (null before the first).
 
-    periods are a checked small table: their ends come from the next start, so
-    the rows join them by range without a shuffle.
+    periods are a checked small table. Rows and starts meet by the year: a
+    period is listed under its own year and all years up to the next start, so
+    the join is an equi-join with a broadcast side and few candidates a row.
+    Starts are dates or times, each once.
     """
-    ends = periods.withColumn("__next", F.lead(start).over(Window.orderBy(start)))
-    inside = (F.col(at) >= F.col(start)) & (F.col("__next").isNull() | (F.col(at) < F.col("__next")))
-    return rows.join(checked_rules(ends), inside, "left").drop("__next")
+    known = checked_rules(periods.where(F.col(start).isNotNull()))
+    last = rows.agg(F.max(F.year(at))).first()[0]
+    ends = known.withColumn("__next", F.lead(start).over(Window.orderBy(start)))
+    years = F.sequence(F.year(start), F.greatest(F.year(start), F.coalesce(F.year("__next"), F.lit(last or 0))))
+    listed = ends.withColumn("__year", F.explode(years))
+    inside = (F.year(at) == F.col("__year")) & (F.col(at) >= F.col(start)) & (F.col("__next").isNull() | (F.col(at) < F.col("__next")))
+    return rows.join(F.broadcast(listed), inside, "left").drop("__next", "__year")
 
 
 def bracket(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -31,18 +31,19 @@ select year, easter, easter - 46 as ashes, easter + 39 as ascension, easter + 49
 
 def asof_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders counted by the church year's period in which they fall."""
-    years = spark.range(1994, 2003).select(F.col("id").cast("int").alias("year"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    ends = orders.agg(F.min(F.year("day")).alias("a"), F.max(F.year("day")).alias("b")).first()
+    years = spark.range((ends.a or 1) - 1, (ends.b or 1) + 1).select(F.col("id").cast("int").alias("year"))
     easter = years.withColumn("e", dates.easter("year"))
     starts = easter.select(F.explode(F.array(F.struct(F.date_sub("e", 46).alias("start"), F.lit("lent").alias("period")), F.struct(F.col("e").alias("start"), F.lit("easter").alias("period")), F.struct(F.date_add("e", 50).alias("start"), F.lit("ordinary").alias("period")), F.struct(dates.first_advent("year").alias("start"), F.lit("advent").alias("period")))).alias("x")).select("x.*")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     x = ranges.as_of(orders, "day", starts.coalesce(1), "start")
     return x.groupBy("period", "start").agg(F.count(F.lit(1)).alias("orders"), F.min("day").alias("first_day"))
 
 
 ASOF_SQL = f"""
-with cal as ({EASTER_SQL}),
-starts as (select ashes as start, 'lent' as period from cal where year between 1994 and 2002 union all select easter, 'easter' from cal where year between 1994 and 2002
-  union all select easter + 50, 'ordinary' from cal where year between 1994 and 2002 union all select advent, 'advent' from cal where year between 1994 and 2002)
+with all_years as ({EASTER_SQL}), cal as (select * from all_years where year between (select min(year(o_orderdate)) - 1 from orders) and (select max(year(o_orderdate)) from orders)),
+starts as (select ashes as start, 'lent' as period from cal union all select easter, 'easter' from cal
+  union all select easter + 50, 'ordinary' from cal union all select advent, 'advent' from cal)
 select period, start, count(*) as orders, min(day) as first_day
 from (select cast(o_orderdate as date) as day from orders) o asof left join starts s on o.day >= s.start group by all
 """

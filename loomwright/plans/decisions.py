@@ -54,12 +54,12 @@ select c_mktsegment, count(*) as n, list_sort(list(orders))[count(*) // 2 + 1] a
 def unanimous_first_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose first event of each day is always of one type."""
     first = _events(spark, sf_dir).groupBy("user_id", "day").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", "day", F.col("x.event_type").alias("event_type"))
-    return votes.unanimous(first.where("dayofweek(day) = 1"), ["user_id"], "event_type")
+    return votes.unanimous(first, ["user_id"], "event_type")
 
 
 UNANIMOUS_SQL = """
 with f as (select user_id, cast(ts as date) as day, arg_min(event_type, row(ts, event_id)) as event_type from events group by all)
-select user_id, min(event_type) as event_type from f where dayofweek(day) = 0 group by 1 having count(distinct event_type) = 1
+select user_id, min(event_type) as event_type from f group by 1 having count(distinct event_type) = 1
 """
 
 

@@ -101,9 +101,9 @@ select * from h where tier is not null order by tier, doc_id limit 300
 
 
 def suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Endings of three to five letters that nearly always go with one language."""
+    """Endings of three to eight letters that nearly always go with one language."""
     words = _table(spark, sf_dir, "documents").where("text is not null and lang is not null").select("lang", F.explode(F.split(key_fold("text"), " ")).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    ends = words.select("lang", "n", "w", F.explode(F.sequence(F.lit(3), F.lit(5))).alias("k")).where("length(w) > k").select("lang", "n", F.expr("right(w, k)").alias("ending"))
+    ends = words.select("lang", "n", "w", F.explode(F.sequence(F.lit(3), F.lit(8))).alias("k")).where("length(w) > k").select("lang", "n", F.expr("right(w, k)").alias("ending"))
     counted = ends.groupBy("ending", "lang").agg(F.sum("n").alias("n"))
     total = counted.groupBy("ending").agg(F.sum("n").alias("cases"), F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max("n").alias("agree"))
     return total.where("cases >= 25 and agree >= 0.995 * cases")
@@ -111,7 +111,7 @@ def suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUFFIX_SQL = f"""
 with w as (select lang, unnest(string_split({_FOLD_SQL.format('text')}, ' ')) as w from documents where text is not null and lang is not null),
-e as (select lang, right(w, k) as ending from w, range(3, 6) t(k) where length(w) > k),
+e as (select lang, right(w, k) as ending from w, range(3, 9) t(k) where length(w) > k),
 c as (select ending, lang, count(*) as n from e group by all)
 select ending, cast(sum(n) as bigint) as cases, arg_max(lang, row(n, lang)) as lang, max(n) as agree from c group by 1 having sum(n) >= 25 and max(n) >= 0.995 * sum(n)
 """
