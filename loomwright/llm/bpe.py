@@ -45,7 +45,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
@@ -107,7 +107,7 @@ class Transducer:
                 if len(whole) == 1:
                     break
                 until, whole = own, self.halves(whole)[side]
-            if len(self.spines) > 100_000:
+            if len(self.spines) > 30_000:
                 self.spines.clear()
             self.spines[key] = known
         return known
@@ -144,7 +144,7 @@ class Transducer:
                 known = self.merged(left + right) == [left, right]
             else:
                 known = self._unbroken(self._spine(before, 1), self._spine(token, 0))
-            if len(self.stable_memo) > 500_000:
+            if len(self.stable_memo) > 250_000:
                 self.stable_memo.clear()
             self.stable_memo[key] = known
         return known
@@ -342,7 +342,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(load_ranks(path))
         self.vocabulary = Vocabulary(self.transducer.bytes_of)
-        self.memo = ChunkMemo(self._chunks, self._text)
+        self.memo = ChunkMemo(self._chunks, self._text, slots=1 << 19, pool=1 << 22)
 
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode, findall, one = self.transducer.encode, self.pattern.findall, _ONE.fullmatch
@@ -397,17 +397,19 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray, step: int = 1 << 16) -> Iter
     yield stream.close()
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, text_digest: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids (array<int>) and the text decoded from them again.
 
     With digests: ids_sha256 and decoded_sha256 in place of the two, so that no
-    ids leave the task that made them.
+    ids leave the task that made them. With text_digest only the text is
+    replaced by decoded_sha256.
 
     Null or empty text: no tokens. Long texts are encoded whole. Repeated rows
     give repeated results; other columns are ignored. No shuffle.
     """
     name = id_column
-    names = [name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"]
+    hashed = digests or text_digest
+    names = [name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if hashed else "decoded"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
@@ -418,7 +420,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
                 decoded = []
                 for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True):
                     parts = decode(e.vocabulary, ids[x:y])
-                    if digests:
+                    if hashed:
                         digest = hashlib.sha256()
                         for part in parts:
                             digest.update(part.encode("utf-8"))
@@ -434,7 +436,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
         release()
 
     kind = dict(docs.dtypes)[id_column]
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    tail = ("ids_sha256 string" if digests else "ids array<int>") + (", decoded_sha256 string" if hashed else ", decoded string")
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, {tail}")
 
 

@@ -36,3 +36,20 @@ def test_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, step in cp.STAGES[:-1]:
         assert step(spark, docs.limit(30), SF).columns == docs.columns
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null, empty and repeated rows, clashing columns, and empty tables through all stages."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, __host string, __p double, item_id long, score double"
+    calm = "a calm text about rivers and hills that nobody would call rude at all number "
+    rows = [(i, f"{calm}{i} {i * 7} {i * 13} and so on for a while", "en", "s", 1, "h", 0.5, 3, 1.0) for i in range(30)]
+    rows += [(None, None, None, None, None, None, None, None, None), (40, None, "en", "s", 0, "h", 0.1, 1, 1.0), (41, "", "en", "s", 0, "h", 0.1, 1, 1.0), rows[0], rows[1]]
+    labels = [(i, 1, 0) for i in range(30)]
+    for name, data, schema in (("documents", rows, columns), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, "words that no document here holds in this order at all")], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    got = cp.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) and set(range(30)) <= set(ids)
+    assert all(r.n_tokens == len(r.ids) for r in got) and all(r.n_tokens == 0 for r in got if r.doc_id in (40, 41, None))
+    assert cp.run(spark, f"{tmp_path}/empty").count() == 0
