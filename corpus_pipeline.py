@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, decontaminate, jaccard, quality, toxicity
 from loomwright.llm.common import stage, table
@@ -29,8 +28,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the text decoded from them."""
-    tokens = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return tokens.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    tokens = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, text_digest=True)
+    return tokens.select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -46,6 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 of the documents that all stages keep.
+
+    Null texts count as empty; rows with null doc_ids go through every stage
+    as documents of their own; of repeated doc_ids one row is left after the
+    join, that of the least text. Other columns, whatever their names, pass
+    through all stages but the last. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
