@@ -45,7 +45,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
@@ -382,6 +382,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
     def make() -> Encoder:
         made = Encoder(path, pattern)
+        gc.collect()
         gc.freeze()  # scanning its tables again and again costs more than the merges
         gc.set_threshold(200_000, 50, 100)
         return made

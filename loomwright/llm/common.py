@@ -8,6 +8,7 @@ over many documents per numpy call and never over a prefix of any text.
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 from collections.abc import Callable
 
@@ -86,6 +87,7 @@ def worker_tables(owner: object, make: Callable[[], object]) -> object:
     if not _tables or _tables[0][0] != owner:
         drop_tables()
         _tables.append((owner, make()))
+    release()
     return _tables[0][1]
 
 
@@ -93,7 +95,9 @@ def drop_tables() -> None:
     """Called by operators that keep no tables: what an earlier stage kept in this worker goes."""
     if _tables:
         _tables.clear()
-        release()
+        gc.unfreeze()
+    gc.collect()
+    release()
 
 
 def release() -> None:
