@@ -60,12 +60,15 @@ class ExtractionParameters:
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head script style noscript template iframe svg nav header footer aside form button select option textarea input dialog menu title object canvas audio video".split())
+DROPPED = frozenset("head script style noscript template iframe svg nav header footer aside form button select option textarea input menu title canvas audio video".split())
 #: Elements that hold running text; a varying one of them beside the fullest child means that both are content.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-# A name counts only if all its parts by hyphens and underscores are of these two kinds, and one is of the first.
-BOILERPLATE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?\w*|consent|notice|newsletter|subscribe|popup|modal|comments?|replies|disqus|share|sharing|social|related|recommended|login|search", re.I)
+# A class or role counts only if all its parts by hyphens and underscores are of these two kinds, and one is of the first; an id only if it is of the third.
+BOILERPLATE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer contentinfo complementary cookie consent notice newsletter subscribe popup modal comment comments replies disqus share sharing social related recommended login search".split())
 FILLER = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|inner|outer|container|wrap|wrapper|box|block|bar|area|list|items?|links?|buttons?|widget|panel|section|content|form|slot|unit|posts?|articles?|stories|\d+", re.I)
+#: An article's section may have any word as its id, from its heading; these are hardly one.
+BOILERPLATE_IDS = frozenset("ads advert adverts navbar breadcrumb breadcrumbs sidebar masthead newsletter comments disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their names decide nothing: a heading's id is made from its words.
 NAMELESS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -84,6 +87,8 @@ class Node:
     tag: str
     mark: str = ""
     text: str = ""
+    #: Classes and roles, and an id that names boilerplate.
+    names: str = ""
     children: list = field(default_factory=list)
     number: int = -1
 
@@ -129,8 +134,11 @@ def parse(source: str) -> Node:
                 break
             if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                 break
-        marks = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m.group(3))) if m.group(3) else ""
-        node = Node(name, marks)
+        node = Node(name)
+        if m.group(3):
+            marks = [(kind.lower(), one or two or bare) for kind, one, two, bare in _ATTRIBUTE.findall(m.group(3))]
+            node.mark = " ".join(v for _, v in marks)
+            node.names = " ".join(v for kind, v in marks if kind != "id" or v.lower() in BOILERPLATE_IDS)
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -308,17 +316,30 @@ def outcomes(page: Node, reference: Node, p: ExtractionParameters) -> list[tuple
     return found[0] if found else []
 
 
-def _names_boilerplate(mark: str) -> bool:
-    for name in mark.split():
+@lru_cache(maxsize=20_000)
+def _names_boilerplate(names: str) -> bool:
+    for name in names.lower().split():
         parts = [x for x in re.split("[_-]+", name) if x]
-        kinds = [bool(BOILERPLATE.fullmatch(x)) for x in parts]
+        kinds = [x in BOILERPLATE for x in parts]
         if any(kinds) and all(k or FILLER.fullmatch(x) for k, x in zip(kinds, parts, strict=True)):
             return True
     return False
 
 
 def _boiler(node: Node) -> bool:
-    return node.tag in DROPPED or bool(node.mark) and node.tag not in NAMELESS and _names_boilerplate(node.mark)
+    return node.tag in DROPPED or bool(node.names) and node.tag not in NAMELESS and _names_boilerplate(node.names)
+
+
+def _headings(node: Node) -> list[Node]:
+    """The headings of an article's own header, in order."""
+    found, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            found.append(x)
+        elif x.tag != "#" and (x.tag == "hgroup" or not _boiler(x)):
+            todo.extend(reversed(x.children))
+    return found
 
 
 def marked_articles(page: Node) -> list[Node]:
@@ -363,6 +384,8 @@ def extract(page: Node, template: set[int], slot: Node | None = None) -> str:
             if node is not root and _boiler(node):
                 if node.tag in BLOCK:
                     flush()
+                if node.tag == "header" and root.tag not in ("html", "body"):
+                    steps.extend((h, False) for h in reversed(_headings(node)))
                 continue
             if node.tag == "br":
                 current.append(" ")

@@ -13,6 +13,7 @@ which must agree; a chunk that was pushed out is encoded again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -35,9 +36,10 @@ Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class ChunkMemo:
-    """encode_chunks: UTF-8 chunks -> (all ids in order, number of ids of each); encode_text: ids of one text of any kind."""
+    """encode_chunks: UTF-8 chunks -> (all ids in order, number of ids of each); encode_text: ids of one text of any kind, also for texts that hold a control string."""
 
-    def __init__(self, encode_chunks: Encode, encode_text: Callable[[str], np.ndarray], slots: int = 1 << 21, pool: int = 1 << 24):
+    def __init__(self, encode_chunks: Encode, encode_text: Callable[[str], np.ndarray], slots: int = 1 << 21, pool: int = 1 << 24, controls: re.Pattern[bytes] | None = None):
+        self.controls = controls
         self.encode_chunks, self.encode_text = encode_chunks, encode_text
         self.mask, self.slots, self.size = np.uint64(slots - 1), slots, pool
         self._reset()
@@ -70,7 +72,16 @@ class ChunkMemo:
         strange[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
         np.cumsum(strange, out=odd[1:])
         # a lone C2 leads U+0080-U+00BF: spaces, signs and two letters
-        other = np.flatnonzero(odd[offsets[1:]] > odd[offsets[:-1]])
+        alone = odd[offsets[1:]] > odd[offsets[:-1]]
+        if self.controls:
+            raw = data.tobytes()
+            for m in self.controls.finditer(raw):
+                # one that two texts make together is in neither
+                i = int(np.searchsorted(offsets, m.start(), "right")) - 1
+                alone[i] |= m.end() <= offsets[i + 1] or self.controls.search(raw[offsets[i] : offsets[i + 1]]) is not None
+                k = int(np.searchsorted(offsets, m.end(), "left")) - 1
+                alone[k] |= self.controls.search(raw[offsets[k] : offsets[k + 1]]) is not None
+        other = np.flatnonzero(alone)
         if self.used + len(data) > self.size:
             self._reset()
         letter = LETTER[data]

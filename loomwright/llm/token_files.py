@@ -8,6 +8,7 @@ skip to a doc_id; a read of lengths or offsets never touches the id pages.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -45,8 +46,10 @@ class FileFormat:
 class LibraryEncoder:
     """The tokenizers library behind a chunk memo; missing chunks of a block go to it as one text.
 
-    encode_special_tokens: control strings in a text are ordinary text. The
-    ids are those of encode() of the whole text.
+    The ids are those of encode() of the whole text, as the library comes:
+    texts with a control string are encoded whole, so that it gets its id.
+    Elsewhere chunks are encoded with encode_special_tokens, as two chunks put
+    end to end may look like a control string that no text has.
     """
 
     def __init__(self, path: str):
@@ -54,17 +57,25 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        controls = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         alphabet = _byte_alphabet()
         vocabulary = self.library.get_vocab()
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
-        self.memo = ChunkMemo(self._chunks, self._text)
+        self.memo = ChunkMemo(self._chunks, self._whole, controls=re.compile(b"|".join(map(re.escape, controls))) if controls else None)
 
     def _text(self, text: str) -> np.ndarray:
-        """The ids of encode(), without the character offsets that it works out too."""
+        """The ids of encode(), control strings spelled out, without the character offsets that it works out too."""
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
+    def _whole(self, text: str) -> np.ndarray:
+        self.library.encode_special_tokens = False
+        try:
+            return self._text(text)
+        finally:
+            self.library.encode_special_tokens = True
+
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with no letter and end with one are encoded end to end: the cuts are match boundaries."""
         size = np.array([len(c) for c in chunks], np.int64)

@@ -17,7 +17,6 @@ TEXTS = [None, "", " ", "don't you'll  'tis\n\n", "a²3 ½x", "×a÷b", "日本
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 

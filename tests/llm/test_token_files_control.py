@@ -1,13 +1,19 @@
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from loomwright.llm import token_files as tf
+from loomwright.llm.subwords import texts_block
 
+TEXTS = ["", "don't  you'll\n\n", "Ünïcödé 日本語", "x < | endoftext | > y", "<|endoftex|>", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "日本 <|endoftext|>語", "plain words <|endof", "text|> more", "|<|endoftext|>|", "<|endoftext", "|>"]
 
-def test_unchanged_library_differs_only_in_control_strings():
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_ids_equal_the_unchanged_library(order):
     path = P.path("byte_bpe_50k.json")
-    ours, library = tf.LibraryEncoder(path), Tokenizer.from_file(path)
-    for text in ("", "don't  you'll\n\n", "Ünïcödé 日本語", "x < | endoftext | > y", "<|endoftex|>"):
-        assert ours._text(text).tolist() == library.encode(text, add_special_tokens=False).ids
-    text = "x <|endoftext|> y"
-    assert 50256 in library.encode(text, add_special_tokens=False).ids and 50256 not in ours._text(text).tolist()
+    library = Tokenizer.from_file(path)
+    texts = TEXTS[::order] * 3
+    ids, counts = tf.LibraryEncoder(path).memo.encode(*texts_block(texts))
+    ends = counts.cumsum()
+    assert [ids[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in library.encode(TEXTS[5], add_special_tokens=False).ids
