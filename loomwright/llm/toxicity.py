@@ -2,11 +2,12 @@
 
 A word's vector is the average over its hashed character n-grams and itself, so
 a misspelling that training never saw shares most of a known word's n-grams. A
-passage of eight words is the average of its words' vectors; its class
-probabilities are a linear softmax of that; a document is as toxic as its most
-toxic passage, whatever its length. Training goes through the passages by an
-attention that sharpens from the mean of all passages to the strongest one,
-and each batch loses a random share of its n-grams, as a misspelling would.
+passage of some words is the average of its words' vectors; its class
+probabilities are a linear softmax of that. A document is as toxic as its three
+most toxic passages on average, whatever its length: one word that may be
+harmless doesn't decide. Training goes through the passages by an attention
+that sharpens from the mean of all passages to the strongest ones, and each
+batch loses a random share of its n-grams, as a misspelling would.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import crc_mod3, drop_tables, string_blocks, table
 from loomwright.llm.subwords import bounded_sample, distinct, grams, training_part, vocabulary, words_of
 
-#: A passage is two half passages of so many words, one after the other.
-HALF = 4
+#: A text is dealt out into passages of so many words, up to twice as many.
+PASSAGE = 3
+#: So many of a document's passages decide, or all it has.
+STRONGEST = 3
 
 
 @dataclass(frozen=True)
@@ -44,15 +47,26 @@ class ToxicityParameters:
     seed: int = 7
 
 
-def _passages(scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Half passage of each word, words of each half, and of each passage its first half and whether it has a second."""
+def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passage of each word, words of each passage, document of each passage, and passages of each document; first: first word of each document, and the end."""
     n = np.diff(first)
-    halves = -(-n // HALF)
-    start = np.concatenate([[0], np.cumsum(halves)])
+    many = np.where(n > 0, np.maximum(n // PASSAGE, 1), 0)
+    start = np.cumsum(many) - many
     doc = np.repeat(np.arange(len(n)), n)
-    half = start[doc] + (np.arange(first[-1] - first[0]) - (first[doc] - first[0])) // HALF
-    size = np.bincount(half, minlength=start[-1])
-    return half, size, start, halves
+    passage = start[doc] + (np.arange(first[-1] - first[0]) - (first[doc] - first[0])) * many[doc] // n[doc]
+    return passage, np.bincount(passage, minlength=int(many.sum())), np.repeat(np.arange(len(n)), many), many
+
+
+def _ranks(z: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each passage in its document, the strongest 0, and the least value that is among a document's strongest."""
+    order = np.lexsort((-z, doc))
+    start = np.cumsum(many) - many
+    rank = np.empty(len(z), np.int64)
+    rank[order] = np.arange(len(z)) - start[doc[order]]
+    least = np.zeros(len(many))
+    full = many > 0
+    least[full] = z[order][(start + np.minimum(many, STRONGEST) - 1)[full]]
+    return rank, least
 
 
 class Folded:
@@ -72,19 +86,12 @@ class Folded:
             total += np.bincount(word, self.bucket[bucket], kinds.count)
             count += np.bincount(word, minlength=kinds.count)
         score = (total / np.maximum(count, 1))[which]
-        half, size, start, halves = _passages(score, w.first)
-        sums = np.bincount(half, score, start[-1])
-        last = np.zeros(start[-1], bool)
-        last[start[1:][halves > 0] - 1] = True
-        more = np.where(last, 0, np.append(sums[1:], 0))
-        n = size + np.where(last, 0, np.append(size[1:], 0))
-        # a last half passage alone counts only in a document that has no other
-        z = (sums + more) / n
-        alone = last.copy()
-        alone[start[:-1][halves == 1]] = False
-        z[alone] = -np.inf
-        full = np.flatnonzero(halves > 0)
-        out[full] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(z, start[:-1][full]) + self.bias, -60, 60)))
+        passage, size, doc, many = _passages(w.first)
+        z = np.bincount(passage, score, len(size)) / size
+        top = _ranks(z, doc, many)[0] < STRONGEST
+        full = many > 0
+        z = np.bincount(doc[top], z[top], len(many))[full] / np.minimum(many, STRONGEST)[full]
+        out[full] = 1 / (1 + np.exp(-np.clip(z + self.bias, -60, 60)))
         return out
 
 
@@ -140,30 +147,18 @@ def train(texts: list[str], labels: list[int], p: ToxicityParameters) -> Folded:
             vectors /= lengths[:, None]
             logits = vectors @ u.T
             margin = (logits[:, 1] - logits[:, 0])[back]
-            half, size, start, halves = _passages(margin, first)
-            sums = np.bincount(half, margin, start[-1])
-            last = np.zeros(start[-1], bool)
-            last[start[1:][halves > 0] - 1] = True
-            nxt = ~last
-            n = size + np.where(nxt, np.append(size[1:], 0), 0)
-            z = (sums + np.where(nxt, np.append(sums[1:], 0), 0)) / n + b[1] - b[0]
-            alone = last.copy()
-            alone[start[:-1][halves == 1]] = False
-            doc = np.repeat(np.arange(len(some)), halves)
-            zz = np.where(alone, -np.inf, z)
-            full = np.flatnonzero(halves > 0)
-            top = np.zeros(len(some))
-            top[full] = np.maximum.reduceat(zz, start[:-1][full])
-            a = np.exp(np.clip(sharp * (zz - top[doc]), -700, 0))
+            passage, size, doc, many = _passages(first)
+            z = np.bincount(passage, margin, len(size)) / size
+            least = _ranks(z, doc, many)[1]
+            # the strongest passages count alike, weaker ones less and less
+            a = np.exp(np.clip(sharp * (z - least[doc]), -700, 0))
             a /= np.bincount(doc, a, len(some))[doc]
-            pooled = np.bincount(doc, np.where(alone, 0, a * np.where(alone, 0, z)), len(some))
+            pooled = np.bincount(doc, a * z, len(some)) + b[1] - b[0]
             probability = 1 / (1 + np.exp(-np.clip(pooled, -60, 60)))
             weight = np.where(y[some] == 1, 0.5 / positive, 0.5 / (1 - positive)) ** 0.5
-            grad = weight * (probability - y[some]) / len(some)
-            per_passage = a * grad[doc]
-            per_half = per_passage / n
-            per_half[1:] += np.where(nxt[:-1], per_passage[:-1] / n[:-1], 0)
-            d_margin = np.bincount(back, per_half[half], len(words))
+            grad = np.where(many > 0, weight * (probability - y[some]), 0) / len(some)
+            d_word = (a * grad[doc] / size)[passage]
+            d_margin = np.bincount(back, d_word, len(words))
             direction = u[1] - u[0]
             d_u = d_margin @ vectors
             d_gram = (d_margin / lengths)[g_word]
@@ -193,10 +188,14 @@ def _document_counts(kind: np.ndarray, first: np.ndarray, at: np.ndarray, gram_b
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParameters) -> Folded:
-    """Learn from documents whose crc32 of the id modulo 3 isn't 1. A document with several labels is toxic if any says so."""
+    """Learn from documents whose crc32 of the id modulo 3 isn't 1. A document with several labels is toxic if any says so.
+
+    The bounded sample is drawn from labels of documents that there are and that are short enough to learn from.
+    """
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= p.train_chars))
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = bounded_sample(training_part(marks), "toxic", p.per_label)
-    found = docs.where(F.col("text").isNotNull() & (F.length("text") <= p.train_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").toPandas()
+    ids = bounded_sample(training_part(marks).join(usable.select("doc_id"), "doc_id", "left_semi"), "toxic", p.per_label)
+    found = usable.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").toPandas()
     return train(found["text"].tolist(), found["toxic"].astype(int).tolist(), p)
 
 
