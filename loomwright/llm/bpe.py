@@ -45,7 +45,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
@@ -144,7 +144,7 @@ class Transducer:
                 known = self.merged(left + right) == [left, right]
             else:
                 known = self._unbroken(self._spine(before, 1), self._spine(token, 0))
-            if len(self.stable_memo) > 250_000:
+            if len(self.stable_memo) > 120_000:
                 self.stable_memo.clear()
             self.stable_memo[key] = known
         return known
@@ -342,7 +342,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(load_ranks(path))
         self.vocabulary = Vocabulary(self.transducer.bytes_of)
-        self.memo = ChunkMemo(self._chunks, self._text, slots=1 << 19, pool=1 << 22)
+        self.memo = ChunkMemo(self._chunks, self._text, slots=1 << 18, pool=1 << 21)
 
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode, findall, one = self.transducer.encode, self.pattern.findall, _ONE.fullmatch
