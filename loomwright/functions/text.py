@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,14 +45,14 @@ def typographic(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"[ \t]+([,.;:!?])", "$1"), r"[ \t]+", " ")
 
 
-# Words that carry no name, and pairs of letters written alike.
+# Words that carry no name, and spellings that two languages write differently.
 STOP_WORDS = ["the", "of", "and", "de", "la", "et", "en", "und", "der"]
-DIGRAPHS = [("ph", "f"), ("th", "t"), ("ch", "c"), ("qu", "c"), ("y", "i"), ("j", "i"), ("v", "b"), ("k", "c")]
+DIGRAPHS = [("ae", "e"), ("oe", "e"), ("j", "i"), ("v", "u"), ("y", "i"), ("k", "c"), ("ph", "f"), ("th", "t"), ("ch", "c"), ("qu", "c"), ("h", ""), ("mm", "m"), ("ll", "l"), ("ss", "s")]
 
 
 def root_keys(x: Column) -> Column:
     """The different roots of a text's words, in order of appearance: four letters after folding of pairs, numbers as #n; stop words don't count."""
-    kept = F.filter(words(x), lambda w: ~w.isin(STOP_WORDS))
+    kept = F.filter(words(search_fold(x)), lambda w: ~w.isin(STOP_WORDS))
 
     def root(w: Column) -> Column:
         out = w
@@ -99,16 +101,29 @@ def slug(x: Column, number: Column | None = None) -> Column:
     return s if number is None else F.concat_ws("-", s, F.lpad(number.cast("string"), 3, "0"))
 
 
-# The named character references that the cleanup knows.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+#: The named character references of HTML with one character, from the standard library.
+ENTITIES = {k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def _decoded(x: Column) -> Column:
+    """Character references decoded once, from left to right; what is no reference stays as it is."""
+    pieces = F.regexp_extract_all(x, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&)"), 1)
+    names = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+
+    def one(p: Column) -> Column:
+        number = F.when(p.rlike("^&#[0-9]+;$"), F.regexp_extract(p, "([0-9]+)", 1).cast("int")).when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        # a code point by its four UTF-32 bytes
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        named = F.try_element_at(names, F.regexp_extract(p, "^&([a-zA-Z][a-zA-Z0-9]*);$", 1))
+        return F.when(valid, char).when(p.startswith("&"), F.coalesce(named, p)).otherwise(p)
+
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(x)
 
 
 def clean_markup(x: Column) -> Column:
     """Without tags, with the known character references decoded, and white space squeezed."""
-    x = F.regexp_replace(x, "<[^>]*>", " ")
-    for a, b in ENTITIES:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(x, "[ \\t\\n\\r]+", " "))
+    return F.trim(F.regexp_replace(_decoded(F.regexp_replace(x, "<[^>]*>", " ")), "[ \\t\\n\\r]+", " "))
 
 
 # Roman numerals by weight.

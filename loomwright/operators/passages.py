@@ -27,32 +27,59 @@ def renumber_chapters(rows: DataFrame, rules: DataFrame, chapter: str, verse: st
     return x.withColumn("ruled", ruled).drop("__rules", "__rule")
 
 
+def asked_numbers(spans: DataFrame, corpus: DataFrame, span_id: str, book: str) -> DataFrame:
+    """span_id, book, chapter, verse of every number that a span asks for; verse is null where a first or last chapter isn't in the corpus and its bounds aren't given.
+
+    The corpus says how far a chapter goes: a span without `first` begins with
+    the chapter's first number, one that goes on into later chapters takes each
+    to its end, one without `last` ends with the last chapter. Chapters in the
+    middle that the corpus hasn't are passed over. Spans meet the corpus by
+    chapter, whose bounds are one row each.
+    """
+    bounds = corpus.groupBy(book, F.col("chapter").alias("__c")).agg(F.min("verse").alias("__low"), F.max("verse").alias("__high"))
+    pieces = spans.where(F.col("chapter") <= F.col("last_chapter")).withColumn("__c", F.explode(F.sequence("chapter", "last_chapter"))).join(bounds, [book, "__c"], "left")
+    begins, ends = F.col("__c") == F.col("chapter"), F.col("__c") == F.col("last_chapter")
+    low = F.when(begins, F.coalesce("first", "__low")).otherwise(F.coalesce(F.least("__low", F.lit(1)), F.lit(1)))
+    high = F.when(ends, F.coalesce("last", "__high")).otherwise(F.col("__high"))
+    numbers = F.when(low <= high, F.sequence(low, high)).when((low.isNull() | high.isNull()) & (begins | ends), F.array(F.lit(None).cast("int")))
+    return pieces.select(span_id, book, F.col("__c").alias("chapter"), F.explode(numbers).alias("verse"))
+
+
+def missing_log(asked: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id: str, book: str) -> DataFrame:
+    """span_id, book, chapter, verse, declared of asked_numbers() that the corpus hasn't; a null verse stands for a whole chapter."""
+    there = corpus.select(book, "chapter", "verse").distinct()
+    known = omitted.select(book, "chapter", "verse").distinct().withColumn("declared", F.lit(True))
+    lost = asked.join(there, [book, "chapter", "verse"], "left_anti").join(known, [book, "chapter", "verse"], "left")
+    return lost.select(span_id, book, "chapter", "verse", F.coalesce("declared", F.lit(False)).alias("declared"))
+
+
 def resolve_spans(spans: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id: str, book: str) -> DataFrame:
-    """span_id, verses, rows, missing, omitted, distinct_asked of spans asked for in a corpus.
+    """span_id, verses, rows, missing, omitted, distinct_asked, missing_chapters of spans asked for in a corpus.
 
     spans: span_id, book, chapter, first, last_chapter, last; first null: the
     whole chapters; last null: to the end of last_chapter. corpus: book,
     chapter, verse, letter: a number stands for its lettered verses unless a
     row without a letter has it. omitted: book, chapter, verse declared as left
-    out. Missing counts the numbers of a closed span in one chapter that the
-    corpus hasn't and omitted doesn't declare; other spans have none.
-    distinct_asked is how many numbers were asked for (null: open).
+    out. missing and omitted count the numbers of asked_numbers() that the
+    corpus hasn't, also where a span goes over several chapters.
+    distinct_asked is how many numbers were asked for (null: open at an end).
     """
-    low = F.coalesce(F.col("first"), F.lit(0))
-    at = lambda c, v: F.struct(c, v)
     exact = corpus.groupBy(book, "chapter", "verse").agg(F.max(F.col("letter").isNull()).alias("__plain"), F.count(F.lit(1)).alias("__n"), F.count_if(F.col("letter").isNull()).alias("__own"))
-    keyed = exact.select(F.col(book).alias("__b"), F.col("chapter").alias("__c"), F.col("verse").alias("__v"), F.when(F.col("__plain"), F.col("__own")).otherwise(F.col("__n")).alias("__rows"))
-    end = (F.col("__c") < F.col("last_chapter")) | ((F.col("__c") == F.col("last_chapter")) & (F.col("last").isNull() | (F.col("__v") <= F.col("last"))))
-    inside = (F.col("__b") == F.col(book)) & (at(F.col("__c"), F.col("__v")) >= at(F.col("chapter"), low)) & end
-    got = spans.join(keyed, inside, "left").groupBy(span_id).agg(F.count("__v").alias("verses"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"))
-    closed = F.col("first").isNotNull() & F.col("last").isNotNull() & (F.col("chapter") == F.col("last_chapter"))
-    asked = spans.where(closed & (F.col("first") <= F.col("last"))).select(span_id, book, "chapter", F.explode(F.sequence("first", "last")).alias("verse"))
-    there = exact.select(book, "chapter", "verse", F.lit(1).alias("__there"))
+    there = exact.select(book, "chapter", "verse", F.when(F.col("__plain"), F.col("__own")).otherwise(F.col("__n")).alias("__rows"))
     known = omitted.select(book, "chapter", "verse").distinct().withColumn("__why", F.lit(1))
-    lost = asked.join(there, [book, "chapter", "verse"], "left").join(known, [book, "chapter", "verse"], "left")
-    gone = F.col("__there").isNull()
-    counts = lost.groupBy(span_id).agg(F.count(F.lit(1)).alias("distinct_asked"), F.count_if(gone & F.col("__why").isNull()).alias("missing"), F.count_if(gone & F.col("__why").isNotNull()).alias("omitted"))
-    return got.join(counts, span_id, "left").select(span_id, "verses", "rows", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("omitted", F.lit(0)).alias("omitted"), "distinct_asked")
+    asked = asked_numbers(spans, corpus, span_id, book).join(there, [book, "chapter", "verse"], "left").join(known, [book, "chapter", "verse"], "left")
+    gone = F.col("__rows").isNull() & F.col("verse").isNotNull()
+    counts = asked.groupBy(span_id).agg(
+        F.count("__rows").alias("verses"),
+        F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"),
+        F.count_if(gone & F.col("__why").isNull()).alias("missing"),
+        F.count_if(gone & F.col("__why").isNotNull()).alias("omitted"),
+        F.count("verse").alias("__asked"),
+        F.count_if(F.col("verse").isNull()).alias("missing_chapters"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    closed = F.col("first").isNotNull() & F.col("last").isNotNull()
+    return spans.join(counts, span_id, "left").select(span_id, zero("verses"), zero("rows"), zero("missing"), zero("omitted"), F.when(closed, F.coalesce("__asked", F.lit(0).cast("long"))).alias("distinct_asked"), zero("missing_chapters"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], members: str) -> DataFrame:

@@ -86,11 +86,14 @@ def fold_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", text.search_fold(c).alias("search"), text.text_key(c).alias("key"), text.letter_key(c).alias("letters"), text.squeezed(c).alias("squeezed"), text.squeezed_dots(c).alias("dotted"), text.slug(F.left(c, F.lit(30)), F.col("doc_id") % 1000).alias("slug"), F.array_join(text.root_keys(c), " ").alias("roots"))
 
 
+_ROOT = "v"
+for _a, _b in text.DIGRAPHS:
+    _ROOT = f"replace({_ROOT}, '{_a}', '{_b}')"
 FOLDS_SQL = rf"""
 with x as (select doc_id, coalesce(string_split(text, chr(10))[1], '') as line from documents),
 y as (select *, {_WORDS.format("line")} as w, lower(regexp_replace(translate(line, '–—−', '---'), '\s+', '', 'g')) as q from x),
-r as (select *, list_transform(list_filter(w, lambda v: v not in ('the', 'of', 'and', 'de', 'la', 'et', 'en', 'und', 'der')), lambda v: case when regexp_full_match(v, '[0-9]+') then '#' || v
-  else left(replace(replace(replace(replace(replace(replace(replace(replace(v, 'ph', 'f'), 'th', 't'), 'ch', 'c'), 'qu', 'c'), 'y', 'i'), 'j', 'i'), 'v', 'b'), 'k', 'c'), 4) end) as k from y)
+r as (select *, list_transform(list_filter({_WORDS.format("replace(replace(replace(line, 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss')")}, lambda v: v not in ('the', 'of', 'and', 'de', 'la', 'et', 'en', 'und', 'der')), lambda v: case when regexp_full_match(v, '[0-9]+') then '#' || v
+  else left({_ROOT}, 4) end) as k from y)
 select doc_id, replace(replace(replace({_FOLD.format("line")}, 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss') as search, array_to_string(w, ' ') as key, regexp_replace({_FOLD.format("line")}, '[^a-z]+', '', 'g') as letters,
   q as squeezed, translate(q, ',', '.') as dotted, concat_ws('-', replace(trim(regexp_replace({_FOLD.format("left(line, 30)")}, '[^a-z0-9]+', ' ', 'g')), ' ', '-'), lpad(cast(doc_id % 1000 as varchar), 3, '0')) as slug,
   array_to_string(list_filter(k, lambda v, i: list_position(k, v) = i), ' ') as roots

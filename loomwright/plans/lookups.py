@@ -63,17 +63,17 @@ select coalesce(o_orderkey, p.k) as k, case when p.k is not null then p.v else o
 
 
 def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each customer the parts of its urgent orders, then of its others, each once; customers without any get the first suppliers of their nation."""
+    """For each customer the suppliers of its urgent orders, then of its others, each once; customers without any get the first suppliers of their nation."""
     who = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
     bought = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("item"), F.col("l_orderkey").alias("place"), "o_orderpriority")
-    lists = [who.join(bought.where(c).drop("o_orderpriority"), "c_custkey", "left") for c in ("o_orderpriority = '1-URGENT'", "o_orderpriority = '5-LOW'")]
+    lists = [who.join(bought.where(c).drop("o_orderpriority"), "c_custkey", "left") for c in ("o_orderpriority = '1-URGENT'", "o_orderpriority is null or o_orderpriority <> '1-URGENT'")]
     rest = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("item")).withColumn("place", F.lit(1))
     done = search.candidates_with_fallback(lists, ["c_custkey"], "item", rest, "nation")
     return done.select("c_custkey", "item", F.col("place").cast("long").alias("place"))
 
 
 CANDIDATES_SQL = """
-with b as (select o_custkey as c_custkey, l_suppkey as item, min(row(case o_orderpriority when '1-URGENT' then 0 else 1 end, l_orderkey)) as a from orders join lineitem on o_orderkey = l_orderkey where o_orderpriority in ('1-URGENT', '5-LOW') group by 1, 2),
+with b as (select o_custkey as c_custkey, l_suppkey as item, min(row(case o_orderpriority when '1-URGENT' then 0 else 1 end, l_orderkey)) as a from orders join lineitem on o_orderkey = l_orderkey group by 1, 2),
 o as (select c_custkey, item, row_number() over (partition by c_custkey order by a, item) as place from b where c_custkey in (select c_custkey from customer))
 select * from o union all
 select c_custkey, min(s_suppkey), 1 from customer join supplier on s_nationkey = c_nationkey where c_custkey not in (select c_custkey from o) group by 1
@@ -135,11 +135,15 @@ with c as (select l_suppkey as book, l_linenumber as chapter, cast(l_partkey % 5
 e as (select book, chapter, verse, case when bool_or(letter is null) then count(*) filter (where letter is null) else count(*) end as n from c group by all),
 o as (select distinct book, chapter, verse + 1 as verse from c where letter = 'A'),
 s as (select o_orderkey, o_orderkey % 100 + 1 as book, cast(o_orderkey % 7 + 1 as integer) as chapter, case when o_orderkey % 11 > 0 then o_orderkey % 50 + 1 end as first, case when o_orderkey % 4 = 0 then least(o_orderkey % 7 + 2, 7) else o_orderkey % 7 + 1 end as last_chapter, case when o_orderkey % 11 > 0 and o_orderkey % 5 > 0 then o_orderkey % 50 + 1 + o_orderkey % 9 end as last from orders),
-g as (select o_orderkey, count(e.verse) as verses, cast(coalesce(sum(e.n), 0) as bigint) as rows from s left join e on e.book = s.book and (e.chapter > s.chapter or (e.chapter = s.chapter and e.verse >= coalesce(first, 0))) and (e.chapter < last_chapter or (e.chapter = last_chapter and (last is null or e.verse <= last))) group by 1),
-a as (select o_orderkey, book, chapter, unnest(generate_series(first, last)) as verse from s where first is not null and last is not null and chapter = last_chapter),
-m as (select a.o_orderkey, count(*) as distinct_asked, count(*) filter (where e.verse is null and o.verse is null) as missing, count(*) filter (where e.verse is null and o.verse is not null) as omitted
+b as (select book, chapter, min(verse) as low, max(verse) as high from c group by all),
+q as (select o_orderkey, s.book, s.chapter, first, last_chapter, last, unnest(generate_series(s.chapter, last_chapter)) as ch from s),
+r as (select q.*, case when ch = q.chapter then coalesce(first, low) else coalesce(least(low, 1), 1) end as lo, case when ch = last_chapter then coalesce(last, high) else high end as hi from q left join b on b.book = q.book and b.chapter = ch),
+a as (select o_orderkey, book, ch as chapter, unnest(case when lo is null or hi is null then [null] else generate_series(lo, hi) end) as verse, (lo is null or hi is null) as no_chapter from r where lo is null or hi is null or lo <= hi),
+m as (select a.o_orderkey, count(e.n) as verses, coalesce(sum(e.n), 0) as rows, count(*) filter (not no_chapter and e.n is null and o.verse is null) as missing, count(*) filter (not no_chapter and e.n is null and o.verse is not null) as omitted,
+    count(a.verse) as asked, count(*) filter (no_chapter) as missing_chapters
   from a left join e on e.book = a.book and e.chapter = a.chapter and e.verse = a.verse left join o on o.book = a.book and o.chapter = a.chapter and o.verse = a.verse group by 1)
-select g.*, coalesce(missing, 0) as missing, coalesce(omitted, 0) as omitted, distinct_asked from g left join m on m.o_orderkey = g.o_orderkey
+select s.o_orderkey, coalesce(verses, 0) as verses, cast(coalesce(rows, 0) as bigint) as rows, coalesce(missing, 0) as missing, coalesce(omitted, 0) as omitted,
+  case when first is not null and last is not null then coalesce(asked, 0) end as distinct_asked, coalesce(missing_chapters, 0) as missing_chapters from s left join m using (o_orderkey)
 """
 
 
@@ -199,11 +203,9 @@ def table_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-SIGNATURE_SQL = """
-select 'nation' as name, count(*) as rows, cast(sum(cast('0x' || left(md5(n_nationkey || '|' || n_name), 10) as bigint)) as bigint) as sign from nation
-union all select 'supplier', count(*), cast(sum(cast('0x' || left(md5(s_suppkey || '|' || s_name), 10) as bigint)) as bigint) from supplier
-union all select 'orders', count(*), cast(sum(cast('0x' || left(md5(o_orderkey || '|' || o_orderstatus), 10) as bigint)) as bigint) from orders
-"""
+_SIGN = "select '{0}' as name, count(*) as rows, coalesce(sum(cast('0x' || left(h, 15) as decimal(38, 0))), 0)::varchar || '.' || coalesce(sum(cast('0x' || substr(h, 16, 15) as decimal(38, 0))), 0)::varchar as sign from (select md5({1}) as h from {0})"
+_VALUE = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+SIGNATURE_SQL = " union all ".join(_SIGN.format(t, " || ',' || ".join(_VALUE.format(c) for c in cs)) for t, cs in (("nation", ("n_nationkey", "n_name")), ("supplier", ("s_suppkey", "s_name")), ("orders", ("o_orderkey", "o_orderstatus")))).replace("cast('0x' ||", "cast(('0x' ||").replace(" as decimal(38, 0))", ")::bigint as decimal(38, 0))")
 
 QUERIES = {"snippets": snippets, "words_by_month": words_by_month, "key_filter": key_filter, "point_lookup_patched": point_lookup_patched, "candidate_lists": candidate_lists, "applicable_items": applicable_items, "two_dim_rule_remap": two_dim_rule_remap, "passage_resolution": passage_resolution, "same_passage": same_passage, "rule_file": rule_file, "json_documents": json_documents, "table_signature": table_signature}
 SQL = {"snippets": SNIPPET_SQL, "words_by_month": MONTH_SQL, "key_filter": KEY_SQL, "point_lookup_patched": PATCHED_SQL, "candidate_lists": CANDIDATES_SQL, "applicable_items": APPLICABLE_SQL, "two_dim_rule_remap": REMAP_SQL, "passage_resolution": PASSAGE_SQL, "same_passage": SAME_SQL, "rule_file": RULE_FILE_SQL, "json_documents": JSON_SQL, "table_signature": SIGNATURE_SQL}

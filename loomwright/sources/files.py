@@ -43,7 +43,11 @@ def json_get(document: Column, path: str, kind: str) -> Column:
 
 
 def signature(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (rows, sign): a sum over digests of the rows, the same in whatever order and partitions they come."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    digest = F.conv(F.substring(F.md5(row.cast("binary")), 1, 10), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).alias("sign"))
+    """One row (rows, sign): two sums over digests of the rows, the same in whatever order and partitions they come.
+
+    Every value stands with its length, a null without one, so that no two different rows read alike.
+    """
+    value = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    digest = F.md5(F.concat_ws(",", *[value(F.col(c).cast("string")) for c in columns]).cast("binary"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat(part(1), F.lit("."), part(16)).alias("sign"))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomwright.functions import text
+from loomwright.sources import files
 from loomwright.operators import audit, calendar, consensus, passages, rules, search, sequences, similarity, votes
 
 
@@ -123,7 +124,23 @@ def test_passages_of_no_rules_and_letters(spark):
     none = spark.createDataFrame([], "rule_order int, ch_low int, ch_high int, v_low int, v_high int, mode string, shift int")
     assert rows_of(passages.renumber_chapters(x, none, "c", "v"), "new_chapter", "new_verse", "ruled") == [(1, 1, False), (2, 9, False)]
     corpus = spark.createDataFrame([("b", 1, 1, None), ("b", 1, 2, "a"), ("b", 1, 2, "b"), ("b", 1, 4, None), ("b", 2, 1, None)], "book string, chapter int, verse int, letter string")
-    spans = spark.createDataFrame([(1, "b", 1, 1, 1, 5), (2, "b", 1, None, 1, None), (3, "b", 1, 2, 2, 1), (4, "zz", 1, 1, 1, 2)], "id int, book string, chapter int, first int, last_chapter int, last int")
+    spans = spark.createDataFrame([(1, "b", 1, 1, 1, 5), (2, "b", 1, None, 1, None), (3, "b", 1, 2, 2, 1), (4, "zz", 1, 1, 1, 2), (5, "b", 1, 1, 4, 2), (6, "b", 3, None, 3, None), (7, "b", 1, 5, 1, 4)], "id int, book string, chapter int, first int, last_chapter int, last int")
     gaps = spark.createDataFrame([("b", 1, 3)], "book string, chapter int, verse int")
-    got = rows_of(passages.resolve_spans(spans, corpus, gaps, "id", "book"), "id", "verses", "rows", "missing", "omitted", "distinct_asked")
-    assert got == [(1, 3, 4, 1, 1, 5), (2, 3, 4, 0, 0, None), (3, 3, 4, 0, 0, None), (4, 0, 0, 2, 0, 2)]
+    got = rows_of(passages.resolve_spans(spans, corpus, gaps, "id", "book"), "id", "verses", "rows", "missing", "omitted", "distinct_asked", "missing_chapters")
+    assert got == [(1, 3, 4, 1, 1, 5, 0), (2, 3, 4, 0, 1, None, 0), (3, 3, 4, 0, 1, 4, 0), (4, 0, 0, 2, 0, 2, 0), (5, 4, 5, 2, 1, 7, 0), (6, 0, 0, 0, 0, None, 1), (7, 0, 0, 0, 0, 0, 0)]
+    log = passages.missing_log(passages.asked_numbers(spans, corpus, "id", "book"), corpus, gaps, "id", "book")
+    assert rows_of(log.where("id in (3, 5, 6)"), "id", "chapter", "verse", "declared") == [(3, 1, 3, True), (5, 1, 3, True), (5, 4, 1, False), (5, 4, 2, False), (6, 3, None, False)]
+
+
+def test_signatures_tell_tables_apart(spark):
+    sign = lambda rows: files.signature(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first().sign
+    tables = [[("a|b", "c")], [("a", "b|c")], [(None, "c")], [("\\N", "c")], [("", "c")], [("a", None)], [("a", "")], [("x", "y"), ("x", "y")], []]
+    assert len({sign(t) for t in tables}) == len(tables)
+    assert sign([("a", "b"), (None, "d")]) == sign([(None, "d"), ("a", "b")])
+
+
+def test_roots_and_references(spark):
+    x = spark.createDataFrame([("Æterna philosophia vocavit",), ("Jerusalem Hallelujah",)], "t string")
+    assert [r[0] for r in x.select(text.root_keys(F.col("t"))).collect()] == [["eter", "filo", "uoca"], ["ieru", "alel"]]
+    y = spark.createDataFrame([("<p>Caf&eacute; &#233;&#xE9; &amp;lt; &bogus; &#0;</p>",), (None,)], "t string")
+    assert [r[0] for r in y.select(text.clean_markup(F.col("t"))).collect()] == ["Café éé &lt; &bogus; &#0;", None]
