@@ -48,20 +48,24 @@ select doc_id, cast(one as bigint) + cast(two as bigint) as applied, md5(case wh
 
 
 def displaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event gets a day of its own among its user's; no event may stand on a Sunday. Days of 2024."""
-    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-12-31')) as day").select("day", (F.dayofweek("day") == 1).alias("blocked"))
+    """Each event gets a day of its own among its user's; no event may stand on a Sunday. The days are those of the table, and so many more that every user's events have room."""
     items = _table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    per_user = items.groupBy("user_id").agg(F.count("day").alias("n"), F.min("day").alias("low"), F.max("day").alias("high"))
+    # seven days have six free ones
+    span = per_user.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n")).where("low is not null")
+    days = span.select(F.explode(F.expr("sequence(low, date_add(high, cast(n + floor(n / 6) + 7 as int)))")).alias("day")).select("day", (F.dayofweek("day") == 1).alias("blocked"))
     return displacement.displace(items, ["user_id"], "day", "event_id", displacement.free_days(days, "day", "blocked")).select("event_id", "moved_to", "in_time")
 
 
 DISPLACED_SQL = """
-with days as (select cast(range as date) as day from range(date '2024-01-01', date '2025-01-01', interval 1 day)),
+with i as (select event_id, user_id, cast(ts as date) as day from events),
+span as (select min(low) as low, max(high) as high, max(n) as n from (select min(day) as low, max(day) as high, count(day) as n from i group by user_id)),
+days as (select cast(unnest(generate_series(low, high + cast(n + n // 6 + 7 as integer), interval 1 day)) as date) as day from span),
 n as (select day, dayofweek(day) = 0 as blocked, sum(case when dayofweek(day) = 0 then 0 else 1 end) over (order by day) as n from days),
 slots as (select n as slot, day as moved_to from n where not blocked),
-i as (select event_id, user_id, cast(ts as date) as day from events),
 p as (select i.*, n.n + case when blocked then 1 else 0 end as slot, row_number() over (partition by user_id order by i.day, event_id) as r from i join n on n.day = i.day),
 q as (select *, r + max(slot - r) over (partition by user_id order by r) as own from p)
-select event_id, moved_to, moved_to - day <= 60 as in_time from q left join slots on slots.slot = q.own
+select i.event_id, moved_to, moved_to - i.day <= 60 as in_time from i left join q on q.event_id = i.event_id left join slots on slots.slot = q.own
 """
 
 
