@@ -93,6 +93,13 @@ class Node:
     number: int = -1
 
 
+@lru_cache(maxsize=20_000)
+def _marks(attributes: str) -> tuple[str, str]:
+    """Classes, ids and roles of a tag; and those of them whose names may tell boilerplate."""
+    marks = [(kind.lower(), one or two or bare) for kind, one, two, bare in _ATTRIBUTE.findall(attributes)]
+    return " ".join(v for _, v in marks), " ".join(v for kind, v in marks if kind != "id" or v.lower() in BOILERPLATE_IDS)
+
+
 def parse(source: str) -> Node:
     """A forgiving tree: unknown end tags are skipped, paragraphs end at the next block, what is open at the end is closed."""
     root = Node("html")
@@ -136,9 +143,7 @@ def parse(source: str) -> Node:
                 break
         node = Node(name)
         if m.group(3):
-            marks = [(kind.lower(), one or two or bare) for kind, one, two, bare in _ATTRIBUTE.findall(m.group(3))]
-            node.mark = " ".join(v for _, v in marks)
-            node.names = " ".join(v for kind, v in marks if kind != "id" or v.lower() in BOILERPLATE_IDS)
+            node.mark, node.names = _marks(m.group(3))
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
