@@ -23,6 +23,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Merge ranks compiled to a transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_stable: int = 250_000):
+        self.ranks, self.max_states, self.max_stable = ranks, max_states, max_stable
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: list[int] = [-1]
@@ -144,7 +145,7 @@ class Transducer:
                 known = self.merged(left + right) == [left, right]
             else:
                 known = self._unbroken(self._spine(before, 1), self._spine(token, 0))
-            if len(self.stable_memo) > 120_000:
+            if len(self.stable_memo) > self.max_stable:
                 self.stable_memo.clear()
             self.stable_memo[key] = known
         return known
@@ -333,16 +334,30 @@ class Vocabulary:
         return self.blob[where].tobytes()
 
 
+@dataclass(frozen=True)
+class EncoderTables:
+    """Sizes of a worker's tables, about 230 MB by default; smaller ones take more time and give the same ids."""
+
+    states: int = 100_000
+    stable: int = 250_000
+    memo_slots: int = 1 << 19
+    memo_ids: int = 1 << 22
+
+
+#: About 150 MB, for executors whose memory other stages have filled.
+SMALL_TABLES = EncoderTables(30_000, 120_000, 1 << 18, 1 << 21)
+
+
 class Encoder:
     """Whole texts to ids: the split pattern, then the transducer for each match."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, tables: EncoderTables = EncoderTables()):
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(load_ranks(path))
+        self.transducer = Transducer(load_ranks(path), tables.states, tables.stable)
         self.vocabulary = Vocabulary(self.transducer.bytes_of)
-        self.memo = ChunkMemo(self._chunks, self._text, slots=1 << 18, pool=1 << 21)
+        self.memo = ChunkMemo(self._chunks, self._text, slots=tables.memo_slots, pool=tables.memo_ids)
 
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode, findall, one = self.transducer.encode, self.pattern.findall, _ONE.fullmatch
@@ -377,17 +392,17 @@ class Encoder:
         return self.memo.encode(raw, np.array([0, len(raw)]))[0].astype("<u4").tobytes()
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, tables: EncoderTables = EncoderTables()) -> Encoder:
     """One per worker process; its memos are bounded, and go when another operator needs the worker."""
 
     def make() -> Encoder:
-        made = Encoder(path, pattern)
+        made = Encoder(path, pattern, tables)
         gc.collect()
         gc.freeze()  # scanning its tables again and again costs more than the merges
         gc.set_threshold(200_000, 50, 100)
         return made
 
-    return worker_tables(("bpe", path, pattern), make)
+    return worker_tables(("bpe", path, pattern, tables), make)
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
@@ -398,7 +413,7 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray, step: int = 1 << 16) -> Iter
     yield stream.close()
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, text_digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, text_digest: bool = False, tables: EncoderTables = EncoderTables()) -> DataFrame:
     """One row per document: id, n_tokens, ids (array<int>) and the text decoded from them again.
 
     With digests: ids_sha256 and decoded_sha256 in place of the two, so that no
@@ -413,7 +428,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
     names = [name, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if hashed else "decoded"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, tables)
         for batch in batches:
             for a, b, data, offsets in string_blocks(batch.column(1)):  # results of a few texts at a time
                 ids, counts = e.memo.encode(data, offsets)
