@@ -4,7 +4,11 @@ import math
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from loomwright.functions import text
+from loomwright.operators import containment
 from loomwright.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +29,7 @@ def value(v):
     return v.isoformat() if isinstance(v, datetime.date) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, oracle, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -36,6 +40,19 @@ def test_query_equals_sql(spark, oracle, name):
     assert sorted(names) == cols and got == want
 
 
+def test_queries_without_sql(spark):
+    """Held against all pairs here; against all ways to cut, and covers, in the tests of their operators."""
+    assert set(registry.QUERIES) - set(registry.SQL) == {"segment_words", "contained_passages", "covered_passages"}
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", text.words(F.col("text")).alias("w")).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", containment.sentences(F.col("text")).alias("s")).collect()
+    spans = {(i.item_id, d.doc_id): f for d in docs for i in items if (f := containment.find_span(i.w, d.s, containment.Containment()))}
+    assert {(r.item_id, r.doc_id): (r.first, r.end, r.share, r.whole_sentences) for r in registry.QUERIES["contained_passages"](spark, SF).collect()} == spans
+    covers = {r.item_id: r for r in registry.QUERIES["covered_passages"](spark, SF).collect()}
+    assert all(1 <= r.n_fragments <= 3 and len(r.doc_ids) == r.n_fragments for r in covers.values())
+    cut = registry.QUERIES["segment_words"](spark, SF).where("n_true > 0").groupBy("held_out").sum("n_true", "n_right").collect()
+    assert len(cut) == 2 and all(r[2] > 0.5 * r[1] for r in cut)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
