@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, oracle, name):
 
 def test_queries_without_sql(spark):
     """Held against all pairs here; against all ways to cut, and covers, in the tests of their operators."""
-    assert set(registry.QUERIES) - set(registry.SQL) == {"segment_words", "contained_passages", "covered_passages"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"segment_words", "contained_passages", "covered_passages", "locate_corrections", "replay_moved_corrections"}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", text.words(F.col("text")).alias("w")).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", containment.sentences(F.col("text")).alias("s")).collect()
     spans = {(i.item_id, d.doc_id): f for d in docs for i in items if (f := containment.find_span(i.w, d.s, containment.Containment()))}
