@@ -51,3 +51,36 @@ def signature(df: DataFrame, columns: list[str]) -> DataFrame:
     digest = F.md5(F.concat_ws(",", *[value(F.col(c).cast("string")) for c in columns]).cast("binary"))
     part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.concat(part(1), F.lit("."), part(16)).alias("sign"))
+
+
+def json_depth(document: Column) -> Column:
+    """How deep arrays and objects are nested in a JSON text; 0 for null and plain values. Brackets inside strings don't count."""
+    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{}]+", ""), r"[\[{]", "<"), r"[\]}]", ">"), "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "<", 1).otherwise(0)).alias("most"))
+    return F.coalesce(F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"]), F.lit(0))
+
+
+def json_leaves(df: DataFrame, keys: list[str], document: str, path: str = "path", value: str = "value") -> DataFrame:
+    """keys, path, value: every string anywhere in a JSON column, values and not names, with its path ("$.a[0]."b c"").
+
+    Names that are not plain words stand in double quotes. Each level of the
+    deepest document is one explode of a VARIANT on the map side; leaves that
+    lie higher pass through, so nothing is shuffled and there is no limit of
+    depth but Spark's own. Null and malformed documents and ones without
+    strings give no rows; a document that is itself a string has the path "$".
+    Of a name that an object has twice, the document counts as malformed.
+    """
+    deepest = df.agg(F.max(json_depth(F.col(document)))).first()[0] or 0
+    x = df.select(*keys, F.lit("$").alias("__path"), F.try_parse_json(F.col(document)).alias("__value"))
+    for _ in range(deepest):
+        kind = F.schema_of_variant("__value")
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        # keeps rows that explode to nothing, with null pos
+        parts = df.sparkSession.tvf.variant_explode_outer(F.col("__value").outer()).toDF("__pos", "__name", "__part")
+        x = x.withColumn("__inner", inner).lateralJoin(parts)
+        plain = F.when(F.col("__name").rlike(r"^[A-Za-z0-9_]+$"), F.col("__name")).otherwise(F.concat(F.lit('"'), F.col("__name"), F.lit('"')))
+        step = F.when(F.col("__name").isNotNull(), F.concat(F.lit("."), plain)).otherwise(F.concat(F.lit("["), F.col("__pos").cast("string"), F.lit("]")))
+        x = x.where(~F.col("__inner") | F.col("__pos").isNotNull()).select(*keys, F.when(F.col("__inner"), F.concat("__path", step)).otherwise(F.col("__path")).alias("__path"), F.when(F.col("__inner"), F.col("__part")).otherwise(F.col("__value")).alias("__value"))
+    strings = x.where(F.schema_of_variant("__value") == "STRING")
+    return strings.select(*keys, F.col("__path").alias(path), F.col("__value").cast("string").alias(value))
