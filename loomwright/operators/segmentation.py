@@ -6,16 +6,18 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
-#: Words that may be broadcast (about 40 MB in a task); more are looked up by a join.
+#: The most frequent words, which are broadcast (about 40 MB in a task); rarer ones are looked up by a join.
 SMALL_WORDS = 300_000
+#: Sizes of the filter of all words: 32 bits a word between these; 64 MB at most, beyond which more pieces than words are joined.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def best_cut(line: str, hits: Hits, log_total: float, costs: Costs) -> list[tupl
 
 
 def hits_of(cost: dict[str, float]) -> Hits:
-    """hits() of a vocabulary in memory; no piece longer than the longest word with the same first letters is looked at."""
+    """hits() of a small vocabulary, looked up piece by piece; no piece longer than the longest word with the same first letters is looked at."""
     reach: dict[str, int] = {}
     for word in cost:
         reach[word[:3]] = max(reach.get(word[:3], 0), len(word))
@@ -125,33 +127,139 @@ def hits_of(cost: dict[str, float]) -> Hits:
     return hits
 
 
+def _pieces(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of all pieces of n code points, by where they begin), for n up to `longest`."""
+    codes = (codes.astype(np.uint64) + np.uint64(0x9E3779B9)) * np.uint64(0xD6E8FEB86659FD93)
+    rolled = np.zeros(len(codes), np.uint64)
+    for n in range(1, min(longest, len(codes)) + 1):
+        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x5851F42D4C957F2D) + codes[n - 1 :]
+        mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield n, mixed ^ (mixed >> np.uint64(32))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _two_bits(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of n_bits (a power of two)."""
+    mask = np.uint64(n_bits - 1)
+    return hashes & mask, ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
+
+
+def _filter_of(words: DataFrame, n_words: int, longest: int) -> np.ndarray:
+    """A filter of at most MOST_BITS that lets all words through and little else, put together in the tasks and sent as its filled buckets."""
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n_words).bit_length()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_size: dict[int, list[str]] = {}
+            for word in batch.column(0).to_pylist():
+                by_size.setdefault(len(word), []).append(word)
+            for n, group in by_size.items():
+                # hashes of the whole words among those of all pieces of their row
+                whole = next(h for k, h in _pieces(_code_points("".join(group)), n) if k == n)[::n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_two_bits(whole, n_bits)).astype(np.int64))], names=["bit"])
+
+    bits = words.select("word").where((F.length("word") > 0) & (F.length("word") <= longest)).mapInArrow(run, "bit long").select((F.col("bit") + 1).alias("bit"))
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part")).toLocalIterator()
+    found = np.zeros(n_bits // 8, np.uint8)
+    for bucket, part in rows:
+        found[(bucket - 1) * len(part) : bucket * len(part)] = np.frombuffer(part, np.uint8)
+    return found
+
+
+def _spots(low: str, known: np.ndarray, longest: int) -> tuple[list[int], list[int]]:
+    """Where pieces that the filter lets through begin, in order, and their ends, shorter first."""
+    begins, sizes = [], []
+    for n, hashes in _pieces(_code_points(low), longest):
+        one, two = _two_bits(hashes, 8 * len(known))
+        at = np.flatnonzero(known[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
+        two = two[at]
+        at = at[(known[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        begins.append(at)
+        sizes.append(np.full(len(at), n))
+    if not begins:
+        return [], []
+    begin, size = np.concatenate(begins), np.concatenate(sizes)
+    order = np.argsort(begin, kind="stable")
+    return begin[order].tolist(), (begin + size)[order].tolist()
+
+
+def _lower_lines(text: str) -> str:
+    return "\n".join(_lower(line) for line in text.split("\n"))
+
+
 def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Costs(), small: int = SMALL_WORDS) -> DataFrame:
     """rows with `parts`: the words, numbers and signs of a text without spaces, in order; line ends are parts of their own. Null: null.
 
-    vocabulary is word_costs() as a staged table. If it is small it goes to the
-    tasks; else the different pieces of the different lines that may be words
-    are joined with it, and each line gets the hits it has.
+    vocabulary is word_costs() as a staged table. Its `small` most frequent
+    words go to the tasks, with a filter of bounded size that tells which
+    pieces of a text may be words at all. Pieces that may be one of the rarer
+    words are joined with those, and each text gets its own of them; so a task
+    holds the rare words of its texts and never the vocabulary.
     """
-    if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # a small input in few files
-    first = vocabulary.select("total").first()
-    log_total = math.log(first.total) if first else 0.0
-    if vocabulary.limit(small + 1).count() <= small:
-        return _by_broadcast(rows, text, vocabulary, log_total, costs)
-    return _by_join(rows, text, vocabulary, log_total, costs)
+    spark = rows.sparkSession
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small input in few files
+    first = vocabulary.agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    log_total = math.log(first.total) if first.total else 0.0
+    frequent = vocabulary.select("cost", "word").orderBy("cost", "word").limit(small).collect()
+    shared = spark.sparkContext.broadcast(({r.word: r.cost for r in frequent}, _filter_of(vocabulary, first.n, costs.longest)))
+    if first.n <= small:
+        return _cut(rows, text, None, shared, log_total, costs)
+    last = frequent[-1] if frequent else None
+    rare = vocabulary.select("word", "cost") if last is None else vocabulary.select("word", "cost").where((F.col("cost") > last.cost) | ((F.col("cost") == last.cost) & (F.col("word") > last.word)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, known = shared.value
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low = _lower_lines(t)
+                may_be = {low[i:j] for i, j in zip(*_spots(low, known, costs.longest))}
+                found = [w for w in may_be if w not in often]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], names=["__id", "word"])
 
+    # two texts of one hash get each other's words too, which changes nothing: all are words, and those that they lack go unused
+    asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, word string").distinct()
+    own = asked.join(rare, "word").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("word", "cost"))).alias("__own"))
+    joined = rows.withColumn("__id", F.xxhash64(text)).join(own, "__id", "left").select(*rows.columns, "__own")
+    return _cut(joined, text, "__own", shared, log_total, costs)
 
-def _by_broadcast(rows: DataFrame, text: str, vocabulary: DataFrame, log_total: float, costs: Costs) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast({r.word: r.cost for r in vocabulary.select("word", "cost").collect()})
-    at = rows.columns.index(text)
+
+def _cut(rows: DataFrame, text: str, own: str | None, shared: Broadcast, log_total: float, costs: Costs) -> DataFrame:
+    """rows without `own` (a text's rare words with their costs) and with parts."""
+    at, kept = rows.columns.index(text), [c for c in rows.columns if c != own]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = hits_of(shared.value)
+        often, known = shared.value
         for batch in batches:
-            parts = [None if t is None else _parts(t, lambda line: best_cut(line, hits, log_total, costs)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string()))], names=[*batch.schema.names, "parts"])
+            rare = batch.column(len(kept)).to_pylist() if own else [None] * batch.num_rows
+            parts = [None if t is None else _best_parts(t, often, dict(r or ()), known, log_total, costs) for t, r in zip(batch.column(at).to_pylist(), rare, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(parts, pa.list_(pa.string()))], names=[*kept, "parts"])
+
+    return rows.mapInArrow(run, _with(rows.select(*kept), parts=ArrayType(StringType())))
+
 
-    return rows.mapInArrow(run, _with(rows, parts=ArrayType(StringType())))
+def _best_parts(text: str, often: dict[str, float], rare: dict[str, float], known: np.ndarray, log_total: float, costs: Costs) -> list[str]:
+    """The parts of a text, with its words looked up once for all lines."""
+    low = _lower_lines(text)
+    hits: dict[int, list[tuple[int, float]]] = {}
+    for i, j in zip(*_spots(low, known, costs.longest)):
+        piece = low[i:j]
+        cost = often.get(piece)
+        if cost is None:
+            cost = rare.get(piece)
+        if cost is not None:
+            hits.setdefault(i, []).append((j - i, cost))
+    start = 0
+
+    def cut(line: str) -> list[tuple[int, int]]:
+        nonlocal start
+        begin, start = start, start + len(line) + 1
+        return best_cut(line, lambda _, i, end: [(i + n, cost) for n, cost in hits.get(begin + i, ()) if i + n <= end], log_total, costs)
+
+    return _parts(text, cut)
 
 
 def _parts(text: str, cut: Callable[[str], list[tuple[int, int]]]) -> list[str]:
@@ -161,55 +269,6 @@ def _parts(text: str, cut: Callable[[str], list[tuple[int, int]]]) -> list[str]:
     return out
 
 
-def _by_join(rows: DataFrame, text: str, vocabulary: DataFrame, log_total: float, costs: Costs) -> DataFrame:
-    """The same for a vocabulary of any size: lines and pieces are joined by their words, no task holds the vocabulary."""
-    lines = rows.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\n")).alias("line")).distinct()
-    # runs of letters, once each, and where their pieces stand
-    runs = lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([\p{L}]+)"), 1)).alias("run")).distinct()
-    size = F.length("run")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(i + 1, F.least(size, i + costs.longest)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    pieces = runs.select("run", F.explode(spans).alias("s")).select("run", "s.i", "s.j", F.lower(F.expr("substring(run, s.i + 1, s.j - s.i)")).alias("word"))
-    hits = pieces.join(vocabulary.select("word", "cost"), "word").groupBy("run").agg(F.collect_list(F.struct("i", "j", "cost")).alias("hits"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for word, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_place: dict[int, list[tuple[int, float]]] = {}
-                for h in own or ():
-                    by_place.setdefault(h["i"], []).append((h["j"], h["cost"]))
-                found.append([j for _, j in best_cut(word, lambda _, i, end, c=by_place: c.get(i, ()), log_total, costs)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["run", "ends"])
-
-    cut = runs.join(hits, "run", "left").select("run", "hits").mapInArrow(run, "run string, ends array<int>")
-    named = rows.withColumn("__id", F.xxhash64(text)).withColumn("__text", F.col(text))
-    pairs = named.where(F.col(text).isNotNull()).select("__id", "__text").distinct().select("__id", "__text", F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(r"([\p{L}]+)"), 1))).alias("run")).join(cut, "run")
-    known = pairs.groupBy("__id", "__text").agg(F.map_from_entries(F.collect_list(F.struct("run", "ends"))).alias("__cuts"))
-    kept = rows.columns
-
-    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            parts = [None if t is None else _parts(t, lambda line, c=dict(c or ()): list(_cut_runs(line, c))) for t, c in zip(texts, cuts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(parts, pa.list_(pa.string()))], names=[*kept, "parts"])
-
-    joined = named.join(known.withColumnRenamed("__text", "__own"), (named["__id"] == known["__id"]) & (F.col("__text") == F.col("__own")), "left").select(*kept, F.col("__text"), "__cuts")
-    return joined.mapInArrow(put, _with(rows, parts=ArrayType(StringType())))
-
-
-def _cut_runs(line: str, cuts: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
-    """Parts of a line whose runs of letters are cut already."""
-    at = 0
-    for kind, chars in groupby(line, lambda c: 0 if c.isalpha() else 1 if c.isdigit() else 2):
-        run = "".join(chars)
-        ends = cuts[run] if kind == 0 else [len(run)] if kind == 1 else range(1, len(run) + 1)
-        last = 0
-        for end in ends:
-            yield at + last, at + end
-            last = end
-        at += len(run)
-
-
 def cut_agreement(rows: DataFrame, found: str, true: str) -> DataFrame:
     """rows with n_found, n_true and n_right: cuts of two arrays of parts of one text, and how many stand at the same place. A null array has none."""
     at, to = rows.columns.index(found), rows.columns.index(true)

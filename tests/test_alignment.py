@@ -100,3 +100,16 @@ def test_segments_by_broadcast_and_by_join(spark):
 def test_spaced_lines(spark):
     x = spark.createDataFrame([("t h e c a t s a t o n",), ("a b c",), ("the cat a b c d e f g h i j",), (None,), ("a b c d e f g h the cat on mats it",)], "t string")
     assert [r[0] for r in x.select(segmentation.is_spaced(F.col("t"))).collect()] == [True, False, True, None, False]
+
+
+def test_rare_words_are_joined_by_the_pieces_that_may_be_words_alone(spark):
+    lines = spark.createDataFrame([("the cat sat on the mat",), ("the other cat",)], "line string")
+    costs = segmentation.word_costs(lines, "line")
+    known = segmentation._filter_of(costs, 8, 22)
+    low = "zqthecatxy" * 50
+    pieces = {low[i:j] for i, j in zip(*segmentation._spots(low, known, 22))}
+    assert {"the", "cat"} <= pieces and len(pieces) < 10  # of some hundred different ones, which all were joined before
+    # U+2C2F is a letter to Python and none to Java 17
+    rows = spark.createDataFrame([("Ⱟthecat",), ("ⰯⰯ\ncatsat",)], "t string")
+    got = [sorted(map(tuple, segmentation.segment(rows, "t", costs, small=n).select("t", "parts").collect())) for n in (100, 1, 0)]
+    assert got[0] == got[1] == got[2] and got[0][0][1][-2:] == ["the", "cat"]
