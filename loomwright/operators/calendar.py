@@ -81,17 +81,40 @@ def precedence(items: DataFrame, day: str, rank: str, temporal: str, movable: st
     return x.where(kept).withColumn("place", place).drop("__t", "__tens", "__lent", "__order")
 
 
+#: Sets of so many words meet by their subsets, at most 2 ** SMALL_SET a row; larger ones by their words.
+SMALL_SET = 5
+
+
+def _subsets(words: Column) -> Column:
+    """All subsets with a member, of an array in order."""
+    return F.filter(F.aggregate(words, F.array(F.array().cast("array<string>")), lambda s, w: F.concat(s, F.transform(s, lambda p: F.array_append(p, w)))), lambda p: F.size(p) > 0)
+
+
 def near_date_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str, date: str, tokens: str, links: DataFrame, reach: int = 1) -> DataFrame:
     """left_id, right_id, shared, offset: for each left row the right row within `reach` days that shares most words; the nearer, then the earlier date, then the smaller id on a tie.
 
     links (left_id, right_id; few) go before all else. Rows that share no word
     with any near one have no match and are left out. A right row may serve several.
     """
-    near = left.withColumn("offset", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("__at", F.expr(f"date_add({date}, offset)"))
-    words = near.select(left_id, "__at", "offset", F.explode(F.array_distinct(tokens)).alias("__w"))
-    theirs = right.select(right_id, F.col(date).alias("__at"), F.explode(F.array_distinct(tokens)).alias("__w"))
-    shared = words.join(theirs, ["__at", "__w"]).groupBy(left_id, right_id, "offset").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy(left_id).agg(F.min(F.struct((-F.col("shared")).alias("n"), F.abs("offset").alias("far"), "offset", right_id)).alias("x"))
+    # rows of one date and one set of words have one match, the smallest id of such right rows
+    mine = left.select(left_id, F.col(date).alias("__day"), F.array_sort(F.array_distinct(tokens)).alias("__set"))
+    asked = mine.where(F.size("__set") > 0).groupBy("__day", "__set").agg(F.count(F.lit(1)))
+    theirs = right.select(right_id, F.col(date).alias("__at"), F.array_sort(F.array_distinct(tokens)).alias("__set")).where(F.size("__set") > 0).groupBy("__at", "__set").agg(F.min(right_id).alias(right_id))
+    near = asked.withColumn("offset", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("__at", F.expr("date_add(__day, offset)"))
+    order = lambda n: F.struct((-n).alias("n"), F.abs("offset").alias("far"), "offset", right_id)
+    small = F.size("__set") <= SMALL_SET
+    # two sets share n words if and only if a subset of n words is of both, so each meets its best where the largest subset does
+    part = lambda x: x.where(small).withColumn("__part", F.explode(_subsets(F.col("__set"))))
+    parts = part(theirs).groupBy("__at", "__part").agg(F.min(right_id).alias(right_id))
+    by_part = part(near).join(parts, ["__at", "__part"]).groupBy("__day", "__set").agg(F.min(order(F.size("__part").cast("long"))).alias("x"))
+    # sets of many words meet by their words, those of few only where the other has many
+    words = lambda x, kept: x.where(kept).withColumn("__w", F.explode("__set"))
+    others = lambda kept: words(theirs, kept).select(F.col("__set").alias("__other"), right_id, "__at", "__w")
+    met = words(near, ~small).join(others(F.lit(True)), ["__at", "__w"]).unionByName(words(near, small).join(others(~small), ["__at", "__w"]))
+    counted = met.groupBy("__day", "__set", "offset", "__other", right_id).agg(F.count(F.lit(1)).alias("shared"))
+    by_word = counted.groupBy("__day", "__set").agg(F.min(order(F.col("shared"))).alias("x"))
+    best = by_part.unionByName(by_word).groupBy("__day", "__set").agg(F.min("x").alias("x"))
+    best = mine.join(best, ["__day", "__set"]).groupBy(left_id).agg(F.min("x").alias("x"))
     best = best.select(left_id, F.col(f"x.{right_id}").alias("__found"), (-F.col("x.n")).alias("shared"), "x.offset")
     fixed = links.select(left_id, F.col(right_id).alias("__link"))
     x = best.join(fixed, left_id, "full_outer")

@@ -144,3 +144,23 @@ def test_roots_and_references(spark):
     assert [r[0] for r in x.select(text.root_keys(F.col("t"))).collect()] == [["eter", "filo", "uoca"], ["ieru", "alel"]]
     y = spark.createDataFrame([("<p>Caf&eacute; &#233;&#xE9; &amp;lt; &bogus; &#0;</p>",), (None,)], "t string")
     assert [r[0] for r in y.select(text.clean_markup(F.col("t"))).collect()] == ["Café éé &lt; &bogus; &#0;", None]
+
+
+def test_near_names_of_many_rows_on_one_day(spark):
+    """Against all pairs, for sets of few and of many words; rows of one set and day are one, so pairs don't grow with their square."""
+    day = F.to_date(F.lit("2024-02-28"))
+    word = lambda seed, n: F.array(*[F.concat(F.lit("w"), F.pmod(F.hash("id", F.lit(seed + i)), F.lit(6)).cast("string")) for i in range(n)])
+    rows = lambda n, seed, name: spark.range(n).select(F.col("id").alias(name), F.date_add(day, F.pmod(F.hash("id", F.lit(seed)), F.lit(4))).alias("d"), F.when(F.col("id") % 3 == 0, F.concat(word(seed, 3), F.array(*[F.concat(F.lit(f"v{i}-"), F.col("id").cast("string")) for i in range(6)]))).when(F.col("id") % 7 > 0, word(seed + 9, 3)).alias("w"))
+    left, right = rows(60, 1, "a"), rows(70, 50, "b")
+    links = spark.createDataFrame([(0, 5), (999, 1)], "a long, b long")
+    got = {tuple(r) for r in calendar.near_date_names(left, right, "a", "b", "d", "w", links).collect()}
+    want = {(0, 5, None, None), (999, 1, None, None)}
+    others = right.collect()
+    for r in left.where("a > 0").collect():
+        met = [(-len(set(r.w or ()) & set(o.w or ())), abs((o.d - r.d).days), (o.d - r.d).days, o.b) for o in others if abs((o.d - r.d).days) <= 1]
+        best = min((m for m in met if m[0]), default=None)
+        want |= {(r.a, best[3], -best[0], best[2])} if best else set()
+    assert got == want
+    crowd = spark.range(300_000).select(F.col("id").alias("a"), day.alias("d"), F.array(F.lit("x"), F.lit("y")).alias("w"))
+    n = calendar.near_date_names(crowd, crowd.withColumnRenamed("a", "b"), "a", "b", "d", "w", links.limit(0))
+    assert n.agg(F.count(F.lit(1)), F.max("b"), F.min("shared")).first()[:] == (300_000, 0, 2)
