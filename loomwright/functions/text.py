@@ -155,8 +155,18 @@ def fold_places(x: Column) -> Column:
     return F.when(F.length(x) > 0, F.flatten(F.transform(places, lambda i: F.transform(width(i), lambda _: i)))).otherwise(F.array().cast("array<int>"))
 
 
+def _fold_start(x: Column, at: Column) -> Column:
+    """fold_places(x)[at], with no more of the text looked at than its first `at` characters, and those one by one only where some fold to more than one."""
+    head = F.left(x, at)  # no character folds to nothing
+    chars = F.regexp_extract_all(head, F.lit("(?s)(.)"), 1)
+    begin = F.struct(F.lit(0).alias("width"), F.lit(0).alias("n"))
+    step = lambda s, c: F.when(s["width"] >= at, s).otherwise(F.struct((s["width"] + F.length(search_fold(c))).alias("width"), (s["n"] + 1).alias("n")))
+    return F.when(F.length(search_fold(head)) == at, at).otherwise(F.aggregate(chars, begin, step, lambda s: s["n"]))
+
+
 def snippet(x: Column, found: Column, before: int = 45, after: int = 90) -> Column:
     """The text around the first place where the folded text holds `found` (folded), cut from the unfolded text; null without one."""
-    at = F.instr(search_fold(x), found)
-    start = F.try_element_at(fold_places(x), at)
-    return F.when(at > 0, F.substr(x, F.greatest(start - before, F.lit(1)), F.least(start - 1, F.lit(before)) + after))
+    cut = lambda start: F.when(start > 0, F.substr(x, F.greatest(start - before, F.lit(1)), F.least(start - 1, F.lit(before)) + after))
+    # the places are bound once as the only members of arrays, else they are worked out again for each use
+    start = lambda at: F.when(at > 0, _fold_start(x, at))
+    return F.element_at(F.transform(F.transform(F.array(F.instr(search_fold(x), found)), start), cut), 1)
