@@ -57,10 +57,14 @@ def read(raw: Column, books: dict[str, tuple[str, bool]]) -> Column:
     parts = F.filter(F.transform(F.split(body, ";"), lambda p: F.trim(F.trim(p), F.lit(" ."))), lambda p: p != "")
     start = F.struct(F.lit(None).alias("book"), F.lit(False).alias("one"), F.lit(None).alias("chapter"), F.array().alias("found"), F.array().alias("rest"), F.lit(False).alias("unknown")).cast(STATE)
     state = F.aggregate(parts, start, lambda s, p: _part(s, p, names))
-    n, left = F.size(state["found"]), F.size(state["rest"])
-    outcome = F.when(raw.isNull() | ~body.rlike(r"\d"), "benign").when(state["unknown"], "unknown_book").when(left == 0, "ok").when(n > 0, "partly").otherwise("failed")
-    some = lambda x, kind: F.when(outcome == "benign", F.array().cast(kind)).otherwise(x)
-    return F.struct(outcome.alias("outcome"), some(state["found"], f"array<{SEGMENT}>").alias("found"), some(state["rest"], "array<string>").alias("rest"))
+
+    def result(s: Column, cited: Column) -> Column:
+        n, left = F.size(s["found"]), F.size(s["rest"])
+        outcome = F.when(~cited, "benign").when(s["unknown"], "unknown_book").when(left == 0, "ok").when(n > 0, "partly").otherwise("failed")
+        some = lambda x, kind: F.when(cited, x).otherwise(F.array().cast(kind))
+        return F.struct(outcome.alias("outcome"), some(s["found"], f"array<{SEGMENT}>").alias("found"), some(s["rest"], "array<string>").alias("rest"))
+
+    return _bind(F.struct(state.alias("state"), (raw.isNotNull() & body.rlike(r"\d")).alias("cited")), lambda x: result(x["state"], x["cited"]))
 
 
 def _bind(value: Column, use) -> Column:
@@ -71,14 +75,20 @@ def _bind(value: Column, use) -> Column:
 def _part(s: Column, p: Column, names: Column) -> Column:
     """The state after a part."""
     apart = F.regexp_replace(p, r"^([1-4])([a-zñ]{1,12}\s+\d)", "$1 $2")
-    name = F.regexp_replace(F.regexp_extract(apart, NAME, 1), r"[\s.]+", " ")
-    tail = F.when(name != "", F.regexp_extract(apart, NAME, 2)).otherwise(apart)
-    words = F.split(F.trim(name), " ")
-    endings = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
-    known = F.try_element_at(F.filter(F.transform(endings, lambda e: F.try_element_at(names, e)), lambda x: x.isNotNull()), F.lit(1))
-    plain = F.regexp_replace(F.regexp_replace(tail, r"^113\s*[ab]\b", "113"), r"(\d+[a-z]*)\s*\|\s*(\d+)\s*,\s*(\d+[a-z]*)", "$1|$2~$3")
-    look = F.struct(name.alias("name"), known.alias("known"), plain.alias("tail"), F.when(tail.rlike(r"^113\s*b\b"), 8).otherwise(0).alias("shift"))
-    return _bind(look, lambda x: _numbers(s, p, x))
+
+    def named(apart: Column, name: Column) -> Column:
+        tail = F.when(name != "", F.regexp_extract(apart, NAME, 2)).otherwise(apart)
+        endings = lambda words: F.transform(words, lambda w, i: F.try_element_at(names, F.array_join(F.slice(words, i + 1, F.size(words)), " ")))
+        known = F.try_element_at(F.filter(_bind(F.split(F.trim(name), " "), endings), lambda x: x.isNotNull()), F.lit(1))
+        return _bind(F.struct(known.alias("known"), tail.alias("tail")), lambda x: look(name, x["known"], x["tail"]))
+
+    def look(name: Column, known: Column, tail: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(tail, r"^113\s*[ab]\b", "113"), r"(\d+[a-z]*)\s*\|\s*(\d+)\s*,\s*(\d+[a-z]*)", "$1|$2~$3")
+        return F.struct(name.alias("name"), known.alias("known"), plain.alias("tail"), F.when(tail.rlike(r"^113\s*b\b"), 8).otherwise(0).alias("shift"))
+
+    # each step is bound, as inside a lambda nothing is worked out once for several uses
+    found = _bind(apart, lambda a: _bind(F.regexp_replace(F.regexp_extract(a, NAME, 1), r"[\s.]+", " "), lambda name: named(a, name)))
+    return _bind(found, lambda x: _numbers(s, p, x))
 
 
 def _numbers(s: Column, p: Column, x: Column) -> Column:

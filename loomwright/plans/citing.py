@@ -26,7 +26,10 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each citation's segments in order, a row without a segment where none was read, and whether all, some or none of it was."""
-    x = _raw(spark, sf_dir).withColumn("x", books.read(F.col("raw"), BOOKS))
+    raw, n = _raw(spark, sf_dir), spark.sparkContext.defaultParallelism
+    if raw.rdd.getNumPartitions() < n:
+        raw = raw.repartition(n)  # a small file is one task's, whatever there is to read in it
+    x = raw.withColumn("x", books.read(F.col("raw"), BOOKS))
     return x.select("p_partkey", "x.outcome", F.posexplode_outer("x.found").alias("place", "s")).select("p_partkey", "outcome", "place", "s.*")
 
 

@@ -91,3 +91,11 @@ def test_interval_sets(spark):
     for r in df.select("a", "b", books.union(F.col("a")).alias("u"), books.minus(F.col("a"), F.col("b")).alias("m"), books.total(F.col("a")).alias("n")).collect():
         assert [tuple(x) for x in r.u] == parts(numbers(r.a)) and r.n == len(numbers(r.a))
         assert [tuple(x) for x in r.m] == parts(numbers(r.a) - numbers(r.b))
+
+
+def test_citations_of_a_small_file_are_read_by_all_cores(spark):
+    """One file was one task, whatever there was to read in it."""
+    from loomwright.plans import registry
+
+    x = registry.QUERIES["parse_citations"](spark, "/root/testdata/sf0.001")
+    assert x.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
