@@ -26,7 +26,7 @@ def locate_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_moved_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of corrections located by more than the word itself, replayed on the documents after every second entry's document got another number: what each event did."""
-    found = locate_corrections(spark, sf_dir).where("status = 'found' and tier < 8")
+    found = locating.locate(_table(spark, sf_dir, "documents"), "doc_id", "text", _requests(spark, sf_dir), tiers=8).where("status = 'found'")
     log = found.groupBy("request", "find", "logged", "doc_id").agg(F.count(F.lit(1))).groupBy("request", "doc_id").agg(F.min(F.struct("find", "logged")).alias("e"))
     gone = F.when(F.col("request") % 2 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id"))
     log = log.select(F.col("request").alias("event"), gone.alias("doc_id"), F.col("e.find").alias("find"), F.col("e.logged").alias("put"))
