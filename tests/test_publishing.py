@@ -49,3 +49,18 @@ def test_empty_table_and_clashing_columns(spark):
 def test_inverse(spark):
     log = spark.createDataFrame([(1, 7, "a", "b"), (2, 7, "b", "")], "event int, k int, find string, put string")
     assert [tuple(r) for r in publishing.inverse(log).collect()] == [(-1, 7, "b", "a")]
+
+
+def test_replay_stages_whole_texts_once(spark, monkeypatch):
+    """They were written a second time, and joined again where nothing had moved."""
+    from loomwright.operators import locating
+
+    staged, plain = [], locating._staged
+    monkeypatch.setattr(locating, "_staged", lambda df, what: staged.append(what) or plain(df, what))
+    texts = spark.createDataFrame([(1, "a cat"), (2, "a dog")], "k long, t string")
+    log = spark.createDataFrame([(1, 1, "cat", "hat"), (2, 3, "dog", "fog")], "event long, k long, find string, put string")
+    out, _ = locating.replay_moved(texts, log, "k", "t")
+    assert sorted(map(tuple, out.collect())) == [(1, "a hat"), (2, "a fog")] and staged.count("replayed") == 1
+    out, _ = locating.replay_moved(texts, log.where("event = 1"), "k", "t")
+    assert sorted(map(tuple, out.collect())) == [(1, "a hat"), (2, "a dog")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
