@@ -30,15 +30,20 @@ def key_contains(rows: DataFrame, key: str, part: str, most: int = 60) -> DataFr
 def candidates_with_fallback(sources: list[DataFrame], keys: list[str], item: str, fallback: DataFrame, group: str) -> DataFrame:
     """keys, item, place: the items of all sources in their order, each once; keys without any get those of their group from fallback (group, item, place).
 
-    sources: keys, group, item, place; the first source comes first.
+    sources: keys, group, item, place (anything with an order); the first
+    source comes first. A single source that is dealt by its keys already is
+    not shuffled again, so whoever deals it says how much a task holds.
     """
     out = None
     for n, df in enumerate(sources):
         part = df.select(*keys, group, F.lit(n).alias("__source"), item, "place")
         out = part if out is None else out.unionByName(part)
-    first = out.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.min(F.struct("__source", "place")).alias("__at"))
-    own = first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", item))).select(*keys, item, "place")
-    empty = out.select(*keys, group).distinct().join(own.select(*keys).distinct(), keys, "left_anti")
+    # a row for each item of a key, and one for each group of a key that a source has no item for
+    first = out.groupBy(*keys, item, F.when(F.col(item).isNull(), F.col(group)).alias("__group")).agg(F.min(F.struct("__source", "place")).alias("__at"))
+    order = Window.partitionBy(*keys).orderBy(F.col(item).isNull(), "__at", item)
+    listed = first.select(*keys, item, "__group", F.row_number().over(order).alias("place"), F.first(item).over(order).alias("__any"))
+    own = listed.where(F.col(item).isNotNull()).select(*keys, item, "place")
+    empty = listed.where(F.col("__any").isNull()).select(*keys, F.col("__group").alias(group))
     return own.unionByName(empty.join(fallback.select(group, item, "place"), group).select(*keys, item, "place"))
 
 

@@ -62,13 +62,21 @@ select coalesce(o_orderkey, p.k) as k, case when p.k is not null then p.v else o
 """
 
 
+#: Lines that a task of candidate_lists takes at most, so that its memory does not grow with the tables.
+LINES_A_TASK = 250_000
+
+
 def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer the suppliers of its urgent orders, then of its others, each once; customers without any get the first suppliers of their nation."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("item"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_A_TASK + 1)
     who = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    bought = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("item"), F.col("l_orderkey").alias("place"), "o_orderpriority")
-    lists = [who.join(bought.where(c).drop("o_orderpriority"), "c_custkey", "left") for c in ("o_orderpriority = '1-URGENT'", "o_orderpriority is null or o_orderpriority <> '1-URGENT'")]
+    urgent_first = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), urgent_first.alias("rank"))
+    bought = orders.repartition(tasks, "o_orderkey").join(lines.repartition(tasks, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = bought.select("c_custkey", "item", F.struct("rank", "l_orderkey").alias("place")).repartition(tasks, "c_custkey")
     rest = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("item")).withColumn("place", F.lit(1))
-    done = search.candidates_with_fallback(lists, ["c_custkey"], "item", rest, "nation")
+    done = search.candidates_with_fallback([who.repartition(tasks, "c_custkey").join(bought, "c_custkey", "left")], ["c_custkey"], "item", rest, "nation")
     return done.select("c_custkey", "item", F.col("place").cast("long").alias("place"))
 
 
