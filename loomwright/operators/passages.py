@@ -27,6 +27,20 @@ def renumber_chapters(rows: DataFrame, rules: DataFrame, chapter: str, verse: st
     return x.withColumn("ruled", ruled).drop("__rules", "__rule")
 
 
+def _pieces(spans: DataFrame, corpus: DataFrame, book: str, tasks: int | None = None) -> DataFrame:
+    """spans once for each of their chapters (__c), with the first and last number asked for there (__low, __high) and whether it is a first or last chapter (__edge)."""
+    bounds = corpus.groupBy(book, F.col("chapter").alias("__c")).agg(F.min("verse").alias("__least"), F.max("verse").alias("__most"))
+    pieces = _dealt(spans.where(F.col("chapter") <= F.col("last_chapter")).withColumn("__c", F.explode(F.sequence("chapter", "last_chapter"))), tasks, book, "__c")
+    begins, ends = F.col("__c") == F.col("chapter"), F.col("__c") == F.col("last_chapter")
+    low = F.when(begins, F.coalesce("first", "__least")).otherwise(F.coalesce(F.least("__least", F.lit(1)), F.lit(1)))
+    high = F.when(ends, F.coalesce("last", "__most")).otherwise(F.col("__most"))
+    return pieces.join(bounds, [book, "__c"], "left").withColumn("__low", low).withColumn("__high", high).withColumn("__edge", begins | ends)
+
+
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
 def asked_numbers(spans: DataFrame, corpus: DataFrame, span_id: str, book: str) -> DataFrame:
     """span_id, book, chapter, verse of every number that a span asks for; verse is null where a first or last chapter isn't in the corpus and its bounds aren't given.
 
@@ -36,13 +50,9 @@ def asked_numbers(spans: DataFrame, corpus: DataFrame, span_id: str, book: str)
     middle that the corpus hasn't are passed over. Spans meet the corpus by
     chapter, whose bounds are one row each.
     """
-    bounds = corpus.groupBy(book, F.col("chapter").alias("__c")).agg(F.min("verse").alias("__low"), F.max("verse").alias("__high"))
-    pieces = spans.where(F.col("chapter") <= F.col("last_chapter")).withColumn("__c", F.explode(F.sequence("chapter", "last_chapter"))).join(bounds, [book, "__c"], "left")
-    begins, ends = F.col("__c") == F.col("chapter"), F.col("__c") == F.col("last_chapter")
-    low = F.when(begins, F.coalesce("first", "__low")).otherwise(F.coalesce(F.least("__low", F.lit(1)), F.lit(1)))
-    high = F.when(ends, F.coalesce("last", "__high")).otherwise(F.col("__high"))
-    numbers = F.when(low <= high, F.sequence(low, high)).when((low.isNull() | high.isNull()) & (begins | ends), F.array(F.lit(None).cast("int")))
-    return pieces.select(span_id, book, F.col("__c").alias("chapter"), F.explode(numbers).alias("verse"))
+    low, high = F.col("__low"), F.col("__high")
+    numbers = F.when(low <= high, F.sequence(low, high)).when((low.isNull() | high.isNull()) & F.col("__edge"), F.array(F.lit(None).cast("int")))
+    return _pieces(spans, corpus, book).select(span_id, book, F.col("__c").alias("chapter"), F.explode(numbers).alias("verse"))
 
 
 def missing_log(asked: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id: str, book: str) -> DataFrame:
@@ -53,7 +63,23 @@ def missing_log(asked: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id
     return lost.select(span_id, book, "chapter", "verse", F.coalesce("declared", F.lit(False)).alias("declared"))
 
 
-def resolve_spans(spans: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id: str, book: str) -> DataFrame:
+#: Numbers of a chapter that one row holds when spans are counted against it.
+SECTION = 256
+
+
+def _sections(corpus: DataFrame, omitted: DataFrame, book: str, tasks: int | None) -> DataFrame:
+    """book, __c, __from, __found (verse and rows), __declared (left out and not there): what is known of SECTION numbers of a chapter."""
+    place = [book, "chapter", "verse"]
+    marks = corpus.select(*place, F.col("letter").isNull().alias("__plain"), F.lit(False).alias("__known"))
+    marks = marks.unionByName(omitted.select(*place, F.lit(False).alias("__plain"), F.lit(True).alias("__known"))).where(F.col("verse").isNotNull())
+    one = _dealt(marks, tasks, book, "chapter").groupBy(*place).agg(F.count_if(~F.col("__known")).alias("__n"), F.count_if("__plain").alias("__own"))
+    at, n = F.col("verse").cast("long"), F.col("__n")
+    rows = F.when(F.col("__own") > 0, F.col("__own")).otherwise(n)
+    found = F.collect_list(F.when(n > 0, F.struct(at.alias("verse"), rows.alias("rows")))).alias("__found")
+    return one.groupBy(book, F.col("chapter").alias("__c"), (at - F.pmod(at, F.lit(SECTION))).alias("__from")).agg(found, F.collect_list(F.when(n == 0, at)).alias("__declared"))
+
+
+def resolve_spans(spans: DataFrame, corpus: DataFrame, omitted: DataFrame, span_id: str, book: str, tasks: int | None = None) -> DataFrame:
     """span_id, verses, rows, missing, omitted, distinct_asked, missing_chapters of spans asked for in a corpus.
 
     spans: span_id, book, chapter, first, last_chapter, last; first null: the
@@ -63,23 +89,35 @@ def resolve_spans(spans: DataFrame, corpus: DataFrame, omitted: DataFrame, span_
     out. missing and omitted count the numbers of asked_numbers() that the
     corpus hasn't, also where a span goes over several chapters.
     distinct_asked is how many numbers were asked for (null: open at an end).
+
+    The numbers asked for are not written out: a span has a row for each
+    SECTION numbers of a chapter, which counts them. tasks: how many the rows
+    are dealt over (None: Spark's own number).
     """
-    exact = corpus.groupBy(book, "chapter", "verse").agg(F.max(F.col("letter").isNull()).alias("__plain"), F.count(F.lit(1)).alias("__n"), F.count_if(F.col("letter").isNull()).alias("__own"))
-    there = exact.select(book, "chapter", "verse", F.when(F.col("__plain"), F.col("__own")).otherwise(F.col("__n")).alias("__rows"))
-    known = omitted.select(book, "chapter", "verse").distinct().withColumn("__why", F.lit(1))
-    asked = asked_numbers(spans, corpus, span_id, book).join(there, [book, "chapter", "verse"], "left").join(known, [book, "chapter", "verse"], "left")
-    gone = F.col("__rows").isNull() & F.col("verse").isNotNull()
-    counts = asked.groupBy(span_id).agg(
-        F.count("__rows").alias("verses"),
-        F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"),
-        F.count_if(gone & F.col("__why").isNull()).alias("missing"),
-        F.count_if(gone & F.col("__why").isNotNull()).alias("omitted"),
-        F.count("verse").alias("__asked"),
-        F.count_if(F.col("verse").isNull()).alias("missing_chapters"),
+    low, high = F.col("__low").cast("long"), F.col("__high").cast("long")
+    start = lambda c: c - F.pmod(c, F.lit(SECTION))
+    # a null section stands for a first or last chapter that isn't there
+    parts = F.when(low <= high, F.sequence(start(low), start(high), F.lit(SECTION).cast("long"))).when((low.isNull() | high.isNull()) & F.col("__edge"), F.array(F.lit(None).cast("long")))
+    asked = _pieces(spans, corpus, book, tasks).select(span_id, book, "__c", low.alias("__low"), high.alias("__high"), F.explode(parts).alias("__from"))
+    x = asked.join(_sections(corpus, omitted, book, tasks), [book, "__c", "__from"], "left")
+    inside = lambda v: (v >= F.col("__low")) & (v <= F.col("__high"))
+    hits = F.filter("__found", lambda e: inside(e["verse"]))
+    zero = F.lit(0).cast("long")
+    x = x.select(
+        span_id,
+        F.coalesce(F.least("__high", F.col("__from") + SECTION - 1) - F.greatest("__low", "__from") + 1, zero).alias("__asked"),
+        F.coalesce(F.size(hits), zero).alias("verses"),
+        F.coalesce(F.aggregate(hits, zero, lambda n, e: n + e["rows"]), zero).alias("rows"),
+        F.coalesce(F.size(F.filter("__declared", inside)), zero).alias("omitted"),
+        F.col("__from").isNull().cast("long").alias("missing_chapters"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    x = x.withColumn("__asked", F.when(F.col("missing_chapters") == 0, F.col("__asked")).otherwise(zero))
+    counts = _dealt(x, tasks, span_id).groupBy(span_id).agg(*[F.sum(c).alias(c) for c in ("__asked", "verses", "rows", "omitted", "missing_chapters")])
     closed = F.col("first").isNotNull() & F.col("last").isNotNull()
-    return spans.join(counts, span_id, "left").select(span_id, zero("verses"), zero("rows"), zero("missing"), zero("omitted"), F.when(closed, F.coalesce("__asked", F.lit(0).cast("long"))).alias("distinct_asked"), zero("missing_chapters"))
+    known = lambda c: F.coalesce(c, zero)
+    done = _dealt(spans, tasks, span_id).join(counts, span_id, "left")
+    missing = known(F.col("__asked") - F.col("verses") - F.col("omitted")).alias("missing")
+    return done.select(span_id, known("verses").alias("verses"), known("rows").alias("rows"), missing, known("omitted").alias("omitted"), F.when(closed, known("__asked")).alias("distinct_asked"), known("missing_chapters").alias("missing_chapters"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], members: str) -> DataFrame:

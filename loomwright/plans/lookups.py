@@ -62,14 +62,18 @@ select coalesce(o_orderkey, p.k) as k, case when p.k is not null then p.v else o
 """
 
 
-#: Lines that a task of candidate_lists takes at most, so that its memory does not grow with the tables.
+#: Lines that a task of candidate_lists or passage_resolution takes about, so that its memory does not grow with the tables.
 LINES_A_TASK = 250_000
 
 
+def _tasks(spark: SparkSession, lines: DataFrame) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_A_TASK + 1)
+
+
 def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer the suppliers of its urgent orders, then of its others, each once; customers without any get the first suppliers of their nation."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("item"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_A_TASK + 1)
+    tasks = _tasks(spark, lines)
     who = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
     urgent_first = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), urgent_first.alias("rank"))
@@ -135,7 +139,7 @@ def passage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(k % 11 > 0, (k % 50 + 1).cast("int"))
     spans = _table(spark, sf_dir, "orders").select("o_orderkey", (k % 100 + 1).alias("book"), chapter.alias("chapter"), first.alias("first"), F.when(k % 4 == 0, F.least(chapter + 1, F.lit(7))).otherwise(chapter).alias("last_chapter"), F.when((k % 11 > 0) & (k % 5 > 0), first + (k % 9).cast("int")).alias("last"))
     omitted = corpus.where("letter = 'A'").select("book", "chapter", (F.col("verse") + 1).alias("verse"))
-    return passages.resolve_spans(spans, corpus, omitted, "o_orderkey", "book")
+    return passages.resolve_spans(spans, corpus, omitted, "o_orderkey", "book", _tasks(spark, corpus))
 
 
 PASSAGE_SQL = """
