@@ -53,15 +53,22 @@ def signature(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.concat(part(1), F.lit("."), part(16)).alias("sign"))
 
 
+def _brackets(document: Column) -> Column:
+    """The brackets of a JSON text outside its strings, < for what opens and > for what closes; null for null."""
+    return F.translate(F.regexp_replace(document, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"\[\]{}]++|"', ""), "[{]}", "<<>>")
+
+
+def _depth(brackets: Column) -> Column:
+    step = lambda s, c: F.struct((s["now"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "<", 1).otherwise(0)).alias("most"))
+    return F.coalesce(F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"]), F.lit(0))
+
+
 def json_depth(document: Column) -> Column:
     """How deep arrays and objects are nested in a JSON text; 0 for null and plain values. Brackets inside strings don't count."""
-    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*+"', "")
-    marks = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{}]+", ""), r"[\[{]", "<"), r"[\]}]", ">"), "")
-    step = lambda s, c: F.struct((s["now"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "<", 1).otherwise(0)).alias("most"))
-    return F.coalesce(F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"]), F.lit(0))
+    return _depth(_brackets(document))
 
 
-def json_leaves(df: DataFrame, keys: list[str], document: str, path: str = "path", value: str = "value") -> DataFrame:
+def json_leaves(df: DataFrame, keys: list[str], document: str, path: str = "path", value: str = "value", deepest: int | None = None) -> DataFrame:
     """keys, path, value: every string anywhere in a JSON column, values and not names, with its path ("$.a[0]."b c"").
 
     Names that are not plain words stand in double quotes. Each level of the
@@ -70,17 +77,26 @@ def json_leaves(df: DataFrame, keys: list[str], document: str, path: str = "path
     depth but Spark's own. Null and malformed documents and ones without
     strings give no rows; a document that is itself a string has the path "$".
     Of a name that an object has twice, the document counts as malformed.
+    deepest: how deep the documents are, where the caller knows it; strings
+    below that are an error. None: all documents are made and looked at once
+    more to find it.
     """
-    deepest = df.agg(F.max(json_depth(F.col(document)))).first()[0] or 0
+    known = deepest is not None
+    if not known:  # most documents have their brackets in common with others
+        deepest = df.select(_brackets(F.col(document)).alias("b")).distinct().agg(F.max(_depth(F.col("b")))).first()[0] or 0
     x = df.select(*keys, F.lit("$").alias("__path"), F.try_parse_json(F.col(document)).alias("__value"))
     for _ in range(deepest):
-        kind = F.schema_of_variant("__value")
-        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        # keeps rows that explode to nothing, with null pos
+        # what holds nothing, leaves and empty objects and arrays, comes back as one row with null pos
         parts = df.sparkSession.tvf.variant_explode_outer(F.col("__value").outer()).toDF("__pos", "__name", "__part")
-        x = x.withColumn("__inner", inner).lateralJoin(parts)
         plain = F.when(F.col("__name").rlike(r"^[A-Za-z0-9_]+$"), F.col("__name")).otherwise(F.concat(F.lit('"'), F.col("__name"), F.lit('"')))
         step = F.when(F.col("__name").isNotNull(), F.concat(F.lit("."), plain)).otherwise(F.concat(F.lit("["), F.col("__pos").cast("string"), F.lit("]")))
-        x = x.where(~F.col("__inner") | F.col("__pos").isNotNull()).select(*keys, F.when(F.col("__inner"), F.concat("__path", step)).otherwise(F.col("__path")).alias("__path"), F.when(F.col("__inner"), F.col("__part")).otherwise(F.col("__value")).alias("__value"))
-    strings = x.where(F.schema_of_variant("__value") == "STRING")
+        inner = F.col("__pos").isNotNull()
+        x = x.lateralJoin(parts).select(*keys, F.when(inner, F.concat("__path", step)).otherwise(F.col("__path")).alias("__path"), F.when(inner, F.col("__part")).otherwise(F.col("__value")).alias("__value"))
+    # only now, when no value holds others: the schema of a whole tree is far more work than the tree
+    kind = F.schema_of_variant("__value")
+    is_string = kind == "STRING"
+    if known:
+        holds = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
+        is_string = F.when(is_string, True).when(holds, F.raise_error(F.lit(f"a document is deeper than {deepest}")).cast("boolean")).otherwise(False)
+    strings = x.where(is_string)
     return strings.select(*keys, F.col("__path").alias(path), F.col("__value").cast("string").alias(value))

@@ -36,3 +36,24 @@ def test_leaves_against_the_walk(spark):
     assert set(found) == want and len(found) == len(want) > 100
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert files.json_leaves(df.limit(0), ["k"], "d").count() == 0
+
+
+def test_a_known_depth_takes_one_pass_and_no_string_is_lost(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    docs = [(0, '{"a": ["x", {"b": "y"}], "c": [[[]], {}]}'), (1, '"z"'), (2, None), (3, '[[[null]]]')]
+    df = spark.createDataFrame(docs, "k int, d string")
+    want = {(0, "$.a[0]", "x"), (0, "$.a[1].b", "y"), (1, "$", "z")}
+    for deepest in (None, 3, 5):
+        assert {tuple(r) for r in files.json_leaves(df, ["k"], "d", deepest=deepest).collect()} == want
+    with pytest.raises(PySparkException, match="deeper than 2"):
+        files.json_leaves(df, ["k"], "d", deepest=2).collect()
+
+
+def test_the_trees_of_orders_are_dealt_over_all_cores(spark):
+    from loomwright.plans import trees
+
+    got = trees.json_tree_strings(spark, "/root/testdata/sf0.001")
+    parts = {r.p for r in got.selectExpr("spark_partition_id() as p").distinct().collect()}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
