@@ -21,6 +21,8 @@ from loomwright.sources.shared import new_path
 
 #: Rows of a one- or two-column long table that may be broadcast (about 16 MB); larger sides are shuffled.
 BROADCAST_ROWS = 400_000
+#: Rows that a bucket of a table in buckets holds about.
+BUCKET_ROWS = 200_000
 #: Bytes of text that one numpy block holds (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
 #: Bytes of one Arrow batch; Spark's default is larger than a worker should hold of long texts.
@@ -47,6 +49,16 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Like stage(), as a table in buckets of key: joins on it shuffle the other side alone, however often they come. df should be a staged table."""
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // BUCKET_ROWS + 1)
+    path = new_path(spark, what)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows (counted on the executors), else as it is; df should be a staged table."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ascii_words, checked_broadcast, drop_tables, mix, release, spread_join, stage, string_blocks, table
+from loomwright.llm.common import ascii_words, checked_broadcast, drop_tables, mix, release, spread_join, stage, stage_by, string_blocks, table
 from loomwright.llm.components import connected
 
 #: Sizes of one band differ by less than this factor.
@@ -328,7 +328,7 @@ def _near_in_sketch(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             far = distances(some.column(3), some.column(5))
             yield some.select([0, 1]).filter(pa.array(far <= (n + m)[fit] * (rule.q - rule.p) // (rule.q + rule.p)))
 
-    one = stage(sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "first-sets")
+    one = sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sets.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     met = spread_join(stage(pairs.select("a", "b"), "to-compare"), one, "a", "inner", SKETCHES)
     return spread_join(met, two, "b", "inner", SKETCHES).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
@@ -493,7 +493,9 @@ def _classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         # of 64-bit hashes of N different sets some N * N / 2 ** 65 are shared: three of 10 ** 10
         clash = [r.h for r in sets.where("shared").select("h").toLocalIterator()]
         if not clash:
-            return described, sets.drop("shared")
+            # sketches are by far the widest rows: each join with them moves its pairs only
+            sets = sets.drop("shared")
+            return described, stage_by(sets, "h", "classes-by-hash") if sets.count() > SKETCHES else sets
         if len(rule.clash):
             raise RuntimeError("sets share both hashes")
         rule.clash = np.array(clash, np.int64)
