@@ -64,8 +64,8 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = 100_000, hot_rows: int = 1_000, hot_keys: int = 10_000) -> DataFrame:
-    """left joined with right, which holds each key once; how: "left" or "inner". Both should be staged tables.
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = 100_000, hot_rows: int = 1_000, hot_keys: int = 10_000, counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which holds each key once; how: "left" or "inner". Both should be staged tables; of a left that isn't, counted is a staged table with the same keys as often.
 
     A right side of at most limit rows is broadcast. Beyond that, the keys that
     most rows of left have (hot_rows at least) meet their rows of right by a
@@ -74,7 +74,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """
     if right.count() <= limit:
         return left.join(F.broadcast(right), key, how)
-    many = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
+    many = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
     hot = stage(many.orderBy(F.desc("__n"), key).limit(hot_keys).select(key), "hot-keys")
     if not hot.count():
         return left.join(right, key, how)

@@ -318,7 +318,7 @@ def _bucket_pairs(kind: np.ndarray, key: np.ndarray, h: np.ndarray) -> pa.Record
 
 
 def _near_in_sketch(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link. sets: h, n, sketch."""
+    """Pairs whose sizes and sketches allow a link, staged: sketches are by far the widest rows, so they are joined once. sets: h, n, sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,12 +330,13 @@ def _near_in_sketch(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     one = sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sets.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    met = spread_join(stage(pairs.select("a", "b"), "to-compare"), one, "a", "inner", SKETCHES)
-    return spread_join(met, two, "b", "inner", SKETCHES).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
+    pairs = stage(pairs.select("a", "b"), "to-compare")
+    met = spread_join(spread_join(pairs, one, "a", "inner", SKETCHES), two, "b", "inner", SKETCHES, counted=pairs)
+    return stage(met.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long"), "near-pairs")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of set hashes that are links, by the shingles of both texts. sets: h, doc_id (one that has the set)."""
+    """The pairs (a, b) of set hashes that are links, by the shingles of both texts. pairs: staged; sets: h, doc_id (one that has the set)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +361,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
     # the texts of a pair meet at its second set; one that is in many pairs is dealt over several tasks
     ids = sets.select("h", "doc_id")
     named = spread_join(pairs, ids.select(F.col("h").alias("a"), F.col("doc_id").alias("id_a")), "a", "inner")
-    named = stage(spread_join(named, ids.select(F.col("h").alias("b"), F.col("doc_id").alias("id_b")), "b", "inner").select("a", "b", "id_a", "id_b"), "pairs")
+    named = stage(spread_join(named, ids.select(F.col("h").alias("b"), F.col("doc_id").alias("id_b")), "b", "inner", counted=pairs).select("a", "b", "id_a", "id_b"), "pairs")
     many = stage(named.groupBy("id_b").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts")).where("parts > 1"), "hubs")
     named = spread_join(named, many, "id_b").withColumn("part", F.pmod(F.xxhash64("id_a"), F.coalesce("parts", F.lit(1)))).select("a", "b", "id_a", "id_b", "part")
     named = stage(named, "parted-pairs")
@@ -372,10 +373,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
 
 
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
+    """Pairs (staged) whose ends aren't in one component yet."""
     one = component.select(F.col("node").alias("a"), F.col("root").alias("r_a"))
     two = component.select(F.col("node").alias("b"), F.col("root").alias("r_b"))
-    return spread_join(spread_join(pairs, one, "a"), two, "b").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).drop("r_a", "r_b")
+    return spread_join(spread_join(pairs, one, "a"), two, "b", counted=pairs).where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).drop("r_a", "r_b")
 
 
 def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -462,7 +463,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, hash_
     described, sets = _classes(docs, rule)
     found = stage(_candidates(_bucket_rows(docs.where("doc_id is not null"), rule)), "candidates")
     pairs = stage(found.where("kind > 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("kind").alias("kind")), "pairs")
-    members = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct()
+    members = stage(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("h")).distinct(), "members")
 
     def joined(some: DataFrame, component: DataFrame | None) -> DataFrame:
         links = stage(_verified(_near_in_sketch(some, sets, rule), sets, docs, rule), "links")
