@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -9,15 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
-#: The most frequent words, which are broadcast (about 40 MB in a task); rarer ones are looked up by a join.
-SMALL_WORDS = 300_000
-#: Sizes of the filter of all words: 32 bits a word between these; 64 MB at most, beyond which more pieces than words are joined.
+#: The most frequent words, which are broadcast (about 100 MB in a task); rarer ones are looked up by a join.
+SMALL_WORDS = 4_000_000
+#: Sizes of the filter of all words and what they begin with: 32 bits a word between these; 64 MB at most, beyond which more pieces than words are joined.
 LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
+#: Code points that are read at once, letters that are cut at once, and the longest run of letters that is cut beside others.
+READ_AT_ONCE, CUT_AT_ONCE, LONGEST_RUN = 1 << 20, 1 << 17, 256
 
 
 @dataclass(frozen=True)
@@ -127,41 +131,67 @@ def hits_of(cost: dict[str, float]) -> Hits:
     return hits
 
 
-def _pieces(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, hashes of all pieces of n code points, by where they begin), for n up to `longest`."""
-    codes = (codes.astype(np.uint64) + np.uint64(0x9E3779B9)) * np.uint64(0xD6E8FEB86659FD93)
-    rolled = np.zeros(len(codes), np.uint64)
-    for n in range(1, min(longest, len(codes)) + 1):
-        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x5851F42D4C957F2D) + codes[n - 1 :]
-        mixed = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        yield n, mixed ^ (mixed >> np.uint64(32))
-
-
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _longer(hashes: np.ndarray, code: np.ndarray, by: int) -> np.ndarray:
+    """Hashes of pieces that are longer by one code point."""
+    mixed = hashes * np.uint64(by)
+    mixed += code
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+#: Two hashes tell words apart.
+ONE, TWO = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+
+
 def _two_bits(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter of n_bits (a power of two)."""
+    """Two places of a word in a filter of n_bits (a power of two)."""
     mask = np.uint64(n_bits - 1)
     return hashes & mask, ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
 
 
+def _first_bit(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """The place in a filter of n_bits of what words begin with."""
+    return (hashes >> np.uint64(17)) & np.uint64(n_bits - 1)
+
+
+def _in(known: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+
+
+def _by_size(words: Iterable[str]) -> Iterator[tuple[list[str], list[np.ndarray], np.ndarray]]:
+    """Words of one size, the first hashes of their first 1, 2, ... code points, and their second hashes."""
+    by_size: dict[int, list[str]] = {}
+    for word in words:
+        by_size.setdefault(len(word), []).append(word)
+    for n, group in by_size.items():
+        codes = _code_points("".join(group)).astype(np.uint64).reshape(len(group), n)
+        ones, two = [], np.zeros(len(group), np.uint64)
+        for k in range(n):
+            ones.append(_longer(ones[-1] if ones else two, codes[:, k], ONE))
+            two = _longer(two, codes[:, k], TWO)
+        yield group, ones, two
+
+
+def _fitting(words: DataFrame, longest: int) -> DataFrame:
+    return words.where((F.length("word") > 0) & (F.length("word") <= longest))
+
+
 def _filter_of(words: DataFrame, n_words: int, longest: int) -> np.ndarray:
-    """A filter of at most MOST_BITS that lets all words through and little else, put together in the tasks and sent as its filled buckets."""
+    """A filter of at most MOST_BITS that lets all words and what they begin with through and little else, put together in the tasks and sent as its filled buckets."""
     n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n_words).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_size: dict[int, list[str]] = {}
-            for word in batch.column(0).to_pylist():
-                by_size.setdefault(len(word), []).append(word)
-            for n, group in by_size.items():
-                # hashes of the whole words among those of all pieces of their row
-                whole = next(h for k, h in _pieces(_code_points("".join(group)), n) if k == n)[::n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_two_bits(whole, n_bits)).astype(np.int64))], names=["bit"])
-
-    bits = words.select("word").where((F.length("word") > 0) & (F.length("word") <= longest)).mapInArrow(run, "bit long").select((F.col("bit") + 1).alias("bit"))
+            bits = [b for _, ones, _ in _by_size(batch.column(0).to_pylist()) for b in (*_two_bits(ones[-1], n_bits), *(_first_bit(h, n_bits) for h in ones))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bits or [np.zeros(0, np.uint64)])).astype(np.int64))], names=["bit"])
+
+    bits = _fitting(words.select("word"), longest).mapInArrow(run, "bit long").select((F.col("bit") + 1).alias("bit"))
     rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part")).toLocalIterator()
     found = np.zeros(n_bits // 8, np.uint8)
     for bucket, part in rows:
@@ -169,118 +199,323 @@ def _filter_of(words: DataFrame, n_words: int, longest: int) -> np.ndarray:
     return found
 
 
+@dataclass(frozen=True)
+class _Table:
+    """Costs of words, found by their two hashes: those whose second hash begins with b stand from begin[b] to begin[b + 1]."""
+
+    one: np.ndarray
+    cost: np.ndarray
+    begin: np.ndarray
+    shift: int
+
+    @staticmethod
+    def of(one: np.ndarray, two: np.ndarray, cost: np.ndarray) -> _Table:
+        bits = max(len(one), 1).bit_length() + 1
+        bucket = two.astype(np.uint64) >> np.uint64(64 - bits)
+        order = np.argsort(bucket, kind="stable")
+        begin = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bits), out=begin[1:])
+        return _Table(one.astype(np.uint64)[order], cost[order], begin, 64 - bits)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Costs of words with these hashes, NaN where there is none."""
+        found = np.full(len(one), np.nan)
+        bucket = two >> np.uint64(self.shift)
+        at, to, where = self.begin[bucket], self.begin[bucket + np.uint64(1)], np.arange(len(one))
+        while len(where := where[left := at < to]):
+            at, to, one = at[left], to[left], one[left]
+            same = self.one[at] == one
+            found[where[same]] = self.cost[at[same]]
+            at, to, one, where = at[~same] + 1, to[~same], one[~same], where[~same]
+        return found
+
+
+def _table_of(words: DataFrame, longest: int) -> _Table:
+    """The table of a bounded number of words, hashed in the tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for group, ones, two in _by_size(cost):
+                yield pa.RecordBatch.from_arrays([pa.array(ones[-1].view(np.int64)), pa.array(two.view(np.int64)), pa.array([cost[w] for w in group])], names=["one", "two", "cost"])
+
+    got = _fitting(words.select("word", "cost"), longest).mapInArrow(run, "one long, two long, cost double").toArrow()
+    return _Table.of(*(got.column(k).to_numpy() for k in range(3)))
+
+
+@dataclass(frozen=True)
+class _Known:
+    """What each task has of the vocabulary: the frequent words and the filter of all."""
+
+    often: _Table
+    filter: np.ndarray
+    log_total: float
+
+
+def _may_be(signs: np.ndarray, at: np.ndarray, known: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of 1, 2, ... code points that the filter lets through: how many, where they begin and their two hashes.
+
+    signs ends with `longest` zeros; no piece has one, and none is looked at
+    that goes on where no word begins so.
+    """
+    one = two = np.zeros(len(at), np.uint64)
+    for n in range(1, longest + 1):
+        code = signs[at + (n - 1)]
+        one = _longer(one, code, ONE)
+        on = np.flatnonzero(_in(known, _first_bit(one, 8 * len(known))) & (code != 0))
+        if not len(on):
+            return
+        at, one, two = at[on], one[on], _longer(two[on], code[on], TWO)
+        first, second = _two_bits(one, 8 * len(known))
+        word = np.flatnonzero(_in(known, first) & _in(known, second))
+        yield n, at[word], one[word], two[word]
+
+
 def _spots(low: str, known: np.ndarray, longest: int) -> tuple[list[int], list[int]]:
-    """Where pieces that the filter lets through begin, in order, and their ends, shorter first."""
-    begins, sizes = [], []
-    for n, hashes in _pieces(_code_points(low), longest):
-        one, two = _two_bits(hashes, 8 * len(known))
-        at = np.flatnonzero(known[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
-        two = two[at]
-        at = at[(known[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-        begins.append(at)
-        sizes.append(np.full(len(at), n))
-    if not begins:
-        return [], []
-    begin, size = np.concatenate(begins), np.concatenate(sizes)
-    order = np.argsort(begin, kind="stable")
-    return begin[order].tolist(), (begin + size)[order].tolist()
+    """Where pieces of a text that the filter lets through begin, in order, and their ends, shorter first."""
+    signs = np.concatenate([_code_points(low).astype(np.uint64), np.zeros(longest, np.uint64)])
+    spots = sorted((i, i + n) for n, at, _, _ in _may_be(signs, np.arange(len(low)), known, longest) for i in at.tolist())
+    return [i for i, _ in spots], [j for _, j in spots]
+
+
+def _hits(signs: np.ndarray, at: np.ndarray, known: _Known, own: _Table | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Words by their size: where they begin and their costs."""
+    for n, begin, one, two in _may_be(signs, at, known.filter, longest):
+        cost = known.often.find(one, two)
+        if own is not None and len(lacks := np.flatnonzero(np.isnan(cost))):
+            cost[lacks] = own.find(one[lacks], two[lacks])
+        is_word = np.flatnonzero(~np.isnan(cost))
+        yield n, begin[is_word], cost[is_word]
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: 1 a letter, 2 a digit, 0 another sign."""
+    return np.fromiter((c.isalpha() + 2 * c.isdigit() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
 def _lower_lines(text: str) -> str:
     return "\n".join(_lower(line) for line in text.split("\n"))
 
 
+@dataclass(frozen=True)
+class _Read:
+    """A text: its kinds of signs, its letters in lower case (0 for other signs, and at its end), and where its runs of letters begin and end."""
+
+    kinds: np.ndarray
+    signs: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    @staticmethod
+    def of(text: str, longest: int) -> _Read:
+        kinds = _kinds()[_code_points(text)]
+        letters = kinds == 1
+        signs = np.zeros(len(text) + longest, np.uint64)
+        np.copyto(signs[: len(text)], _code_points(_lower_lines(text)), where=letters)
+        edges = np.flatnonzero(np.diff(letters.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        return _Read(kinds, signs, edges[::2], edges[1::2])
+
+
+def _at_once(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours of at most that size together, or one larger one."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def _each(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers from each begin on, as many as its size."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _side_by_side(begin: np.ndarray, size: np.ndarray, hits: Iterable[tuple[int, np.ndarray, np.ndarray]], log_total: float, costs: Costs, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """best_cut() of many runs of letters, a letter of all at a time: where words begin; runs where another way is within `near` of the cheapest.
+
+    cells has for the k-th letters of all runs, by the longest run, the costs
+    of the words that end there, the longest first.
+    """
+    longest = costs.longest
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    n_runs, most = len(size), int(size[0])
+    wide = n_runs - np.searchsorted(size[::-1], np.arange(most), "right")
+    cell = longest * np.concatenate([[0], np.cumsum(wide)])
+    cells = np.empty(cell[-1])
+    unknown = costs.begin + log_total + costs.unknown_letter * np.arange(longest, 0, -1)[:, None]
+    for k in range(most):
+        cells[cell[k] : cell[k + 1]].reshape(longest, -1)[:] = unknown
+    first = int(begin.min())
+    run_at = np.zeros(int((begin + size).max()) - first, np.int64)
+    run_at[_each(begin - first, size)] = np.repeat(np.arange(n_runs), size)
+    for n, at, cost in hits:
+        run = run_at[at - first]
+        last = at - begin[run] + (n - 1)
+        cells[cell[last] + (longest - n) * wide[last] + run] = cost
+    best = np.empty((longest + most, n_runs))
+    best[: longest - 1], best[longest - 1] = np.inf, 0.0
+    for k in range(most):
+        here = cells[cell[k] : cell[k + 1]].reshape(longest, -1)
+        here += best[k : k + longest, : wide[k]]
+        here.min(axis=0, out=best[longest + k, : wide[k]])
+    cuts, doubtful = [], np.zeros(n_runs, bool)
+    run, end = np.arange(n_runs), size.copy()
+    while len(run):
+        ways = cells[cell[end - 1] + run + np.arange(longest)[:, None] * wide[end - 1]]
+        way = ways.argmin(axis=0)
+        cheapest = np.take_along_axis(ways, way[None], 0)[0]
+        doubtful[run[(ways <= cheapest + near).sum(axis=0) > 1]] = True
+        end = end - (longest - way)
+        cuts.append(begin[run] + end)
+        run, end = run[end > 0], end[end > 0]
+    back = np.empty(n_runs, bool)
+    back[order] = doubtful
+    return np.concatenate(cuts), back
+
+
+def _beginnings(text: str, known: _Known, own: _Table | None, costs: Costs) -> np.ndarray:
+    """Whether a part begins, for each code point of a text.
+
+    Short runs of letters are cut beside each other, from a cost of 0 each.
+    Where two ways differ by no more than rounding may, or a run is long, its
+    line is cut by best_cut().
+    """
+    read = _Read.of(text, costs.longest)
+    begins = read.kinds != 1
+    begins[1:] &= (read.kinds[1:] != 2) | (read.kinds[:-1] != 2)
+    begins[read.begin] = True
+    ends = np.concatenate([np.flatnonzero(_code_points(text) == 10), [len(text)]])
+    line, size = np.searchsorted(ends, read.begin), read.end - read.begin
+    again = np.zeros(len(ends), bool)
+    again[line[size > LONGEST_RUN]] = True
+    short = np.flatnonzero(size <= LONGEST_RUN)
+    for some in _at_once(size[short], CUT_AT_ONCE):
+        runs = short[some]
+        hits = _hits(read.signs, _each(read.begin[runs], size[runs]), known, own, costs.longest)
+        cuts, doubtful = _side_by_side(read.begin[runs], size[runs], hits, known.log_total, costs, 1e-12 * max(len(text), 1e6))
+        begins[cuts] = True
+        again[line[runs[doubtful]]] = True
+    lines = np.flatnonzero(again)
+    starts = np.where(lines > 0, ends[lines - 1] + 1, 0)
+    for some in _at_once(ends[lines] - starts, CUT_AT_ONCE):
+        runs = np.flatnonzero(np.isin(line, lines[some]))
+        found: dict[int, list[tuple[int, float]]] = {}
+        for n, at, cost in _hits(read.signs, _each(read.begin[runs], size[runs]), known, own, costs.longest):
+            for i, c in zip(at.tolist(), cost.tolist(), strict=True):
+                found.setdefault(i, []).append((n, c))
+        for start, end in zip(starts[some].tolist(), ends[lines[some]].tolist(), strict=True):
+            parts = best_cut(text[start:end], lambda _, i, to: [(i + n, c) for n, c in found.get(start + i, ()) if i + n <= to], known.log_total, costs)  # noqa: B023
+            begins[start:end] = False
+            begins[[start + i for i, _ in parts]] = True
+    return begins
+
+
+def _parts(texts: list[str | None], known: _Known, own: _Table | None, costs: Costs) -> pa.ListArray:
+    """The parts of some texts; as they make up each text, their bytes are those of the texts."""
+    whole = [t for t in texts if t is not None]
+    begins = _beginnings("\n".join(whole), known, own, costs) if whole else np.zeros(0, bool)
+    sizes = np.array([len(t) for t in whole], np.int64)
+    begins = begins[_each(np.cumsum(sizes + 1) - sizes - 1, sizes)]
+    text = "".join(whole)
+    codes = _code_points(text)
+    at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int32)]).astype(np.int32)
+    offsets = np.append(at[:-1][begins], at[-1]).astype(np.int32)
+    values = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(text.encode()))
+    null = np.array([t is None for t in texts], bool)
+    ends = np.zeros(len(texts), np.int64)
+    ends[~null] = sizes
+    counted = np.concatenate([[0], np.cumsum(begins)])
+    lists = np.concatenate([[0], counted[np.cumsum(ends)]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), values, mask=pa.array(null))
+
+
 def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Costs(), small: int = SMALL_WORDS) -> DataFrame:
     """rows with `parts`: the words, numbers and signs of a text without spaces, in order; line ends are parts of their own. Null: null.
 
-    vocabulary is word_costs() as a staged table. Its `small` most frequent
-    words go to the tasks, with a filter of bounded size that tells which
-    pieces of a text may be words at all. Pieces that may be one of the rarer
-    words are joined with those, and each text gets its own of them; so a task
-    holds the rare words of its texts and never the vocabulary.
+    vocabulary is word_costs() as a staged table. Its most frequent words,
+    `small` at most, go to the tasks, with a filter of bounded size that tells
+    which pieces of a text may be words at all. Pieces that may be one of the
+    rarer words are joined with those, and each text gets its own of them; so a
+    task holds the rare words of its texts and never the vocabulary.
     """
     spark = rows.sparkSession
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small input in few files
-    first = vocabulary.agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n")).first()
-    log_total = math.log(first.total) if first.total else 0.0
-    frequent = vocabulary.select("cost", "word").orderBy("cost", "word").limit(small).collect()
-    shared = spark.sparkContext.broadcast(({r.word: r.cost for r in frequent}, _filter_of(vocabulary, first.n, costs.longest)))
-    if first.n <= small:
-        return _cut(rows, text, None, shared, log_total, costs)
-    last = frequent[-1] if frequent else None
-    rare = vocabulary.select("word", "cost") if last is None else vocabulary.select("word", "cost").where((F.col("cost") > last.cost) | ((F.col("cost") == last.cost) & (F.col("word") > last.word)))
+    # there are few different counts: n of them need a text of n * n / 2 words
+    counts = sorted(vocabulary.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.max("total").alias("total")).collect(), key=lambda r: -r.n)
+    n_words, least = 0, math.inf
+    for r in counts:
+        n_words += r.words
+        if n_words <= small:
+            least = r.n
+    log_total = math.log(counts[0].total) if counts else 0.0
+    often = vocabulary.where(F.col("n") >= least) if counts and least < math.inf else vocabulary.limit(0)
+    shared = spark.sparkContext.broadcast(_Known(_table_of(often, costs.longest), _filter_of(vocabulary, n_words, costs.longest), log_total))
+    if n_words <= small:
+        return _cut(rows, text, None, shared, costs)
+    rare = (vocabulary.where(F.col("n") < least) if least < math.inf else vocabulary).select("word", "cost")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = shared.value
+        known = shared.value
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low = _lower_lines(t)
-                may_be = {low[i:j] for i, j in zip(*_spots(low, known, costs.longest))}
-                found = [w for w in may_be if w not in often]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], names=["__id", "word"])
+            texts = batch.column(1).to_pylist()
+            for some in _at_once(np.array([len(t) for t in texts]), READ_AT_ONCE):
+                text = "\n".join(texts[some])
+                read, low = _Read.of(text, costs.longest), _lower_lines(text)
+                begins = np.cumsum([0, *(len(t) + 1 for t in texts[some])])
+                keys = batch.column(0).to_numpy()[some]
+                for runs in _at_once(read.end - read.begin, CUT_AT_ONCE):
+                    for n, at, one, two in _may_be(read.signs, _each(read.begin[runs], (read.end - read.begin)[runs]), known.filter, costs.longest):
+                        lacks = np.isnan(known.often.find(one, two))
+                        at, one, two = at[lacks], one[lacks], two[lacks]
+                        row = np.searchsorted(begins, at, "right") - 1
+                        _, once = np.unique(np.stack([row, one.view(np.int64)]), axis=1, return_index=True)
+                        found = [low[i : i + n] for i in at[once].tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[row[once]]), pa.array(found, pa.string()), pa.array(one[once].view(np.int64)), pa.array(two[once].view(np.int64))], names=["__id", "word", "one", "two"])
 
     # two texts of one hash get each other's words too, which changes nothing: all are words, and those that they lack go unused
-    asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, word string").distinct()
-    own = asked.join(rare, "word").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("word", "cost"))).alias("__own"))
+    asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, word string, one long, two long").distinct()
+    own = asked.join(rare, "word").groupBy("__id").agg(F.collect_list(F.struct("one", "two", "cost")).alias("__own"))
     joined = rows.withColumn("__id", F.xxhash64(text)).join(own, "__id", "left").select(*rows.columns, "__own")
-    return _cut(joined, text, "__own", shared, log_total, costs)
+    return _cut(joined, text, "__own", shared, costs)
 
 
-def _cut(rows: DataFrame, text: str, own: str | None, shared: Broadcast, log_total: float, costs: Costs) -> DataFrame:
-    """rows without `own` (a text's rare words with their costs) and with parts."""
+def _cut(rows: DataFrame, text: str, own: str | None, shared: Broadcast, costs: Costs) -> DataFrame:
+    """rows without `own` (a text's rare words: hashes and cost) and with parts."""
     at, kept = rows.columns.index(text), [c for c in rows.columns if c != own]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = shared.value
+        known = shared.value
         for batch in batches:
-            rare = batch.column(len(kept)).to_pylist() if own else [None] * batch.num_rows
-            parts = [None if t is None else _best_parts(t, often, dict(r or ()), known, log_total, costs) for t, r in zip(batch.column(at).to_pylist(), rare, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(parts, pa.list_(pa.string()))], names=[*kept, "parts"])
+            texts = batch.column(at).to_pylist()
+            for some in _at_once(np.array([len(t or "") for t in texts], np.int64), READ_AT_ONCE):
+                here = batch.slice(some.start, some.stop - some.start)
+                rare = _Table.of(*(x.to_numpy() for x in here.column(len(kept)).flatten().flatten())) if own else None
+                yield pa.RecordBatch.from_arrays([*here.columns[: len(kept)], _parts(texts[some], known, rare, costs)], names=[*kept, "parts"])
 
     return rows.mapInArrow(run, _with(rows.select(*kept), parts=ArrayType(StringType())))
 
 
-def _best_parts(text: str, often: dict[str, float], rare: dict[str, float], known: np.ndarray, log_total: float, costs: Costs) -> list[str]:
-    """The parts of a text, with its words looked up once for all lines."""
-    low = _lower_lines(text)
-    hits: dict[int, list[tuple[int, float]]] = {}
-    for i, j in zip(*_spots(low, known, costs.longest)):
-        piece = low[i:j]
-        cost = often.get(piece)
-        if cost is None:
-            cost = rare.get(piece)
-        if cost is not None:
-            hits.setdefault(i, []).append((j - i, cost))
-    start = 0
-
-    def cut(line: str) -> list[tuple[int, int]]:
-        nonlocal start
-        begin, start = start, start + len(line) + 1
-        return best_cut(line, lambda _, i, end: [(i + n, cost) for n, cost in hits.get(begin + i, ()) if i + n <= end], log_total, costs)
-
-    return _parts(text, cut)
-
-
-def _parts(text: str, cut: Callable[[str], list[tuple[int, int]]]) -> list[str]:
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        out += ["\n"] * (k > 0) + [line[i:j] for i, j in cut(line)]
-    return out
-
-
 def cut_agreement(rows: DataFrame, found: str, true: str) -> DataFrame:
     """rows with n_found, n_true and n_right: cuts of two arrays of parts of one text, and how many stand at the same place. A null array has none."""
     at, to = rows.columns.index(found), rows.columns.index(true)
 
-    def ends(parts: pa.ListScalar) -> np.ndarray:
-        return np.cumsum([len(x) for x in parts.as_py() or ()], dtype=np.int64)
+    def ends(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many parts each row has; the row and the end of each part."""
+        n = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
+        end = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(parts.flatten()), 0).to_numpy(), dtype=np.int64)])
+        return n, np.repeat(np.arange(len(n)), n), end[1:] - np.repeat(end[np.cumsum(n) - n], n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [(len(a), len(b), len(np.intersect1d(a, b))) for a, b in ((ends(x), ends(y)) for x, y in zip(batch.column(at), batch.column(to), strict=True))]
-            columns = list(zip(*counts, strict=True)) if counts else [()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, "n_found", "n_true", "n_right"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                (n_found, row, a), (n_true, row_b, b) = ends(batch.column(at)), ends(batch.column(to))
+                wide = max(a.max(initial=0), b.max(initial=0)) + 1
+                right = np.bincount(np.intersect1d(row * wide + a, row_b * wide + b) // wide, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in (n_found, n_true, right))], names=[*batch.schema.names, "n_found", "n_true", "n_right"])
 
     return rows.mapInArrow(run, _with(rows, n_found=LongType(), n_true=LongType(), n_right=LongType()))
 
