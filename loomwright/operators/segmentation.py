@@ -44,8 +44,9 @@ def word_costs(lines: DataFrame, line: str, costs: Costs = Costs()) -> DataFrame
     """word (lower case, of letters), n, total, cost: begin - ln(n / total), from the lines that aren't spaced. Counted in the tasks first."""
     words = lines.where(~is_spaced(F.col(line))).select(F.explode(F.regexp_extract_all(line, F.lit(r"([\p{L}]+)"), 1)).alias("word")).select(F.lower("word").alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).first()[0] or 1
-    return counted.select("word", "n", F.lit(total).cast("long").alias("total"), (F.lit(costs.begin) - F.log(F.col("n") / F.lit(float(total)))).alias("cost"))
+    # beside the counts in one plan, so that the words are counted once
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(1)).cast("long").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).select("word", "n", "total", (F.lit(costs.begin) - F.log(F.col("n") / F.col("total").cast("double"))).alias("cost"))
 
 
 def _with(rows: DataFrame, **more: DataType) -> StructType:
@@ -192,16 +193,17 @@ def _filter_of(words: DataFrame, n_words: int, longest: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bits or [np.zeros(0, np.uint64)])).astype(np.int64))], names=["bit"])
 
     bits = _fitting(words.select("word"), longest).mapInArrow(run, "bit long").select((F.col("bit") + 1).alias("bit"))
-    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part")).toLocalIterator()
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part")).toArrow()
     found = np.zeros(n_bits // 8, np.uint8)
-    for bucket, part in rows:
-        found[(bucket - 1) * len(part) : bucket * len(part)] = np.frombuffer(part, np.uint8)
+    for bucket, part in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
+        part = np.frombuffer(part.as_buffer(), np.uint8)
+        found[(bucket - 1) * len(part) : bucket * len(part)] = part
     return found
 
 
 @dataclass(frozen=True)
 class _Table:
-    """Costs of words, found by their two hashes: those whose second hash begins with b stand from begin[b] to begin[b + 1]."""
+    """Costs of words, found by their two hashes: those whose second hash begins with b stand from begin[b] to begin[b + 1]; an empty place ends all."""
 
     one: np.ndarray
     cost: np.ndarray
@@ -215,23 +217,26 @@ class _Table:
         order = np.argsort(bucket, kind="stable")
         begin = np.zeros((1 << bits) + 1, np.int32)
         np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bits), out=begin[1:])
-        return _Table(one.astype(np.uint64)[order], cost[order], begin, 64 - bits)
+        return _Table(np.append(one.astype(np.uint64)[order], np.uint64(0)), np.append(cost[order], np.nan), begin, 64 - bits)
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Costs of words with these hashes, NaN where there is none."""
-        found = np.full(len(one), np.nan)
         bucket = two >> np.uint64(self.shift)
-        at, to, where = self.begin[bucket], self.begin[bucket + np.uint64(1)], np.arange(len(one))
-        while len(where := where[left := at < to]):
-            at, to, one = at[left], to[left], one[left]
-            same = self.one[at] == one
-            found[where[same]] = self.cost[at[same]]
-            at, to, one, where = at[~same] + 1, to[~same], one[~same], where[~same]
+        at, to = self.begin[bucket], self.begin[bucket + np.uint64(1)]
+        # most stand first in their bucket
+        same = (self.one[at] == one) & (at < to)
+        found = np.where(same, self.cost[at], np.nan)
+        where = np.flatnonzero(~same)
+        while len(where := where[at[where] + 1 < to[where]]):
+            at[where] += 1
+            same = self.one[at[where]] == one[where]
+            found[where[same]] = self.cost[at[where[same]]]
+            where = where[~same]
         return found
 
 
-def _table_of(words: DataFrame, longest: int) -> _Table:
-    """The table of a bounded number of words, hashed in the tasks."""
+def _hashed(words: DataFrame, longest: int) -> DataFrame:
+    """one, two, cost: words as their two hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +244,12 @@ def _table_of(words: DataFrame, longest: int) -> _Table:
             for group, ones, two in _by_size(cost):
                 yield pa.RecordBatch.from_arrays([pa.array(ones[-1].view(np.int64)), pa.array(two.view(np.int64)), pa.array([cost[w] for w in group])], names=["one", "two", "cost"])
 
-    got = _fitting(words.select("word", "cost"), longest).mapInArrow(run, "one long, two long, cost double").toArrow()
+    return _fitting(words.select("word", "cost"), longest).mapInArrow(run, "one long, two long, cost double")
+
+
+def _table_of(words: DataFrame, longest: int) -> _Table:
+    """The table of a bounded number of words."""
+    got = _hashed(words, longest).toArrow()
     return _Table.of(*(got.column(k).to_numpy() for k in range(3)))
 
 
@@ -267,7 +277,8 @@ def _may_be(signs: np.ndarray, at: np.ndarray, known: np.ndarray, longest: int)
             return
         at, one, two = at[on], one[on], _longer(two[on], code[on], TWO)
         first, second = _two_bits(one, 8 * len(known))
-        word = np.flatnonzero(_in(known, first) & _in(known, second))
+        word = np.flatnonzero(_in(known, first))
+        word = word[_in(known, second[word])]
         yield n, at[word], one[word], two[word]
 
 
@@ -401,12 +412,16 @@ def _beginnings(text: str, known: _Known, own: _Table | None, costs: Costs) -> n
     starts = np.where(lines > 0, ends[lines - 1] + 1, 0)
     for some in _at_once(ends[lines] - starts, CUT_AT_ONCE):
         runs = np.flatnonzero(np.isin(line, lines[some]))
-        found: dict[int, list[tuple[int, float]]] = {}
-        for n, at, cost in _hits(read.signs, _each(read.begin[runs], size[runs]), known, own, costs.longest):
-            for i, c in zip(at.tolist(), cost.tolist(), strict=True):
-                found.setdefault(i, []).append((n, c))
+        hits = [(at, np.full(len(at), n), cost) for n, at, cost in _hits(read.signs, _each(read.begin[runs], size[runs]), known, own, costs.longest)]
+        at, n, cost = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else [np.zeros(0, np.int64)] * 3
+        order = np.argsort(at, kind="stable")
+        at, n, cost = at[order], n[order], cost[order]
         for start, end in zip(starts[some].tolist(), ends[lines[some]].tolist(), strict=True):
-            parts = best_cut(text[start:end], lambda _, i, to: [(i + n, c) for n, c in found.get(start + i, ()) if i + n <= to], known.log_total, costs)  # noqa: B023
+            its = np.searchsorted(at, np.arange(start, end + 1))
+            here = slice(its[0], its[-1])
+            its, to, paid = (its - its[0]).tolist(), (at[here] + n[here] - start).tolist(), cost[here].tolist()
+            # all end in the run in which they begin
+            parts = best_cut(text[start:end], lambda _, i, end: zip(to[its[i] : its[i + 1]], paid[its[i] : its[i + 1]]), known.log_total, costs)  # noqa: B023, B905
             begins[start:end] = False
             begins[[start + i for i, _ in parts]] = True
     return begins
@@ -437,8 +452,9 @@ def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Co
     vocabulary is word_costs() as a staged table. Its most frequent words,
     `small` at most, go to the tasks, with a filter of bounded size that tells
     which pieces of a text may be words at all. Pieces that may be one of the
-    rarer words are joined with those, and each text gets its own of them; so a
-    task holds the rare words of its texts and never the vocabulary.
+    rarer words are joined with those by their hashes, and each text gets its
+    own of them; so a task holds the rare words of its texts and never the
+    vocabulary.
     """
     spark = rows.sparkSession
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
@@ -455,7 +471,7 @@ def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Co
     shared = spark.sparkContext.broadcast(_Known(_table_of(often, costs.longest), _filter_of(vocabulary, n_words, costs.longest), log_total))
     if n_words <= small:
         return _cut(rows, text, None, shared, costs)
-    rare = (vocabulary.where(F.col("n") < least) if least < math.inf else vocabulary).select("word", "cost")
+    rare = vocabulary.where(F.col("n") < least) if least < math.inf else vocabulary
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -463,21 +479,21 @@ def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Co
             texts = batch.column(1).to_pylist()
             for some in _at_once(np.array([len(t) for t in texts]), READ_AT_ONCE):
                 text = "\n".join(texts[some])
-                read, low = _Read.of(text, costs.longest), _lower_lines(text)
+                read = _Read.of(text, costs.longest)
                 begins = np.cumsum([0, *(len(t) + 1 for t in texts[some])])
                 keys = batch.column(0).to_numpy()[some]
                 for runs in _at_once(read.end - read.begin, CUT_AT_ONCE):
-                    for n, at, one, two in _may_be(read.signs, _each(read.begin[runs], (read.end - read.begin)[runs]), known.filter, costs.longest):
-                        lacks = np.isnan(known.often.find(one, two))
-                        at, one, two = at[lacks], one[lacks], two[lacks]
-                        row = np.searchsorted(begins, at, "right") - 1
-                        _, once = np.unique(np.stack([row, one.view(np.int64)]), axis=1, return_index=True)
-                        found = [low[i : i + n] for i in at[once].tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[row[once]]), pa.array(found, pa.string()), pa.array(one[once].view(np.int64)), pa.array(two[once].view(np.int64))], names=["__id", "word", "one", "two"])
+                    for _, at, one, two in _may_be(read.signs, _each(read.begin[runs], (read.end - read.begin)[runs]), known.filter, costs.longest):
+                        lacks = np.flatnonzero(np.isnan(known.often.find(one, two)))
+                        row = keys[np.searchsorted(begins, at[lacks], "right") - 1]
+                        asked = np.stack([row, one[lacks].view(np.int64), two[lacks].view(np.int64)])
+                        asked = asked[:, np.lexsort(asked)]
+                        asked = asked[:, np.append(True, (asked[:, 1:] != asked[:, :-1]).any(axis=0))[: len(lacks)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in asked], names=["__id", "one", "two"])
 
     # two texts of one hash get each other's words too, which changes nothing: all are words, and those that they lack go unused
-    asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, word string, one long, two long").distinct()
-    own = asked.join(rare, "word").groupBy("__id").agg(F.collect_list(F.struct("one", "two", "cost")).alias("__own"))
+    asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, one long, two long").distinct()
+    own = asked.join(_hashed(rare, costs.longest), ["one", "two"]).groupBy("__id").agg(F.collect_list(F.struct("one", "two", "cost")).alias("__own"))
     joined = rows.withColumn("__id", F.xxhash64(text)).join(own, "__id", "left").select(*rows.columns, "__own")
     return _cut(joined, text, "__own", shared, costs)
 
