@@ -446,8 +446,10 @@ def _parts(texts: list[str | None], known: _Known, own: _Table | None, costs: Co
     return pa.ListArray.from_arrays(pa.array(lists), values, mask=pa.array(null))
 
 
-def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Costs(), small: int = SMALL_WORDS) -> DataFrame:
-    """rows with `parts`: the words, numbers and signs of a text without spaces, in order; line ends are parts of their own. Null: null.
+def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Costs(), small: int = SMALL_WORDS, true: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """rows (or the columns `keep` of them) with `parts`: the words, numbers and signs of a text without spaces, in order; line ends are parts of their own. Null: null.
+
+    With `true`, the true parts, there are the counts of cut_agreement() too.
 
     vocabulary is word_costs() as a staged table. Its most frequent words,
     `small` at most, go to the tasks, with a filter of bounded size that tells
@@ -469,8 +471,9 @@ def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Co
     log_total = math.log(counts[0].total) if counts else 0.0
     often = vocabulary.where(F.col("n") >= least) if counts and least < math.inf else vocabulary.limit(0)
     shared = spark.sparkContext.broadcast(_Known(_table_of(often, costs.longest), _filter_of(vocabulary, n_words, costs.longest), log_total))
+    keep = rows.columns if keep is None else keep
     if n_words <= small:
-        return _cut(rows, text, None, shared, costs)
+        return _cut(rows, text, None, true, keep, shared, costs)
     rare = vocabulary.where(F.col("n") < least) if least < math.inf else vocabulary
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,45 +498,56 @@ def segment(rows: DataFrame, text: str, vocabulary: DataFrame, costs: Costs = Co
     asked = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "__id long, one long, two long").distinct()
     own = asked.join(_hashed(rare, costs.longest), ["one", "two"]).groupBy("__id").agg(F.collect_list(F.struct("one", "two", "cost")).alias("__own"))
     joined = rows.withColumn("__id", F.xxhash64(text)).join(own, "__id", "left").select(*rows.columns, "__own")
-    return _cut(joined, text, "__own", shared, costs)
+    return _cut(joined, text, F.col("__own"), true, keep, shared, costs)
+
+
+COUNTS = ["n_found", "n_true", "n_right"]
 
 
-def _cut(rows: DataFrame, text: str, own: str | None, shared: Broadcast, costs: Costs) -> DataFrame:
-    """rows without `own` (a text's rare words: hashes and cost) and with parts."""
-    at, kept = rows.columns.index(text), [c for c in rows.columns if c != own]
+def _cut(rows: DataFrame, text: str, own: Column | None, true: Column | None, keep: list[str], shared: Broadcast, costs: Costs) -> DataFrame:
+    """The columns `keep` of rows with parts, and counts if there are true parts. own: a text's rare words, hashes and cost."""
+    n, has_own, has_true = len(keep), own is not None, true is not None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(n).to_pylist()
             for some in _at_once(np.array([len(t or "") for t in texts], np.int64), READ_AT_ONCE):
                 here = batch.slice(some.start, some.stop - some.start)
-                rare = _Table.of(*(x.to_numpy() for x in here.column(len(kept)).flatten().flatten())) if own else None
-                yield pa.RecordBatch.from_arrays([*here.columns[: len(kept)], _parts(texts[some], known, rare, costs)], names=[*kept, "parts"])
+                rare = _Table.of(*(x.to_numpy() for x in here.column(n + 1).flatten().flatten())) if has_own else None
+                parts = _parts(texts[some], known, rare, costs)
+                counts = _agreement(parts, here.column(here.num_columns - 1)) if has_true else []
+                yield pa.RecordBatch.from_arrays([*here.columns[:n], parts, *counts], names=[*keep, "parts", *(COUNTS if counts else [])])
 
-    return rows.mapInArrow(run, _with(rows.select(*kept), parts=ArrayType(StringType())))
+    asked = rows.select(*keep, F.col(text).alias("__text"), *([] if own is None else [own.alias("__own")]), *([] if true is None else [true.alias("__true")]))
+    return asked.mapInArrow(run, _with(rows.select(*keep), parts=ArrayType(StringType()), **({} if true is None else dict.fromkeys(COUNTS, LongType()))))
 
 
-def cut_agreement(rows: DataFrame, found: str, true: str) -> DataFrame:
-    """rows with n_found, n_true and n_right: cuts of two arrays of parts of one text, and how many stand at the same place. A null array has none."""
-    at, to = rows.columns.index(found), rows.columns.index(true)
+def _agreement(found: pa.ListArray, true: pa.ListArray) -> list[pa.Array]:
+    """How many parts each row has in each, and how many ends of parts both have."""
 
     def ends(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many parts each row has; the row and the end of each part."""
         n = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
         end = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(parts.flatten()), 0).to_numpy(), dtype=np.int64)])
         return n, np.repeat(np.arange(len(n)), n), end[1:] - np.repeat(end[np.cumsum(n) - n], n)
 
+    (n_found, row, a), (n_true, row_b, b) = ends(found), ends(true)
+    wide = max(a.max(initial=0), b.max(initial=0)) + 1
+    right = np.bincount(np.intersect1d(row * wide + a, row_b * wide + b) // wide, minlength=len(found))
+    return [pa.array(c, pa.int64()) for c in (n_found, n_true, right)]
+
+
+def cut_agreement(rows: DataFrame, found: str, true: str) -> DataFrame:
+    """rows with n_found, n_true and n_right: cuts of two arrays of parts of one text, and how many stand at the same place. A null array has none."""
+    at, to = rows.columns.index(found), rows.columns.index(true)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                (n_found, row, a), (n_true, row_b, b) = ends(batch.column(at)), ends(batch.column(to))
-                wide = max(a.max(initial=0), b.max(initial=0)) + 1
-                right = np.bincount(np.intersect1d(row * wide + a, row_b * wide + b) // wide, minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in (n_found, n_true, right))], names=[*batch.schema.names, "n_found", "n_true", "n_right"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_agreement(batch.column(at), batch.column(to))], names=[*batch.schema.names, *COUNTS])
 
-    return rows.mapInArrow(run, _with(rows, n_found=LongType(), n_true=LongType(), n_right=LongType()))
+    return rows.mapInArrow(run, _with(rows, **dict.fromkeys(COUNTS, LongType())))
 
 
 def put_together(parts: Column) -> Column:

@@ -64,8 +64,7 @@ def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = staged(segmentation.word_costs(lines, "line"), "word-costs")
     true = F.regexp_extract_all("text", F.lit(r"([\p{L}]+|[\p{Nd}]+|[^\p{L}\p{Nd} ])"), 1)
     closed = docs.select("doc_id", held.alias("held_out"), "text", F.translate("text", " ", "").alias("closed"))
-    found = segmentation.segment(closed, "closed", vocabulary).select("doc_id", "held_out", "parts", true.alias("true"))
-    cut = segmentation.cut_agreement(found, "parts", "true")
+    cut = segmentation.segment(closed, "closed", vocabulary, true=true, keep=["doc_id", "held_out"])
     return cut.select("doc_id", "held_out", "n_found", "n_true", "n_right", F.md5(segmentation.put_together(F.col("parts")).cast("binary")).alias("print"))
 
 

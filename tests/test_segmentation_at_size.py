@@ -79,3 +79,14 @@ def test_agreement_of_cuts(spark):
     rows = spark.createDataFrame([(["ab", "c", "é"], ["a", "bc", "é"]), (None, ["a"]), ([], None), (["", "ab"], ["ab", ""]), (["\U00010400x", "y"], ["\U00010400", "xy"])], "a array<string>, b array<string>")
     got = [tuple(r)[2:] for r in segmentation.cut_agreement(rows, "a", "b").collect()]
     assert got == [(3, 3, 2), (0, 1, 0), (0, 0, 0), (2, 2, 1), (2, 2, 1)]
+
+
+def test_counts_of_segment_are_those_of_cut_agreement(spark):
+    words = spark.createDataFrame([("the", 3, 9, 3.1), ("cat", 2, 9, 3.5), ("sat", 1, 9, 4.2), ("mat", 1, 9, 4.2)], "word string, n long, total long, cost double")
+    rows = spark.createDataFrame([(1, "the cat sat"), (2, None), (3, ""), (4, "The m at, 12\nca tthe"), (5, "sat the mat " * 40)], "i int, t string")
+    closed = rows.withColumn("closed", F.translate("t", " ", ""))
+    true = F.split("t", " ")
+    for small in (10, 2, 0):
+        apart = segmentation.cut_agreement(segmentation.segment(closed, "closed", words, small=small).withColumn("true", true), "parts", "true").select("i", "parts", "n_found", "n_true", "n_right")
+        at_once = segmentation.segment(closed, "closed", words, small=small, true=true, keep=["i"])
+        assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, at_once.collect())) and at_once.columns == apart.columns
