@@ -532,8 +532,15 @@ def _agreement(found: pa.ListArray, true: pa.ListArray) -> list[pa.Array]:
         return n, np.repeat(np.arange(len(n)), n), end[1:] - np.repeat(end[np.cumsum(n) - n], n)
 
     (n_found, row, a), (n_true, row_b, b) = ends(found), ends(true)
-    wide = max(a.max(initial=0), b.max(initial=0)) + 1
-    right = np.bincount(np.intersect1d(row * wide + a, row_b * wide + b) // wide, minlength=len(found))
+    # the ends of each row have their own stretch of places
+    most = np.zeros(len(found) + 1, np.int64)
+    np.maximum.at(most, row + 1, a + 1)
+    np.maximum.at(most, row_b + 1, b + 1)
+    base = np.cumsum(most)
+    in_both = np.zeros(base[-1] + 1, np.uint8)
+    in_both[base[row] + a] = 1
+    in_both[base[row_b] + b] |= 2
+    right = np.diff(np.concatenate([[0], np.cumsum(in_both == 3)])[base])
     return [pa.array(c, pa.int64()) for c in (n_found, n_true, right)]
 
 
