@@ -162,7 +162,8 @@ def _first_bit(hashes: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 def _in(known: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+    # as signed numbers, which numpy takes as places without a copy
+    return (known[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
 
 
 def _by_size(words: Iterable[str]) -> Iterator[tuple[list[str], list[np.ndarray], np.ndarray]]:
@@ -221,8 +222,8 @@ class _Table:
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Costs of words with these hashes, NaN where there is none."""
-        bucket = two >> np.uint64(self.shift)
-        at, to = self.begin[bucket], self.begin[bucket + np.uint64(1)]
+        bucket = (two >> np.uint64(self.shift)).view(np.int64)
+        at, to = self.begin[bucket], self.begin[bucket + 1]
         # most stand first in their bucket
         same = (self.one[at] == one) & (at < to)
         found = np.where(same, self.cost[at], np.nan)
